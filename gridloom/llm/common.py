@@ -97,6 +97,13 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def with_fields(df: DataFrame, ddl: str):
+    """df's schema with the fields of ddl behind it."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def record_batch(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, shard
+from gridloom.llm import bpe, decontaminate, language, shard
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -17,12 +17,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.match_items(docs, load(spark, sf_dir, "benchmark"), carry_text=False))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(load(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(load(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(load(spark, sf_dir, "documents"), SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op6_bpe, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
