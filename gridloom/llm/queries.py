@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontaminate, language, shard
+from gridloom.llm import bpe, chat, decontaminate, language, shard
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -21,6 +21,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(load(spark, sf_dir, "documents"))
 
 
+#: A conversation made of control strings, added to those of the table.
+PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(turns.unionByName(planted)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load(spark, sf_dir, "documents"))
 
@@ -30,7 +40,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op6_bpe, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op6_bpe, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
