@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, language, shard, warc
+from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, warc
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -39,12 +39,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(load(spark, sf_dir, "pages"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(load(spark, sf_dir, "documents"), SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op6_bpe, op8_warc, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
