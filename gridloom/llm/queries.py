@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, warc
+from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, simhash, warc
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -31,6 +31,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(load(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op5_simhash, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
