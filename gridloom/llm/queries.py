@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, simhash, warc
+from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, simhash, substring, warc
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.match_items(docs, load(spark, sf_dir, "benchmark"), carry_text=False))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(load(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(load(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language, op4_chat, op5_simhash, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_language, op4_chat, op5_simhash, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
