@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, language, neighbours, shard, simhash, substring, warc
+from gridloom.llm import bpe, chat, decontaminate, language, neighbours, score, shard, simhash, substring, warc
 from gridloom.llm.common import load
 
 SHARDS = 40
@@ -43,6 +43,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load(spark, sf_dir, "documents"))
 
 
+def op7_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(load(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_language, op4_chat, op5_simhash, op6_bpe, op8_warc, op9_neighbours, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_language, op4_chat, op5_simhash, op6_bpe, op7_score, op8_warc, op9_neighbours, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
