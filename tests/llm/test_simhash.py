@@ -105,3 +105,16 @@ def test_long_paths_end_in_one_component(spark):
     e = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_one_of_each_group_stays(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    base = [r.choice(words) for _ in range(600)]
+    near = list(base)
+    near[300] = "edited"
+    docs = [(7, " ".join(base)), (4, " ".join(near)), (4, " ".join(near)), (9, " ".join(base)), (None, " ".join(base)), (1, "alone here"), (None, "no id"), (None, "no id"), (2, ""), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component", F.lit("clash"))
+    got = sorted(((x.doc_id, x.text) for x in S.deduplicate(d).collect()), key=str)
+    assert got == sorted([(4, " ".join(near)), (1, "alone here"), (None, "no id"), (2, "")], key=str)
+    assert S.deduplicate(d.limit(0)).count() == 0
