@@ -37,8 +37,8 @@ from gridloom.llm import common as C
 WINDOW = 50
 #: Words of the prefix that anchors a window.
 PREFIX = 8
-#: Suffixes of one prefix that one task holds, and suffixes that it works on at a time.
-GROUP_ROWS, CHUNK_ROWS = 2_000, 20_000
+#: Suffixes of one prefix that one task holds (12 MB of contexts), and suffixes that it works on at a time.
+GROUP_ROWS, CHUNK_ROWS = 20_000, 20_000
 _W1, _W2 = 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
 
 
