@@ -1,4 +1,4 @@
-"""Registry of the raster, vector and annotation queries."""
+"""Registry of the raster, vector, tile, annotation and score queries."""
 
 from __future__ import annotations
 
@@ -6,33 +6,387 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from gridloom.functions import geo, text
+from gridloom.functions.shared import dense_ids
+from gridloom.functions.tables import boxes, load, mosaic, pixels, points
+from gridloom.operators import coco, detect, metrics, polygons, raster, tiling, vector
+from gridloom.plans.oracles import SQL
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8x8 rasters: raster_id, row, col, v, zone."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", "label", F.posexplode("embedding").alias("p", "x")).select(
-        F.col("vec_id").alias("raster_id"),
-        F.floor(F.col("p") / 8).cast("int").alias("row"),
-        (F.col("p") % 8).cast("int").alias("col"),
-        F.col("x").cast("double").alias("v"),
-        F.col("label").alias("zone"),
-    )
+#: Side of the mosaic's tiles in the queries, grid divisions, and pixels of an exported tile.
+SIDE, DIVISIONS, EXPORT = 16, 4, 256
+#: Share of a raster's maximum that the object queries cut at.
+PERCENT = 15.0
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
 
-def raster_tile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-tile noise floor and relative threshold; set pixels a raster."""
-    w = Window.partitionBy("raster_id")
-    h = F.greatest("v", F.lit(0.0))
-    px = pixels(spark, sf_dir).withColumn("h", h).withColumn("m", F.max("h").over(w))
-    on = (F.col("m") > 0.05) & (F.col("h") > 0.15 * F.col("m"))
-    return px.groupBy("raster_id").agg(F.sum(on.cast("long")).alias("n_set")).filter("n_set <= 100")
 
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"raster_tile_threshold": raster_tile_threshold}
+
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+# --- rasters -----------------------------------------------------------------------------------
+
+
+@query
+def filter_area(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return vector.filter_by_area(p, 1000.0, "p_retailprice")
+
+
+@query
+def raster_global_threshold(spark, sf):
+    m = raster.threshold_global(pixels(spark, sf), PERCENT)
+    return m.groupBy("raster_id").agg(F.sum(F.col("mask") / 255).cast("long").alias("n_set"))
+
+
+@query
+def raster_tile_threshold(spark, sf):
+    m = raster.threshold_tiles(pixels(spark, sf))
+    n = m.groupBy("raster_id").agg(F.sum((F.col("mask") == 255).cast("long")).alias("n_set"))
+    area = n.withColumn("area_m2", F.col("n_set").cast("double"))
+    return vector.filter_by_area(area, 100.0)
+
+
+@query
+def raster_grayscale_cast(spark, sf):
+    b = pixels(spark, sf).select("raster_id", raster.to_byte(F.col("v") * 100).alias("b"))
+    return b.groupBy("raster_id").agg(F.sum("b").alias("total"), F.max("b").alias("top"))
+
+
+@query
+def raster_band_stats(spark, sf):
+    s = raster.band_statistics(pixels(spark, sf))
+    return s.select("raster_id", "n", "v_min", "v_max", _r("v_mean"), _r("v_std"))
+
+
+@query
+def raster_tile_index(spark, sf):
+    return raster.tile_windows(raster.dimensions(mosaic(spark, sf)), SIDE)
+
+
+@query
+def raster_within_budget(spark, sf):
+    return raster.within_budget(raster.dimensions(mosaic(spark, sf)), SIDE)
+
+
+def _mosaic_meta(px: DataFrame) -> DataFrame:
+    d = raster.dimensions(px)
+    return d.select("raster_id", F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.col("width").cast("double").alias("xmax"), F.col("height").cast("double").alias("ymax"), "width", "height")
+
+
+@query
+def raster_extent_crop(spark, sf):
+    px = mosaic(spark, sf)
+    return raster.crop(px, _mosaic_meta(px), 10.0, 20.0, 30.0, 120.0).select("row", "col", "v")
+
+
+@query
+def minmax_normalize(spark, sf):
+    return raster.stretch(pixels(spark, sf)).select("raster_id", "row", "col", _r("v255"))
+
+
+def _bands(spark, sf):
+    e = load(spark, sf, "embeddings")
+    band = lambda i: F.least(F.lit(255), F.abs(F.floor(F.col("embedding")[i].cast("double") * 1000))).cast("int")
+    return e.select("vec_id", band(0).alias("r"), band(1).alias("g"), band(2).alias("b"))
+
+
+@query
+def rgb_to_gray(spark, sf):
+    return _bands(spark, sf).select("vec_id", raster.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
+
+
+@query
+def band_normalize(spark, sf):
+    n = raster.normalise_bands(F.col("r"), F.col("g"), F.col("b"))
+    return _bands(spark, sf).select("vec_id", *[F.round(c, 6).alias(x) for c, x in zip(n, "rgb", strict=True)])
+
+
+@query
+def bin_expectation(spark, sf):
+    e = load(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(raster.expectation(F.col("embedding")), 6).alias("height"))
+
+
+@query
+def raster_resample(spark, sf):
+    px = pixels(spark, sf)
+    return raster.resample(px, raster.dimensions(px), 0.5).select("raster_id", "row", "col", _r("v"))
+
+
+@query
+def mae(spark, sf):
+    a = load(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return raster.mean_absolute_error(a, "a", "b").select(_r("mae"))
+
+
+@query
+def zonal_max(spark, sf):
+    return raster.zonal_maximum(pixels(spark, sf)).select("zone", "v_max", _r("v_mean"), "n")
+
+
+# --- geometry ----------------------------------------------------------------------------------
+
+
+def _corner():
+    return [F.lit(c) for c in (100.0, 50.0, 612.0, 306.0, 256, 256)]
+
+
+@query
+def pos_to_coords(spark, sf):
+    x, y = geo.to_map(F.col("xmin"), F.col("ymin"), *_corner())
+    return boxes(spark, sf).select("box_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query
+def coords_to_pos(spark, sf):
+    x, y = geo.to_map(F.col("xmin"), F.col("ymin"), *_corner())
+    c, r = geo.to_pixel(x, y, *_corner())
+    return boxes(spark, sf).select("box_id", F.round(c, 6).alias("col"), F.round(r, 6).alias("row"))
+
+
+@query
+def pixel_resolution(spark, sf):
+    w = F.col("xmax") - F.col("xmin")
+    return boxes(spark, sf).select("box_id", F.round(geo.resolution(w, F.lit(256)), 3).alias("resolution"))
+
+
+@query
+def equiv_diameter(spark, sf):
+    return vector.measure_boxes(boxes(spark, sf)).select("box_id", _r("a_diam_m"))
+
+
+@query
+def box_measures(spark, sf):
+    m = vector.measure_boxes(boxes(spark, sf))
+    return dense_ids(m, ["image_id", "box_id"]).select("id", "box_id", "class", "label", "area_m2", _r("a_diam_m"), "cx", "cy")
+
+
+def _rings(spark, sf):
+    return boxes(spark, sf).select("box_id", vector.ring_of_box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
+
+
+@query
+def ring_shoelace(spark, sf):
+    m = vector.measure_rings(_rings(spark, sf))
+    return m.select("box_id", "area_m2", "perim_m", _r("cx"), _r("cy"), _r("a_diam_m"))
+
+
+@query
+def box_envelope_centroid(spark, sf):
+    m = vector.measure_rings(_rings(spark, sf))
+    return m.select("box_id", "xmin", "ymin", "xmax", "ymax", _r("cx"), _r("cy"))
+
+
+@query
+def ring_clip(spark, sf):
+    c = vector.clip_ring(F.col("ring"), F.lit(40.0), F.lit(30.0), F.lit(160.0), F.lit(170.0))
+    m = vector.measure_rings(_rings(spark, sf).withColumn("ring", c).filter(F.size("ring") > 0))
+    return m.filter("area_m2 > 0").select("box_id", "area_m2", "perim_m")
+
+
+@query
+def project_cea(spark, sf):
+    x, y = geo.cea(F.col("lon"), F.col("lat"))
+    return points(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query
+def project_local_cea(spark, sf):
+    x, y = geo.local_cea(F.col("lon"), F.col("lat"), 12.5)
+    return points(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query
+def project_mercator_inverse(spark, sf):
+    x, y = geo.mercator(F.col("lon"), F.col("lat"))
+    lon, lat = geo.unmercator(x, y)
+    return points(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query
+def total_bounds(spark, sf):
+    return vector.total_bounds(points(spark, sf), "lon", "lat")
+
+
+# --- tiles and annotations ---------------------------------------------------------------------
+
+
+@query
+def tile_grid(spark, sf):
+    g = tiling.grid(vector.total_bounds(points(spark, sf), "lon", "lat"), DIVISIONS)
+    return g.select("tile_id", *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def _box_bounds(b: DataFrame) -> DataFrame:
+    return b.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+
+
+def _pieces(spark, sf):
+    b = boxes(spark, sf)
+    return tiling.overlay_boxes(b, _box_bounds(b), DIVISIONS)
+
+
+@query
+def tile_overlay_box(spark, sf):
+    return _pieces(spark, sf).select("tile_id", "box_id", "image_id", *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query
+def tile_clip_pixels(spark, sf):
+    px = mosaic(spark, sf)
+    n = load(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    t = tiling.clip_pixels(px, n, 64, DIVISIONS)
+    return t.groupBy("tile_id").agg(F.count("*").alias("n"), F.max("tile_row").alias("last_row"), F.max("tile_col").alias("last_col"), F.max("v").alias("v_max"))
+
+
+@query
+def rasterize_boxes(spark, sf):
+    return metrics.rasterise_boxes(boxes(spark, sf)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+@query
+def rasterize_rings(spark, sf):
+    k = F.col("box_id")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    tri = F.array(p(k % 7, k % 5), p(k % 7 + 6 + k % 11, k % 5 + 1), p(k % 7 + 2, k % 5 + 5 + k % 13))
+    r = metrics.rasterise_ring(boxes(spark, sf).select("box_id", tri.alias("ring")))
+    return r.groupBy("box_id").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+@query
+def mask_union(spark, sf):
+    return metrics.mask_union(metrics.rasterise_boxes(boxes(spark, sf))).groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+@query
+def coco_images(spark, sf):
+    return coco.images(tiling.grid(_box_bounds(boxes(spark, sf)), DIVISIONS), EXPORT, EXPORT)
+
+
+def _annotations(spark, sf):
+    return coco.annotations(_pieces(spark, sf), EXPORT, EXPORT)
+
+
+@query
+def coco_annotations(spark, sf):
+    a = _annotations(spark, sf)
+    ring = F.flatten("segmentation")
+    return a.select("id", "image_id", "feature_id", "category_id", *[F.round(F.col("bbox")[i], 6).alias(c) for i, c in enumerate(("left", "top", "width", "height"))], F.size(ring).alias("n_numbers"), F.round(F.aggregate(ring, F.lit(0.0), lambda x, y: x + y), 6).alias("ring_sum"))
+
+
+@query
+def coco_json_roundtrip(spark, sf):
+    images = coco.images(tiling.grid(_box_bounds(boxes(spark, sf)), DIVISIONS), EXPORT, EXPORT)
+    back = coco.read_annotations(coco.documents(images, _annotations(spark, sf)))
+    return back.select("id", "image_id", "file_name", "category_id", *[_r(c) for c in ("left", "top", "width", "height")])
+
+
+# --- matching and scores -----------------------------------------------------------------------
+
+
+def _images(spark, sf, table):
+    return load(spark, sf, table).select(F.col("doc_id").alias("id"), F.concat(F.lit("tile_"), "doc_id", F.lit(".tif")).alias("file_name"))
+
+
+@query
+def match_by_file_name(spark, sf):
+    p = _images(spark, sf, "labels")
+    return metrics.match_by_name(_images(spark, sf, "documents"), p.unionByName(p.withColumn("id", F.col("id") + 1_000_000)))
+
+
+@query
+def image_annotation_lookup(spark, sf):
+    images = spark.range(20).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("tile_"), "id", F.lit(".tif")).alias("file_name"))
+    a = coco.annotations_of(images, boxes(spark, sf))
+    return a.groupBy("image_id", "file_name").agg(F.count("*").alias("n"), F.min("box_id").alias("first_box"))
+
+
+@query
+def segmentation_scores(spark, sf):
+    m = load(spark, sf, "labels").select((F.col("doc_id") % 4).alias("pred_set"), F.col("quality").alias("target"), F.col("toxic").alias("predicted"))
+    s = metrics.scores(m, ["pred_set"])
+    return s.select("pred_set", "tp", "fp", "fn", *[_r(c) for c in ("dice", "precision_ref", "recall_ref", "accuracy_ref", "precision_textbook")])
+
+
+@query
+def segmentation_scores_pixels(spark, sf):
+    t = metrics.rasterise_boxes(boxes(spark, sf))
+    p = metrics.rasterise_boxes(boxes(spark, sf, True)).withColumn("pred_set", F.lit("shifted"))
+    q = metrics.rasterise_boxes(boxes(spark, sf).filter("box_id % 3 = 0 and image_id <> 0")).withColumn("pred_set", F.lit("third"))
+    s = metrics.mask_scores(t, p.unionByName(q))
+    return s.select("pred_set", "tp", "fp", "fn", *[_r(c) for c in ("dice", "precision_ref", "recall_ref", "accuracy_ref", "precision_textbook")])
+
+
+@query
+def box_iou(spark, sf):
+    a, b = boxes(spark, sf), boxes(spark, sf, True).withColumnsRenamed({c: f"p_{c}" for c in ("image_id", "xmin", "ymin", "xmax", "ymax", "score")})
+    names = ("xmin", "ymin", "xmax", "ymax")
+    iou = metrics.box_iou([F.col(c) for c in names], [F.col(f"p_{c}") for c in names])
+    return a.join(b, "box_id").select("box_id", F.round(iou, 6).alias("iou"))
+
+
+@query
+def nms_boxes(spark, sf):
+    return detect.suppress(boxes(spark, sf), 0.2).select("image_id", "box_id", "score")
+
+
+@query
+def probability_cut(spark, sf):
+    m = pixels(spark, sf).select(F.col("zone").alias("image_id"), "row", "col", (F.abs("v") * 2).alias("prob"))
+    return detect.cut_probability(m).groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+# --- objects -----------------------------------------------------------------------------------
+
+
+def _mask(spark, sf):
+    return raster.threshold_global(pixels(spark, sf), PERCENT).select("raster_id", "row", "col", (F.col("mask") > 0).alias("on"))
+
+
+@query
+def mask_components(spark, sf):
+    c = polygons.pixel_components(_mask(spark, sf).filter("on").select("raster_id", "row", "col"))
+    return c.groupBy("raster_id", "lrow", "lcol").agg(F.count("*").alias("n"))
+
+
+@query
+def fill_holes(spark, sf):
+    return polygons.fill_holes(_mask(spark, sf)).groupBy("raster_id").agg(F.count("*").alias("n"))
+
+
+@query
+def polygonize_measures(spark, sf):
+    f = polygons.features(polygons.polygonize(_mask(spark, sf)))
+    return f.select("id", "raster_id", "n_cells", "area_m2", _r("perim_m"), _r("a_diam_m"), "xmin", "ymin", "xmax", "ymax", _r("cx"), _r("cy"))
+
+
+# --- text --------------------------------------------------------------------------------------
+
+
+@query
+def regex_percent(spark, sf):
+    e = load(spark, sf, "events").select("event_id", F.concat(F.lit("step at "), F.regexp_extract("props", r"(\d+)", 1), F.lit(".7% done")).alias("m"))
+    return e.select("event_id", text.percent(F.col("m")).alias("percent"))
+
+
+@query
+def output_names(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", F.concat(F.lit("/out/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("_"), "p_partkey", F.lit(".shp")).alias("path"), F.concat(F.lit("EPSG:"), F.col("p_partkey") % 9000).alias("crs"))
+    c = F.col("path")
+    return p.select("p_partkey", text.basename(c).alias("file"), text.stem(c).alias("stem"), text.sibling(c, "_bb").alias("bb"), text.epsg_number(F.col("crs")).alias("epsg"), F.contains(c, F.lit(".shp")).alias("is_vector"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _queries}
