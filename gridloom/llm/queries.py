@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, chat, decontaminate, language, neighbours, score, shard, simhash, substring, warc
 from gridloom.llm.common import load
+from gridloom.llm.oracles import SQL
 
 SHARDS = 40
 
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
