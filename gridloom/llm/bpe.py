@@ -25,6 +25,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import common as C
 
 FILE = "word_bpe_49k.json"
-#: Encodings that a worker keeps before it starts anew.
+#: Encoded words that a worker keeps before it starts anew.
 CACHE_WORDS = 200_000
 #: A rank beyond every merge.
 NEVER = 1 << 30
@@ -65,9 +66,7 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         added = {t["content"]: t["id"] for t in d["added_tokens"]}
         size = 1 + max([*self.vocab.values(), *added.values()])
-        self.tokens = [""] * size
-        for t, i in itertools.chain(self.vocab.items(), added.items()):
-            self.tokens[i] = t
+        self.tokens = spellings(spec)
         self.added = added
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         split = next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
@@ -87,9 +86,10 @@ class Tokenizer:
             self.rank[k], self.left[k], self.right[k] = r, i, j
         order = np.argsort(keys)
         self.pair_key, self.pair_rank, self.size = np.array(keys, dtype=np.int64)[order], np.array(ranks, dtype=np.int64)[order], size
+        self.pair_token = np.full(len(keys) + 1, -1, dtype=np.int64)  # the last for pairs that don't merge
+        self.pair_token[:-1] = np.array([self.merges[k // size, k % size][1] for k in self.pair_key.tolist()], dtype=np.int64)
         self._find_sound()
-        self.longest = max(map(len, self.vocab))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
         self.n_exact = self.n_words = 0
 
     def crossing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,27 +122,39 @@ class Tokenizer:
         sound = self.rank < 0
         for k, ok in sorted(zip(merged.tolist(), clear.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
             sound[k] = ok and sound[self.left[k]] and sound[self.right[k]]
-        self.proposable = {t: i for t, i in self.vocab.items() if sound[i]}
+        #: The sound tokens that end a word, without the mark, and the others as a trie ("" holds the token).
+        self.endings: dict[str, int] = {}
+        self.trie: dict = {}
+        for t, i in self.vocab.items():
+            if not sound[i]:
+                continue
+            if t.endswith(self.end):
+                self.endings[t.removesuffix(self.end)] = i
+            else:
+                node = self.trie
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[""] = i
 
     def spell(self, word: str) -> str:
         return "".join([self.alphabet[b] for b in word.encode()])
 
     def propose(self, spelt: str) -> list[int]:
         """Greedy longest match over sound tokens; the last one carries the word end."""
-        n, i, out, get, end = len(spelt), 0, [], self.proposable.get, self.end
-        while i < n:
-            t = get(spelt[i:] + end) if n - i <= self.longest else None
-            if t is not None:
-                out.append(t)
-                break
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                t = get(spelt[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
+        last, i, out, ending, root = len(spelt) - 1, 0, [], self.endings.get, self.trie
+        while (t := ending(spelt[i:])) is None:
+            node, found = root, None
+            for j in range(i, last):
+                node = node.get(spelt[j])
+                if node is None:
                     break
-            else:
+                if (t := node.get("")) is not None:
+                    found, stop = t, j
+            if found is None:
                 raise ValueError(f"no token for {spelt[i]!r}")
+            out.append(found)
+            i = stop + 1
+        out.append(t)
         return out
 
     def merge(self, spelt: str) -> list[int]:
@@ -166,8 +178,58 @@ class Tokenizer:
                     heapq.heappush(heap, (m[0], x, m[1], (ids[x], ids[y])))
         return [t for t in ids if t >= 0]
 
-    def learn(self, words: list[str]) -> None:
-        """Put the encodings of new words into the cache."""
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each pair in pair_key, or its length where the pair doesn't merge."""
+        key = a * self.size + b
+        i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[i] == key, i, len(self.pair_key))
+
+    def merge_all(self, spelt: list[str]) -> list[list[int]]:
+        """Exact merging of many words at once: in each round every word merges one pair, its first by rank and place."""
+        out: list[list[int]] = [[] for _ in spelt]
+        chars = np.array(list("".join(spelt)))
+        size = np.array([len(s) for s in spelt])
+        symbols, at = np.unique(chars, return_inverse=True)
+        plain, final = (np.array([self.vocab[c + e] for c in symbols.tolist()], dtype=np.int64) for e in ("", self.end))
+        ids = plain[at]
+        last = np.cumsum(size) - 1
+        ids[last] = final[at[last]]
+        word = np.repeat(np.arange(len(spelt)), size)
+        none = len(self.pair_key)
+        rank = np.append(self.pair_rank, NEVER)
+        pair = np.full(len(ids), none)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        pair[inside] = self._pair(ids[inside], ids[inside + 1])
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            size = np.diff(np.append(start, len(ids)))
+            r = rank[pair]
+            best = np.minimum.reduceat(r, start)
+            done = best == NEVER
+            if done.any():
+                mine = np.repeat(done, size)
+                flat = ids[mine].tolist()
+                ends = np.cumsum(size[done]).tolist()
+                for w, a, b in zip(word[start[done]].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[w] = flat[a:b]
+                ids, word, pair = ids[~mine], word[~mine], pair[~mine]
+                continue
+            hit = np.flatnonzero(r == np.repeat(best, size))
+            hit = hit[np.concatenate(([True], word[hit[1:]] != word[hit[:-1]]))]
+            ids[hit] = self.pair_token[pair[hit]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hit + 1] = False
+            ids, word, pair = ids[keep], word[keep], pair[keep]
+            hit = hit - np.arange(len(hit))
+            pair[hit] = none
+            for left in (hit, hit - 1):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                left = left[word[left] == word[left + 1]]
+                pair[left] = self._pair(ids[left], ids[left + 1])
+        return out
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """The tokens of each word."""
         spelt = [self.spell(w) for w in words]
         proposed = [self.propose(s) for s in spelt]
         flat = np.fromiter(itertools.chain.from_iterable(proposed), dtype=np.int64)
@@ -178,8 +240,11 @@ class Tokenizer:
         failed = set(owner[inside[bad]].tolist())
         self.n_words += len(words)
         self.n_exact += len(failed)
-        for i, w in enumerate(words):
-            self.cache[w] = tuple(self.merge(spelt[i]) if i in failed else proposed[i])
+        long = [i for i in failed if len(spelt[i]) > 64]  # a round a token would be too many rounds
+        short = [i for i in failed if len(spelt[i]) <= 64]
+        for i, ids in itertools.chain(((i, self.merge(spelt[i])) for i in long), zip(short, self.merge_all([spelt[i] for i in short]) if short else [], strict=True)):
+            proposed[i] = ids
+        return proposed
 
     def split(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
@@ -187,35 +252,66 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at its neighbours
         return self.words(text.lower())
 
+    def _units(self, text: str) -> list:
+        """The words of a text, and its added tokens as tuples."""
+        if self.added_split and any(a in text for a in self.added):
+            return [x for part in self.added_split.split(text) if part for x in ([(part,)] if part in self.added else self.split(part))]
+        return self.split(text)
+
+    def _learn(self, units: list) -> None:
+        """Put the tokens of new words and added tokens behind those known."""
+        words = [u for u in units if isinstance(u, str)]
+        added = [u for u in units if not isinstance(u, str)]
+        ids = self.encode_words(words) + [[self.added[u[0]]] for u in added] if words else [[self.added[u[0]]] for u in added]
+        n = len(self.index)
+        self.index.update(zip(words + added, range(n, n + len(ids)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
+        self.values = np.concatenate([self.values, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts in one array, and where each text's begin and the last one's end."""
+        if len(self.index) > CACHE_WORDS:
+            self._forget()
+        units = [self._units(t) for t in texts]
+        every = list(itertools.chain.from_iterable(units))
+        if new := set(every) - self.index.keys():
+            self._learn(list(new))
+        at = np.fromiter(map(self.index.__getitem__, every), dtype=np.int64, count=len(every))
+        n = self.sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        values = self.values[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ends[np.concatenate(([0], np.cumsum([len(u) for u in units])))].astype(np.int32), values
+
+    def _forget(self) -> None:
+        self.index: dict = {}
+        self.sizes, self.starts, self.values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        parts: list[list[list[str] | int]] = []
-        for t in texts:
-            if self.added_split and any(a in t for a in self.added):
-                parts.append([self.added[p] if p in self.added else self.split(p) for p in self.added_split.split(t) if p])
-            else:
-                parts.append([self.split(t)])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = {w for ps in parts for p in ps if not isinstance(p, int) for w in p} - cache.keys()
-        if new:
-            self.learn(list(new))
-        out = []
-        for ps in parts:
-            ids: list[int] = []
-            for p in ps:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    ids.extend(itertools.chain.from_iterable(map(cache.__getitem__, p)))
-            out.append(ids)
-        return out
+        offsets, values = self.encode_arrays(texts)
+        return [values[a:b].tolist() for a, b in itertools.pairwise(offsets)]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with one space between them, as the library does without a decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def spellings(spec: str) -> list[str]:
+    """Every token's string by its number, which is all that decoding needs."""
+    d = json.loads(spec)
+    every = d["model"]["vocab"] | {t["content"]: t["id"] for t in d["added_tokens"]}
+    out = [""] * (1 + max(every.values()))
+    for t, i in every.items():
+        out[i] = t
+    return out
+
+
+def join_tokens(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The texts of lists of tokens: the tokens with one space between them."""
+    ids = pa.compute.fill_null(ids, []) if ids.null_count else ids
+    return pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
+
+
 _made: dict[int, Tokenizer] = {}
 
 
@@ -246,11 +342,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep_te
         t = _tokenizer(spec.value)
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            ids = t.encode_batch([x.decode("utf-8", "replace") if x else "" for x in cols["gl_raw"].to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            values = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
+            offsets, values = t.encode_arrays([x.decode("utf-8", "replace") if x else "" for x in cols["gl_raw"].to_pylist()])
             cols["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield C.record_batch(cols, arrow)
+        t._forget()  # the worker lives on
 
     return docs.select(*kept.columns, C.as_bytes(text).alias("gl_raw")).mapInArrow(run, schema)
 
@@ -260,15 +355,16 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
     spark = encoded.sparkSession
     C.small_batches(spark)
     encoded = encoded.drop("decoded")
-    spec = _spec(spark, path)
+    with open(path or default_path(), encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(spellings(f.read()))
     schema = C.with_fields(encoded, "decoded string")
     arrow = C.arrow_schema(spark, schema.toDDL())
 
     def run(batches):
-        t = _tokenizer(spec.value)
+        tokens = pa.array(shared.value)
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            cols["decoded"] = [t.decode(x or []) for x in cols[ids].to_pylist()]
+            cols["decoded"] = join_tokens(cols[ids], tokens)
             yield C.record_batch(cols, arrow)
 
     return encoded.mapInArrow(run, schema)

@@ -45,8 +45,7 @@ def test_same_as_the_library(own, library):
 
 def test_exact_merging_agrees_with_verified_proposals(own, library):
     words = [w for t in texts()[:400] for w in own.split(t)]
-    own.learn(words)
-    assert all(tuple(own.merge(own.spell(w))) == own.cache[w] for w in words)
+    assert own.encode_words(words) == [own.merge(own.spell(w)) for w in words] == own.merge_all([own.spell(w) for w in words])
 
 
 def test_frames(spark, library):
@@ -57,3 +56,11 @@ def test_frames(spark, library):
     assert got == want
     assert bpe.digest(d.limit(0)).count() == 0
     assert [r.n_tokens for r in bpe.digest(d).orderBy("doc_id").collect()] == [2, 2, 0, 0, 50_000]
+
+
+def test_null_ids_and_a_full_cache(spark, own, monkeypatch):
+    d = spark.createDataFrame([(1, [320, 49407]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(d).collect()} == {1: "a</w> <|endoftext|>", 2: "", 3: ""}
+    want = own.encode_batch(texts()[:50])
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    assert [own.encode_batch([t])[0] for t in texts()[:50]] == want
