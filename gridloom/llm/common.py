@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Folder that driver and executors share; a cluster names it, tests may not.
 SHARED_DIR = "spark.checkpoint.dir"
 #: Bounds of what one Arrow batch may hold, so that long texts don't fill a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 _own_dir: str | None = None
 

@@ -37,15 +37,14 @@ BLOCKS_A_PASS = 2
 class Automaton:
     """Generalised suffix automaton over word numbers; state 0 is the empty word sequence."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes], bool]], ngram: int = NGRAM):
-        """items: (id, words, whether it is a piece of a longer item or whole)."""
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], ngram: int = NGRAM):
         self.ngram = ngram
         self.vocab: dict[bytes, int] = {}
         self.trans: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         tokens = []
-        for item, words, _ in items:
+        for item, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
             tokens.append((item, ids))
             last = 0
@@ -152,7 +151,7 @@ class Automaton:
         return hit, found
 
 
-def item_blocks(items: DataFrame, ngram: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes], bool]]]:
+def item_blocks(items: DataFrame, ngram: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of at most block_words words; the driver holds one block at a time."""
     block, size = [], 0
     for item, text in items.select(F.col("item_id").cast("string"), C.as_bytes("text")).toLocalIterator():
@@ -165,7 +164,7 @@ def item_blocks(items: DataFrame, ngram: int, block_words: int) -> Iterator[list
             if size + len(piece) > block_words and block:
                 yield block
                 block, size = [], 0
-            block.append((item, piece, len(words) <= block_words))
+            block.append((item, piece))
             size += len(piece)
     if block:
         yield block

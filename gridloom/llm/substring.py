@@ -118,14 +118,14 @@ def _levels(group: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     words: one row a suffix, numbers from 1, 0 after the end.
     """
     out = [group]
-    node = group
+    node, base = group.astype(np.int64), int(words.max(initial=0)) + 1
     for d in range(words.shape[1]):
         w = words[:, d]
         live = (node >= 0) & (w > 0)
         new = np.full(len(node), -1, dtype=np.int64)
-        _, new[live] = np.unique(node[live] * (int(words.max()) + 1) + w[live], return_inverse=True)
+        _, new[live] = np.unique(node[live] * base + w[live], return_inverse=True)
         node = new
-        out.append(node)
+        out.append(node.astype(np.int32))
     return out
 
 
@@ -133,7 +133,7 @@ def repeats(group: np.ndarray, doc: np.ndarray, left: list[bytes], right: list[b
     """For each suffix how many words before and from its place repeat earlier text, as 0, 0 if none."""
     number: dict[bytes, int] = {}
     back = window - prefix
-    ls, rs = np.zeros((len(doc), back), dtype=np.int64), np.zeros((len(doc), window), dtype=np.int64)
+    ls, rs = np.zeros((len(doc), back), dtype=np.int32), np.zeros((len(doc), window), dtype=np.int32)
     for i, (a, b) in enumerate(zip(left, right, strict=True)):
         x = [number.setdefault(w, len(number) + 1) for w in reversed(a.split())]
         ls[i, : len(x)] = x
@@ -146,7 +146,7 @@ def repeats(group: np.ndarray, doc: np.ndarray, left: list[bytes], right: list[b
         live = np.flatnonzero((x >= 0) & (y >= 0))
         if not len(live):
             continue
-        _, node = np.unique(x[live] * (len(doc) + 1) + y[live], return_inverse=True)
+        _, node = np.unique(x[live].astype(np.int64) * (len(doc) + 1) + y[live], return_inverse=True)
         least = np.full(node.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc[live])
         hit = live[least[node] < doc[live]]
