@@ -231,7 +231,8 @@ def links(rows: DataFrame, bits: int, limit: int = BUCKET_ROWS) -> DataFrame:
 
 def _met(dealt: DataFrame, bits: int, limit: int) -> DataFrame:
     C.small_batches(dealt.sparkSession)
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_compare(bits, limit), _PAIR)
+    # by node, so that a group's links start at the same nodes in all tables, and most are the same links
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_compare(bits, limit), _PAIR)
 
 
 def agreeing(edges: DataFrame, fps: DataFrame, n: int, agree: float) -> DataFrame:
