@@ -1,18 +1,21 @@
-"""LM scoring by masked pseudo-likelihood: a bidirectional window network.
+"""LM scoring by masked pseudo-likelihood: bidirectional window networks.
 
 Every word is predicted from its neighbours on both sides, itself masked. A word is a class and a
-member of it: the ``OWN`` most frequent words are classes of their own, others share the classes of
-their last two bytes, and all beyond the vocabulary share one. A small network (two embeddings of the
-neighbours' classes, a tanh layer, a softmax) gives the class, and corpus frequencies the member. A
+member of it: the ``OWN`` most frequent words are classes of their own, all others share the classes
+of their last two bytes. For each distance up to the window a small network (two embeddings of the
+classes at that distance, a tanh layer, a softmax) gives the class; two distances are mixed in the
+share that makes the corpus most likely. The member's probability is its count in its class, for
+every word of the corpus; one count of a class is left for words that the corpus doesn't have. A
 document's score is the sum of its words' conditional log-probabilities.
 
-What the corpus gives are the counts of all words and of all class triples (left, middle, right),
-over all documents: each task counts its own and the counts are summed. The network is trained in
-numpy on the table of triples, which holds at most ``CLASSES``**3 numbers whatever the input, so
-every word of the corpus takes part in every step.
+What the corpus gives are the counts of all words, which grow with it, and those of all class triples
+(left, middle, right) at each distance, over all documents: each task counts its own and the counts
+are summed. The networks are trained in numpy on the tables of triples, which hold at most
+``CLASSES``**3 numbers each whatever the input, so every word of the corpus takes part in every step.
 
-Scale: two narrow passes that count and one that scores; what is shuffled are counts, and what is
-broadcast is the vocabulary (``VOCABULARY`` words) and one table of CLASSES**3 log-probabilities.
+Scale: narrow passes that count, weigh the distances and score. Shuffled are counts, and the words
+beyond the broadcast ``VOCABULARY`` with the table of their counts, which stays distributed and is
+joined in. Also broadcast is a table of CLASSES**3 log-probabilities for each distance.
 
 Defined results: a null or wordless text has 0 words, log_prob 0 and a null mean; an empty corpus
 gives an untrained network; repeated rows count and are scored alike; other columns are kept, except
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +35,66 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common as C
 
-#: Words with numbers of their own.
+#: Words whose counts are broadcast; those of all others are joined in.
 VOCABULARY = 30_000
-#: Classes: 0 is the text's edge, 1 all words beyond the vocabulary, then OWN words, then endings.
+#: Classes: 0 is the text's edge, 1 is free, then OWN words, then endings.
 CLASSES, OWN = 128, 62
+#: Words on each side that op7 looks at, one or two.
+WINDOW = 2
+#: Steps of a log ratio in which the distances are weighed, and the ratio's bound.
+RATIO_STEPS, RATIO_MOST = 100, 20
+#: Fractions of one in which joined logarithms are summed, so that their order doesn't matter.
+FRACTION = 1 << 32
 HIDDEN, STEPS, RATE, SEED = 32, 60, 0.05, 7
 
 
 def class_of(rank: int, word: bytes) -> int:
-    if rank < OWN:
-        return 2 + rank
+    return 2 + rank if rank < OWN else ending(word)
+
+
+def ending(word: bytes) -> int:
     return 2 + OWN + zlib.crc32(word[-2:]) % (CLASSES - 2 - OWN)
 
 
 @dataclass
 class Model:
-    #: Of each known word its class and its log-probability within it.
+    #: Of each word of the vocabulary its class and its log-probability within it.
     words: dict[bytes, tuple[int, float]]
-    unknown: float
+    #: By class, the log-probability in it of a word counted once, or never.
+    unknown: np.ndarray
     #: log P(middle | left, right), by [left, right, middle].
     table: np.ndarray
-
-    def score(self, text: bytes | None) -> tuple[int, float]:
+    #: The same for the second neighbours, and its share of the mixture.
+    outer: np.ndarray | None = None
+    share: float = 0.0
+    #: word, n of all words beyond the vocabulary that the corpus has more than once.
+    rest: DataFrame | None = None
+
+    def classes(self, ws: list[bytes], window: int) -> np.ndarray:
+        """The words' classes with window edges before and after."""
+        c = np.zeros(len(ws) + 2 * window, dtype=np.int64)
+        c[window:-window] = [self.words[w][0] if w in self.words else ending(w) for w in ws]
+        return c
+
+    def parts(self, text: bytes | None) -> tuple[int, float, Counter]:
+        """Words, log-probability with words beyond the vocabulary as if counted once, and those words."""
         ws = C.alnum_words(text)
         if not ws:
-            return 0, 0.0
-        default = (1, self.unknown)
-        got = [self.words.get(w, default) for w in ws]
-        c = np.zeros(len(ws) + 2, dtype=np.int64)
-        c[1:-1] = [g[0] for g in got]
-        return len(ws), float(self.table[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64) + sum([g[1] for g in got]))
+            return 0, 0.0, Counter()
+        c = self.classes(ws, 2)
+        own = c[2:-2]
+        p = self.table[c[1:-3], c[3:-1], own].astype(np.float64)
+        if self.outer is not None:
+            p = np.logaddexp(p + np.log1p(-self.share), self.outer[c[:-4], c[4:], own] + np.log(self.share))
+        get = self.words.get
+        members = [get(w) for w in ws]
+        rest = Counter([w for w, m in zip(ws, members, strict=True) if m is None])
+        within = sum([m[1] for m in members if m is not None]) + sum([k * self.unknown[ending(w)] for w, k in rest.items()])
+        return len(ws), float(p.sum() + within), rest
+
+    def score(self, text: bytes | None) -> tuple[int, float]:
+        """Words and log-probability, for texts of the vocabulary's words."""
+        return self.parts(text)[:2]
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -76,8 +109,11 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return C.arrow_map(docs.select(C.as_bytes(text).alias("text")), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_triples(docs: DataFrame, classes: dict[bytes, int], text: str) -> DataFrame:
-    """triple ((left * CLASSES + right) * CLASSES + middle), n over all texts, summed in each task first."""
+def count_triples(docs: DataFrame, classes: dict[bytes, int], text: str, window: int = 1) -> DataFrame:
+    """triple ((left * CLASSES + right) * CLASSES + middle), n over all texts, summed in each task first.
+
+    Triples of neighbours at distance d have (d - 1) * CLASSES**3 added.
+    """
     spark = docs.sparkSession
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(classes)
@@ -85,16 +121,19 @@ def count_triples(docs: DataFrame, classes: dict[bytes, int], text: str) -> Data
     arrow = C.arrow_schema(spark, schema)
 
     def run(batches):
-        get = shared.value.get
-        total = np.zeros(CLASSES**3, dtype=np.int64)
+        of = shared.value
+        total = np.zeros(window * CLASSES**3, dtype=np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 ws = C.alnum_words(t)
                 if ws:
-                    c = np.zeros(len(ws) + 2, dtype=np.int64)
-                    c[1:-1] = [get(w, 1) for w in ws]
-                    k, n = np.unique((c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1], return_counts=True)
-                    total[k] += n
+                    c = np.zeros(len(ws) + 2 * window, dtype=np.int64)
+                    own = c[window:-window]
+                    own[:] = [of[w] if w in of else ending(w) for w in ws]
+                    for d in range(1, window + 1):
+                        left, right = c[window - d :][: len(ws)], c[window + d :][: len(ws)]
+                        k, n = np.unique(((d - 1) * CLASSES**2 + left * CLASSES + right) * CLASSES + own, return_counts=True)
+                        total[k] += n
         k = np.flatnonzero(total)
         for at in range(0, len(k), 100_000):
             part = k[at : at + 100_000]
@@ -138,20 +177,72 @@ def train(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return table
 
 
-def fit(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY) -> Model:
+def outer_share(docs: DataFrame, model: Model, text: str) -> float:
+    """The share of model.outer under which the words of docs are most likely.
+
+    Each task counts its words by the rounded log ratio of both predictions; the share is found on
+    these counts.
+    """
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    shared = spark.sparkContext.broadcast(replace(model, rest=None))
+    schema = "ratio int, n long"
+    arrow = C.arrow_schema(spark, schema)
+    most = RATIO_STEPS * RATIO_MOST
+
+    def run(batches):
+        m = shared.value
+        total = np.zeros(2 * most + 1, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                ws = C.alnum_words(t)
+                if ws:
+                    c = m.classes(ws, 2)
+                    ratio = m.outer[c[:-4], c[4:], c[2:-2]] - m.table[c[1:-3], c[3:-1], c[2:-2]]
+                    total += np.bincount(np.clip(np.rint(ratio * RATIO_STEPS).astype(np.int64), -most, most) + most, minlength=2 * most + 1)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((k - most).astype(np.int32)), pa.array(total[k])], schema=arrow)
+
+    rows = docs.select(C.as_bytes(text)).mapInArrow(run, schema).groupBy("ratio").agg(F.sum("n").alias("n")).orderBy("ratio").collect()
+    if not rows:
+        return 0.5
+    ratio, n = np.exp(np.array([r[0] for r in rows]) / RATIO_STEPS), np.array([r[1] for r in rows], dtype=np.float64)
+    share = 0.5
+    for _ in range(200):  # EM
+        share = float((n * share * ratio / (1 - share + share * ratio)).sum() / n.sum())
+    return min(max(share, 1e-6), 1 - 1e-6)  # neither distance is ever ruled out
+
+
+def fit(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, window: int = 1) -> Model:
+    """The model of docs, with a window of one or two words on each side."""
     words = C.materialise(count_words(docs, text), "words")
-    ranked = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # the vocabulary's bound
-    n_words, n_all = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    C.discard(words)
-    classes = {bytes(w): class_of(i, bytes(w)) for i, (w, _) in enumerate(ranked)}
-    triples = count_triples(docs, classes, text).toArrow()  # at most CLASSES ** 3 rows
-    counts = np.zeros(CLASSES**3, dtype=np.float64)
-    counts[triples.column(0).to_numpy()] = triples.column(1).to_numpy()
+    ranked = [(bytes(w), n) for w, n in words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]  # the vocabulary's bound
+    classes = {w: class_of(i, w) for i, (w, _) in enumerate(ranked)}
     of_class = np.zeros(CLASSES)
-    for w, n in ranked:
-        of_class[classes[bytes(w)]] += n
-    known = {bytes(w): (classes[bytes(w)], float(np.log(n / of_class[classes[bytes(w)]]))) for w, n in ranked}
-    return Model(known, -float(np.log(max(1, n_words - len(ranked)) + 1)), train(counts.reshape(CLASSES, CLASSES, CLASSES)))
+    kind = 2 + OWN + F.crc32(F.expr("substring(word, greatest(1, length(word) - 1), 2)")) % (CLASSES - 2 - OWN)
+    for c, n in words.groupBy(kind.alias("class")).agg(F.sum("n")).collect():
+        of_class[c] = n
+    for w, n in ranked[:OWN]:
+        of_class[ending(w)] -= n
+        of_class[classes[w]] = n
+    of_class[2 + OWN :] += 1  # for words that the corpus doesn't have
+    known = {w: (classes[w], float(np.log(n / of_class[classes[w]]))) for w, n in ranked}
+    rest = None
+    if len(ranked) == vocabulary:
+        least, last = ranked[-1][1], bytearray(ranked[-1][0])
+        rest = words.filter((F.col("n") > 1) & ((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > F.lit(last))))
+    else:
+        C.discard(words)
+    triples = count_triples(docs, classes, text, window).toArrow()  # at most window * CLASSES ** 3 rows
+    counts = np.zeros(window * CLASSES**3, dtype=np.float64)
+    counts[triples.column(0).to_numpy()] = triples.column(1).to_numpy()
+    tables = [train(x) for x in counts.reshape(window, CLASSES, CLASSES, CLASSES)]
+    model = Model(known, -np.log(np.maximum(1, of_class)), tables[0], rest=rest)
+    if window == 1:
+        return model
+    model.outer = tables[1]
+    model.share = outer_share(docs, model, text)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -160,22 +251,33 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     C.small_batches(spark)
     docs = docs.drop("n_words", "log_prob", "mean_log_prob")
     columns = docs.columns
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(replace(model, rest=None))
     raw = docs.withColumn(text, C.as_bytes(text))
-    schema = C.with_fields(raw, "n_words long, log_prob double")
+    schema = C.with_fields(raw, "n_words long, log_prob double, gl_words array<binary>, gl_times array<int>")
     arrow = C.arrow_schema(spark, schema.toDDL())
 
     def run(batches):
         m = shared.value
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            got = [m.score(t) for t in cols[text].to_pylist()]
-            yield C.record_batch(cols | {"n_words": [g[0] for g in got], "log_prob": [g[1] for g in got]}, arrow)
-
-    out = raw.mapInArrow(run, schema).select(*[F.col(c).cast("string") if c == text else F.col(c) for c in columns], "n_words", "log_prob")
+            got = [m.parts(t) for t in cols[text].to_pylist()]
+            at = pa.array(np.cumsum([0] + [len(g[2]) for g in got]).astype(np.int32))
+            words = pa.ListArray.from_arrays(at, pa.array([w for g in got for w in g[2]], type=pa.binary()))
+            times = pa.ListArray.from_arrays(at, pa.array([k for g in got for k in g[2].values()], type=pa.int32()))
+            yield C.record_batch(cols | {"n_words": [g[0] for g in got], "log_prob": [g[1] for g in got], "gl_words": words, "gl_times": times}, arrow)
+
+    out = raw.mapInArrow(run, schema).select(*[F.col(c).cast("string") if c == text else F.col(c) for c in columns], "n_words", "log_prob", "gl_words", "gl_times")
+    if model.rest is not None:
+        # a word counted n times has log n more than one counted once
+        out = C.materialise(out.withColumn("gl_row", F.monotonically_increasing_id()), "scored")
+        pairs = out.select("gl_row", F.explode(F.arrays_zip("gl_words", "gl_times")).alias("w")).select("gl_row", F.col("w.gl_words").alias("word"), F.col("w.gl_times").alias("times"))
+        more = model.rest.select("word", F.round(F.log("n") * FRACTION).cast("long").alias("more"))
+        sums = pairs.join(more, "word").groupBy("gl_row").agg(F.sum(F.col("times") * F.col("more")).alias("gl_more"))
+        out = out.drop("gl_words", "gl_times").join(sums, "gl_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("gl_more") / FRACTION, F.lit(0.0)))
+    out = out.select(*columns, "n_words", "log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trained on all documents, the score of every document."""
-    return score(docs.select("doc_id", "text"), fit(docs)).drop("text")
+    return score(docs.select("doc_id", "text"), fit(docs, window=WINDOW)).drop("text")

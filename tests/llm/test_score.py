@@ -63,3 +63,40 @@ def test_defined_cases(spark, rows):
     if rows:
         assert (got[1].n_words, got[1].log_prob, got[1].mean_log_prob) == (0, 0.0, None) == (got[2].n_words, got[2].log_prob, got[2].mean_log_prob)
         assert got[None].n_words == 100_000 and "triple" in got[None]
+
+
+def test_words_beyond_the_vocabulary_keep_their_counts(spark):
+    rows = [(1, "the frequent sable " * 50 + "cable cable cable table"), (2, "cable"), (2, "cable"), (3, "table unseen"), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    full, cut = S.fit(d), S.fit(d, vocabulary=3)
+    assert b"cable" in full.words and b"cable" not in cut.words and full.rest is None
+    a, b = (sorted(((r.doc_id, r.n_words, round(r.log_prob, 6)) for r in S.score(d, m).collect()), key=str) for m in (full, cut))
+    got = dict(((i, n), s) for i, n, s in b)
+    want = {(i, n): sum(float(cut.table[c(j - 1), c(j + 1), c(j)]) + within(w) for j, w in enumerate(ws)) for i, ws, n, c, within in plain(rows, cut)}
+    assert len(a) == len(b) == len(rows) and got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-5, abs_tol=1e-5) for k in want)
+
+
+def plain(rows, m):
+    """Of each text its words, classes and member log-probabilities, from counts of all words."""
+    texts = [(i, C.alnum_words((t or "").encode())) for i, t in rows]
+    n = {}
+    for _, ws in texts:
+        for w in ws:
+            n[w] = n.get(w, 0) + 1
+    kind = lambda w: m.words[w][0] if w in m.words else S.ending(w)
+    for i, ws in texts:
+        of = lambda j, ws=ws: 0 if j in (-1, len(ws)) else kind(ws[j])
+        within = lambda w: math.log(n[w] / (sum(k for x, k in n.items() if kind(x) == kind(w)) + (kind(w) >= 2 + S.OWN)))
+        yield i, ws, len(ws), of, within
+
+
+def test_second_neighbours_tell_words_apart(spark):
+    r = random.Random(2)
+    d = spark.createDataFrame([(i, " ".join(f"{x} is {y} and" for _ in range(30) for x, y in [r.choice((("left", "up"), ("right", "down")))])) for i in range(200)], "doc_id long, text string")
+    one, two = S.fit(d), S.fit(d, window=2)
+    good, bad = b"left is up and", b"left is down and"
+    assert 0 < two.share < 1
+    assert two.score(good)[1] - two.score(bad)[1] > one.score(good)[1] - one.score(bad)[1] + 0.5
+    got = S.score(d, two).first()
+    assert math.isclose(got.log_prob, two.score(got.text.encode())[1], rel_tol=1e-9)
