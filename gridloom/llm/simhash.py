@@ -20,10 +20,12 @@ id, null if there is none; other columns are not read.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,8 +130,11 @@ def small_groups(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, m: int,
     return (np.concatenate(a), np.concatenate(b)) if a else (at[:0], at[:0])
 
 
-def large_group(fp: np.ndarray, start: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one bucket: each is grown against what is not yet linked."""
+def large_group(fp: np.ndarray, start: int, m: int, bits: int, holds: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one bucket: each is grown against what is not yet linked.
+
+    holds(row, rows) says which links are verified; a row is linked, and leaves, only over such a link.
+    """
     rest = np.arange(len(fp))
     a, b = [], []
     while len(rest) > 1:
@@ -137,6 +142,8 @@ def large_group(fp: np.ndarray, start: int, m: int, bits: int) -> tuple[np.ndarr
         while frontier and len(rest):
             f = frontier.pop()
             hit = within(fp[rest] ^ fp[f], np.full(len(rest), start), m, bits)
+            if holds is not None and hit.any():
+                hit[hit] = holds(f, rest[hit])
             new = rest[hit]
             a.append(np.full(len(new), f))
             b.append(new)
@@ -148,8 +155,11 @@ def large_group(fp: np.ndarray, start: int, m: int, bits: int) -> tuple[np.ndarr
 _PAIR = "a long, b long, again int"
 
 
-def _compare(bits: int, limit: int):
-    """A map over rows (bucket, fp, node) sorted by bucket: links, and rows of larger buckets with their table."""
+def _compare(bits: int, limit: int, hand_on: bool = False):
+    """A map over rows (bucket, fp, node) sorted by bucket: links, and rows of larger buckets with their table.
+
+    With hand_on, larger buckets are all beyond SMALL rows.
+    """
     m, tables = ring(bits)
     starts = np.array([s for s, _ in tables])
 
@@ -159,11 +169,14 @@ def _compare(bits: int, limit: int):
         start = starts[(bucket & 63).astype(np.int64)]
         small = np.repeat(size <= SMALL, size)
         i, j = small_groups(bucket[small], fp[small], start[small], m, bits)
-        out.append((node[small][i], node[small][j]))
+        out.append((node[small][i], node[small][j], -1))
         for g in np.flatnonzero(size > SMALL):
             lo, hi = edge[g], edge[g + 1]
+            if hand_on:
+                out.append((fp[lo:hi], node[lo:hi], int(bucket[lo]) & 63))
+                continue
             i, j = large_group(fp[lo:hi], int(start[lo]), m, bits)
-            out.append((node[lo:hi][i], node[lo:hi][j]))
+            out.append((node[lo:hi][i], node[lo:hi][j], -1))
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -173,7 +186,7 @@ def _compare(bits: int, limit: int):
             out: list = []
             bucket, fp, node = (np.concatenate(x) for x in zip(*parts, strict=True))
             settle(bucket, fp, node, out)
-            return [(x, y, -1) for x, y in out if len(x)]
+            return [x for x in out if len(x[0])]
 
         def emit(parts):
             for x, y, again in parts:
@@ -229,20 +242,56 @@ def links(rows: DataFrame, bits: int, limit: int = BUCKET_ROWS) -> DataFrame:
     return out.unionByName(C.materialise(more.select("a", "b"), "links"))
 
 
-def _met(dealt: DataFrame, bits: int, limit: int) -> DataFrame:
+def _met(dealt: DataFrame, bits: int, limit: int, hand_on: bool = False) -> DataFrame:
     C.small_batches(dealt.sparkSession)
     # by node, so that a group's links start at the same nodes in all tables, and most are the same links
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_compare(bits, limit), _PAIR)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_compare(bits, limit, hand_on), _PAIR)
 
 
-def agreeing(edges: DataFrame, fps: DataFrame, n: int, agree: float) -> DataFrame:
-    """The links whose ends differ in at most the share agree of the bits of all n fingerprints."""
-    all_of = C.materialise(fps.groupBy("fingerprint").agg(F.min("fps").alias("fps")), "all-fingerprints")
-    a, b = (all_of.select(F.col("fingerprint").alias(x), F.col("fps").alias(f"{x}_fps")) for x in "ab")
+def agreeing(edges: DataFrame, all_of: DataFrame, n: int, agree: float) -> DataFrame:
+    """The links whose ends differ in at most the share agree of the bits of all n fingerprints (all_of: node, fps)."""
+    a, b = (all_of.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in "ab")
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.element_at("a_fps", i).bitwiseXOR(F.element_at("b_fps", i))) for i in range(1, n + 1)])
     return edges.distinct().join(a, "a").join(b, "b").filter(differing <= agree * 64 * n).select("a", "b")
 
 
+def agreeing_links(rows: DataFrame, all_of: DataFrame, n: int, bits: int, limit: int, agree: float) -> DataFrame:
+    """links(rows), spanning what agrees in all n fingerprints too (all_of: node, fps).
+
+    Small buckets give all their pairs, which are verified by a join. Rows of larger ones meet once
+    more with all their fingerprints, so that their links are verified as they are chosen.
+    """
+    m, tables = ring(bits)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = C.materialise(_met(_bucketed(rows, [(t, mask) for t, (_, mask) in enumerate(tables)]), bits, limit, hand_on=True), "links")
+    pairs = agreeing(found.filter("again < 0").select("a", "b"), all_of, n, agree)
+    large = found.filter("again >= 0").select(F.col("a").alias("fp"), F.col("b").alias("node"), F.col("again").alias("t"))
+    if large.isEmpty():
+        return pairs
+    mask = F.element_at(F.array(*[F.lit(signed(x)) for _, x in tables]), F.col("t") + 1)
+    bucket = F.xxhash64("t", F.col("fp").bitwiseAND(mask)).bitwiseAND(F.lit(-64)).bitwiseOR(F.col("t").cast("long"))
+    keyed = C.materialise(large.select(bucket.alias("bucket"), "fp", "node", "t"), "large")
+    over = C.materialise(keyed.groupBy("bucket", "t").count().filter(F.col("count") > limit), "over")
+    again = [r[0] for r in over.select("t").distinct().collect()]  # tables, of which there are at most 64
+    meet = keyed.join(over, "bucket", "left_anti").select("bucket", "fp", "node") if again else keyed.select("bucket", "fp", "node")
+    if again:
+        deep = keyed.join(over.select("bucket"), "bucket", "left_semi")
+        meet = reduce(DataFrame.unionByName, [_bucketed(deep.filter(F.col("t") == t), [(t, x) for x in deeper(tables[t][1], bits)]) for t in again], meet)
+    starts = [x for x, _ in tables]
+    arrow = C.arrow_schema(rows.sparkSession, "a long, b long")
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")
+        fp, node = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "node"))
+        fps = pa.compute.list_flatten(table.column("fps")).to_numpy().view(np.uint64).reshape(-1, n)
+        holds = lambda i, js: np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1, dtype=int) <= agree * 64 * n
+        i, j = large_group(fp, starts[table.column("bucket")[0].as_py() & 63], m, bits, holds)
+        return pa.Table.from_arrays([pa.array(node[i].view(np.int64)), pa.array(node[j].view(np.int64))], schema=arrow)
+
+    spanned = meet.join(all_of.select("node", "fps"), "node").groupBy("bucket").applyInArrow(one, "a long, b long")
+    return pairs.unionByName(C.materialise(spanned.distinct(), "links"))
+
+
 def groups(fps: DataFrame, bits: int = 3, limit: int = BUCKET_ROWS, agree: float = 1.0) -> DataFrame:
     """fps with fingerprint, the first of them as a long, component_id and component, a label for joins.
 
@@ -252,14 +301,16 @@ def groups(fps: DataFrame, bits: int = 3, limit: int = BUCKET_ROWS, agree: float
     fps = C.materialise(fps.withColumn("fingerprint", F.element_at("fps", 1)), "fingerprints")
     n = fps.select(F.max(F.size("fps"))).first()[0] or 0
     edges = None
+    if agree < 1:
+        all_of = C.materialise(fps.groupBy(F.col("fingerprint").alias("node")).agg(F.min("fps").alias("fps")), "all-fingerprints")
     for i in range(1, n + 1):
         rows = fps.select(F.element_at("fps", i).alias("fp"), F.col("fingerprint").alias("node")).distinct()
-        found = links(rows, bits, limit)
+        found = links(rows, bits, limit) if agree >= 1 else agreeing_links(rows, all_of, n, bits, limit, agree)
         edges = found if edges is None else edges.unionByName(found)
     least = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     if edges is None:
         return fps.withColumns({"component": F.col("fingerprint"), "component_id": F.col("doc_id")})
-    labels = components(edges if agree >= 1 else agreeing(edges, fps, n, agree))
+    labels = components(edges)
     named = least.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     named = C.materialise(named, "named")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
