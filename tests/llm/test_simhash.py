@@ -136,3 +136,13 @@ def test_agreeing_links_of_large_buckets_match_brute_force(spark):
             p = [new if x == old else x for x in p]
     least = {x: p.index(x) for x in p}
     assert len(least) < 50 and got == {i: least[x] for i, x in enumerate(p)}
+
+
+def test_a_repeated_line_links_no_documents(spark):
+    r = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(12))
+    own = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(100))
+    docs = [(i, f"{line} " * 100 + own()) for i in range(60)]
+    docs += [(100, docs[0][1] + " one"), (101, docs[1][1] + " two")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id for x in S.deduplicate(d).collect()} == set(range(60))
