@@ -20,17 +20,15 @@ id, null if there is none; other columns are not read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import common as C
+from gridloom.llm import common as C, setring
 from gridloom.llm.graph import components
 
 SEED = 42
@@ -67,25 +65,6 @@ def fingerprint(text: bytes | None, k: int, n: int = 1) -> list[int]:
     return [majority(h if i == 0 else C.mix(h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for i in range(n)]
 
 
-def distinct_fingerprint(text: bytes | None, k: int, n: int) -> tuple[list[int], np.ndarray]:
-    """n fingerprints in which every different shingle counts once, and the shingles as sorted 32-bit hashes."""
-    h = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, k)], dtype=np.uint64))
-    fps = [majority(h if i == 0 else C.mix(h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for i in range(n)]
-    return fps, np.unique(h.astype(np.uint32).view(np.int32))
-
-
-def shingle_sets(docs: DataFrame, k: int, n: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, th, fps as fingerprints() has them, of the different shingles, and sh, those shingles' hashes."""
-
-    def make(cols: dict) -> dict:
-        got = [distinct_fingerprint(t, k, n) for t in cols["text"].to_pylist()]
-        fps = [np.array(g[0], dtype=np.uint64).view(np.int64) for g in got]
-        return {"doc_id": cols["doc_id"], "th": cols["th"], "fps": fps, "sh": [g[1] for g in got]}
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), C.as_bytes(text).alias("text"))
-    return C.arrow_map(rows, make, "doc_id long, th long, fps array<long>, sh array<int>")
-
-
 def fingerprints(docs: DataFrame, k: int = 3, n: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, th (a hash of the text) and fps, n fingerprints as longs."""
 
@@ -149,11 +128,8 @@ def small_groups(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, m: int,
     return (np.concatenate(a), np.concatenate(b)) if a else (at[:0], at[:0])
 
 
-def large_group(fp: np.ndarray, start: int, m: int, bits: int, holds: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one bucket: each is grown against what is not yet linked.
-
-    holds(row, rows) says which links are verified; a row is linked, and leaves, only over such a link.
-    """
+def large_group(fp: np.ndarray, start: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one bucket: each is grown against what is not yet linked."""
     rest = np.arange(len(fp))
     a, b = [], []
     while len(rest) > 1:
@@ -161,8 +137,6 @@ def large_group(fp: np.ndarray, start: int, m: int, bits: int, holds: Callable |
         while frontier and len(rest):
             f = frontier.pop()
             hit = within(fp[rest] ^ fp[f], np.full(len(rest), start), m, bits)
-            if holds is not None and hit.any():
-                hit[hit] = holds(f, rest[hit])
             new = rest[hit]
             a.append(np.full(len(new), f))
             b.append(new)
@@ -174,11 +148,8 @@ def large_group(fp: np.ndarray, start: int, m: int, bits: int, holds: Callable |
 _PAIR = "a long, b long, again int"
 
 
-def _compare(bits: int, limit: int, hand_on: bool = False):
-    """A map over rows (bucket, fp, node) sorted by bucket: links, and rows of larger buckets with their table.
-
-    With hand_on, larger buckets are all beyond SMALL rows.
-    """
+def _compare(bits: int, limit: int):
+    """A map over rows (bucket, fp, node) sorted by bucket: links, and rows of larger buckets with their table."""
     m, tables = ring(bits)
     starts = np.array([s for s, _ in tables])
 
@@ -191,9 +162,6 @@ def _compare(bits: int, limit: int, hand_on: bool = False):
         out.append((node[small][i], node[small][j], -1))
         for g in np.flatnonzero(size > SMALL):
             lo, hi = edge[g], edge[g + 1]
-            if hand_on:
-                out.append((fp[lo:hi], node[lo:hi], int(bucket[lo]) & 63))
-                continue
             i, j = large_group(fp[lo:hi], int(start[lo]), m, bits)
             out.append((node[lo:hi][i], node[lo:hi][j], -1))
 
@@ -261,91 +229,24 @@ def links(rows: DataFrame, bits: int, limit: int = BUCKET_ROWS) -> DataFrame:
     return out.unionByName(C.materialise(more.select("a", "b"), "links"))
 
 
-def _met(dealt: DataFrame, bits: int, limit: int, hand_on: bool = False) -> DataFrame:
+def _met(dealt: DataFrame, bits: int, limit: int) -> DataFrame:
     C.small_batches(dealt.sparkSession)
     # by node, so that a group's links start at the same nodes in all tables, and most are the same links
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_compare(bits, limit, hand_on), _PAIR)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_compare(bits, limit), _PAIR)
 
 
-def agreeing(edges: DataFrame, all_of: DataFrame, n: int, agree: float, similarity: float) -> DataFrame:
-    """The links whose ends differ in at most the share agree of the bits of all n fingerprints (all_of: node, fps).
-
-    Where all_of has sh, the ends' sets must also have the similarity.
-    """
-    a, b = (all_of.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")) for x in "ab")
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.element_at("a_fps", i).bitwiseXOR(F.element_at("b_fps", i))) for i in range(1, n + 1)])
-    out = edges.distinct().join(a, "a").join(b, "b").filter(differing <= agree * 64 * n).select("a", "b")
-    if "sh" not in all_of.columns:
-        return out
-    a, b = (all_of.select(F.col("node").alias(x), F.col("sh").alias(f"{x}_sh")) for x in "ab")
-    both = F.size(F.array_intersect("a_sh", "b_sh"))
-    return out.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("a_sh") + F.size("b_sh") - both) - 1e-9).select("a", "b")
-
-
-def agreeing_links(rows: DataFrame, all_of: DataFrame, n: int, bits: int, limit: int, agree: float, similarity: float) -> DataFrame:
-    """links(rows), spanning what agrees in all n fingerprints too (all_of: node, fps) and in sh, if that is there.
-
-    Small buckets give all their pairs, which are verified by a join. Rows of larger ones meet once
-    more with all their fingerprints, so that their links are verified as they are chosen.
-    """
-    m, tables = ring(bits)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    found = C.materialise(_met(_bucketed(rows, [(t, mask) for t, (_, mask) in enumerate(tables)]), bits, limit, hand_on=True), "links")
-    pairs = agreeing(found.filter("again < 0").select("a", "b"), all_of, n, agree, similarity)
-    large = found.filter("again >= 0").select(F.col("a").alias("fp"), F.col("b").alias("node"), F.col("again").alias("t"))
-    if large.isEmpty():
-        return pairs
-    mask = F.element_at(F.array(*[F.lit(signed(x)) for _, x in tables]), F.col("t") + 1)
-    bucket = F.xxhash64("t", F.col("fp").bitwiseAND(mask)).bitwiseAND(F.lit(-64)).bitwiseOR(F.col("t").cast("long"))
-    keyed = C.materialise(large.select(bucket.alias("bucket"), "fp", "node", "t"), "large")
-    over = C.materialise(keyed.groupBy("bucket", "t").count().filter(F.col("count") > limit), "over")
-    again = [r[0] for r in over.select("t").distinct().collect()]  # tables, of which there are at most 64
-    meet = keyed.join(over, "bucket", "left_anti").select("bucket", "fp", "node") if again else keyed.select("bucket", "fp", "node")
-    if again:
-        deep = keyed.join(over.select("bucket"), "bucket", "left_semi")
-        meet = reduce(DataFrame.unionByName, [_bucketed(deep.filter(F.col("t") == t), [(t, x) for x in deeper(tables[t][1], bits)]) for t in again], meet)
-    starts = [x for x, _ in tables]
-    arrow = C.arrow_schema(rows.sparkSession, "a long, b long")
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("node")
-        fp, node = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "node"))
-        fps = pa.compute.list_flatten(table.column("fps")).to_numpy().view(np.uint64).reshape(-1, n)
-        sets = table.column("sh").to_pylist() if "sh" in table.column_names else None
-        sets = sets and [np.array(x, dtype=np.int32) for x in sets]
-
-        def holds(i, js):
-            good = np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1, dtype=int) <= agree * 64 * n
-            if sets:
-                for at in np.flatnonzero(good):
-                    x, y = sets[i], sets[js[at]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[at] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            return good
-
-        i, j = large_group(fp, starts[table.column("bucket")[0].as_py() & 63], m, bits, holds)
-        return pa.Table.from_arrays([pa.array(node[i].view(np.int64)), pa.array(node[j].view(np.int64))], schema=arrow)
-
-    spanned = meet.join(all_of, "node").groupBy("bucket").applyInArrow(one, "a long, b long")
-    return pairs.unionByName(C.materialise(spanned.distinct(), "links"))
-
-
-def groups(fps: DataFrame, bits: int = 3, limit: int = BUCKET_ROWS, agree: float = 1.0, similarity: float = 0.8) -> DataFrame:
+def groups(fps: DataFrame, bits: int = 3, limit: int = BUCKET_ROWS) -> DataFrame:
     """fps with fingerprint, the first of them as a long, component_id and component, a label for joins.
 
-    Rows are linked where any of their fingerprints differ in at most bits bits, and all of them
-    together in at most the share agree of their bits. With sh, sets of hashes, rows of one set are
-    one node, named by a hash of the set, and links must also have the similarity of their sets.
+    Rows are linked where any of their fingerprints differ in at most bits bits; rows of one first
+    fingerprint are one node, so several fingerprints must be functions of the first or be one only.
     """
-    exact = "sh" in fps.columns
-    fps = C.materialise(fps.withColumn("fingerprint", F.xxhash64("sh") if exact else F.element_at("fps", 1)), "fingerprints")
+    fps = C.materialise(fps.withColumn("fingerprint", F.element_at("fps", 1)), "fingerprints")
     n = fps.select(F.max(F.size("fps"))).first()[0] or 0
     edges = None
-    if agree < 1:
-        all_of = C.materialise(fps.groupBy(F.col("fingerprint").alias("node")).agg(*[F.min(c).alias(c) for c in ("fps", "sh") if c in fps.columns]), "all-fingerprints")
     for i in range(1, n + 1):
         rows = fps.select(F.element_at("fps", i).alias("fp"), F.col("fingerprint").alias("node")).distinct()
-        found = links(rows, bits, limit) if agree >= 1 else agreeing_links(rows, all_of, n, bits, limit, agree, similarity)
+        found = links(rows, bits, limit)
         edges = found if edges is None else edges.unionByName(found)
     least = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     if edges is None:
@@ -365,20 +266,24 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(fingerprints(docs)).select("doc_id", C.hex_unsigned(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, k: int = 5, n: int = 6, bits: int = 6, agree: float = 0.2, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", **bounds: int) -> DataFrame:
     """docs with one document of each group: that with the smallest id (null ids last, then by text).
 
-    Near copies are linked where any of n fingerprints of their k-word shingles differ in at most
-    bits bits: several independent fingerprints find copies that a single one would miss. Together
-    they measure the angle well: at a similarity of 0.8 of the shingle sets 15 % of all bits differ,
-    and beyond agree a link is dropped. What is left must have the similarity in its shingle sets.
+    Documents are linked where their sets of k-word shingles have the similarity (A-Z in lower case,
+    a text of fewer words is one shingle; null, empty and wordless texts are all alike). A 64-bit
+    fingerprint can't tell this bound, so the pigeonring filter works on the sets: see ``setring``.
+    Repeated rows (id and text) are one document; other columns are kept; an empty table stays empty.
     """
-    rows = C.materialise(groups(shingle_sets(docs, k, n, text, key), bits, agree=agree, similarity=similarity).select("doc_id", "th", "component"), "grouped")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first")
-    stay = rows.groupBy("component").agg(first).select(F.col("first.doc_id").alias("gl_id"), F.col("first.th").alias("gl_th"))
-    stay = C.materialise(stay, "stay")
+    sets = C.materialise(setring.shingle_sets(docs, k, text, key), "sets")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    firsts = C.materialise(sets.groupBy("node").agg(F.min(order).alias("first")), "firsts")
+    of = C.materialise(setring.classes_of(sets.select("node", "sh"), similarity, **bounds), "classes")
+    stay = firsts.join(of, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    stay = C.materialise(stay.select(F.col("first.doc_id").alias("gl_id"), F.col("first.th").alias("gl_th")), "stay")
+    again = not sets.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    C.discard(sets, firsts, of)
     own, columns = docs.withColumn("gl_text", F.xxhash64(text)), docs.columns
     kept = own.join(stay, F.col(key).cast("long").eqNullSafe(F.col("gl_id")) & (F.col("gl_text") == F.col("gl_th")), "left_semi")
-    if not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+    if again:
         kept = kept.dropDuplicates([key, "gl_text"])
     return kept.select(*columns)

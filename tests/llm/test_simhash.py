@@ -120,24 +120,6 @@ def test_one_of_each_group_stays(spark):
     assert S.deduplicate(d.limit(0)).count() == 0
 
 
-def test_agreeing_links_of_large_buckets_match_brute_force(spark):
-    r = random.Random(4)
-    hub, second = r.getrandbits(64), [r.getrandbits(64) for _ in range(5)]
-    first = list(dict.fromkeys(flips(r, hub, r.randrange(0, 4)) for _ in range(400)))
-    fps = [(i, f, flips(r, r.choice(second), r.randrange(4, 10))) for i, f in enumerate(first)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    d = spark.createDataFrame([(i, [signed(a), signed(b)]) for i, a, b in fps], "doc_id long, fps array<long>")
-    got = {x.doc_id: x.component_id for x in S.groups(d, 6, agree=0.2).collect()}
-    a, p = np.array([x[1:] for x in fps], dtype=np.uint64), list(range(len(fps)))
-    for i in range(len(fps)):
-        differ = np.bitwise_count(a[i + 1 :] ^ a[i])
-        for j in np.flatnonzero((differ <= 6).any(axis=1) & (differ.sum(axis=1, dtype=int) <= 0.2 * 128)) + i + 1:
-            old, new = p[j], p[i]
-            p = [new if x == old else x for x in p]
-    least = {x: p.index(x) for x in p}
-    assert len(least) < 50 and got == {i: least[x] for i, x in enumerate(p)}
-
-
 def test_a_repeated_line_links_no_documents(spark):
     r = random.Random(5)
     line = " ".join(f"line{i}" for i in range(12))
