@@ -5,11 +5,13 @@ lookup (the AND of ``HASHES`` slots) gives the mask of all languages that may ho
 document, each bit is counted; a language's filter also answers yes by chance, at a rate that the
 share of its set bits tells, and the counts are corrected for that before the largest decides.
 
-Training counts the n-grams of a sample bounded per language (``SAMPLE_DOCS``, by a hash of the
-text) and keeps the ``TOP_GRAMS`` most frequent of each language; the filters have a fixed size.
+Training counts the n-grams of a sample of each language's different texts (``SAMPLE_DOCS``, drawn by
+a hash of the text; all of them where there are fewer) and keeps the ``TOP_GRAMS`` most frequent of
+each language; the filters have a fixed size. Every language that occurs is learned: a slot has as
+many words of 64 bits as they need.
 
-Scale: prediction is a narrow map; what is broadcast is the slot table, of ``SLOTS`` words. In
-training the counts are summed in each task before they are shuffled.
+Scale: prediction is a narrow map; what is broadcast is the slot table, ``SLOTS`` times a bit for each
+language. In training copies are collapsed in each task before anything is shuffled, and so are counts.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where nothing could
 be learned; a text that hits no filter gets the most frequent learned language and score 0; equal
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common as C
 
-#: Documents of a language that are sampled, about; the bound of the training sample.
+#: Different texts of a language that are sampled, about; the bound of the training sample.
 SAMPLE_DOCS = 2_000
 #: N-grams of a language in its filter.
 TOP_GRAMS = 20_000
@@ -38,8 +40,6 @@ TOP_GRAMS = 20_000
 LENGTHS = (3, 4, 5)
 #: Slots of the table, a power of two, and slots looked up for each n-gram.
 SLOTS, HASHES = 1 << 20, 3
-#: Languages that a mask can hold; the most frequent ones are learned.
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
 _LETTER_ASCII = re.compile(rb"[A-Za-z]")
@@ -72,30 +72,40 @@ def places(h: np.ndarray, slots: int) -> list[np.ndarray]:
 
 def build(counts: dict[str, np.ndarray], slots: int = SLOTS) -> Filters:
     """counts: the n-gram hashes of each language, the languages in order of preference."""
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(counts) <= t().itemsize * 8)
-    table = np.zeros(slots, dtype=kind)
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(counts) <= t().itemsize * 8), np.uint64)
+    bits = kind().itemsize * 8
+    table = np.zeros((max(1, -(-len(counts) // bits)), slots), dtype=kind)
     rate = np.zeros(len(counts))
     for i, h in enumerate(counts.values()):
+        word, bit = table[i // bits], kind(1 << i % bits)
         for p in places(h, slots):
-            table[p] |= kind(1 << i)
-        rate[i] = np.mean((table >> kind(i)) & kind(1)) ** HASHES
+            word[p] |= bit
+        rate[i] = np.mean((word & bit) > 0) ** HASHES
     return Filters(list(counts), table, rate)
 
 
+def hits(f: Filters, h: np.ndarray) -> np.ndarray:
+    """For each language the number of hashes h that its filter holds."""
+    n, at, out = len(f.languages), places(h, f.slots.shape[1]), []
+    for word in f.slots:
+        masks = word[at[0]]
+        for p in at[1:]:
+            masks = masks & word[p]
+        bits = masks.dtype.itemsize * 8
+        here = min(bits, n - len(out))
+        if bits == 8:
+            by_mask = np.bincount(masks, minlength=256)
+            out += [by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(here)]
+        else:
+            out += [np.count_nonzero(masks & masks.dtype.type(1 << i)) for i in range(here)]
+    return np.array(out)
+
+
 def decide(f: Filters, text: bytes | None) -> tuple[str, float]:
     if not f.languages or not has_letter(text):
         return UNKNOWN, 0.0
     h = grams(text)
-    masks = f.slots[places(h, len(f.slots))[0]]
-    for p in places(h, len(f.slots))[1:]:
-        masks = masks & f.slots[p]
-    n = len(f.languages)
-    if n <= 8:
-        by_mask = np.bincount(masks, minlength=256)
-        counts = np.array([by_mask[(np.arange(256) >> i) & 1 == 1].sum() for i in range(n)])
-    else:
-        counts = np.array([np.count_nonzero(masks & masks.dtype.type(1 << i)) for i in range(n)])
-    share = np.clip((counts / max(1, len(h)) - f.false_rate) / (1 - f.false_rate), 0, 1)
+    share = np.clip((hits(f, h) / max(1, len(h)) - f.false_rate) / (1 - f.false_rate), 0, 1)
     best = int(np.argmax(share))
     return f.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
 
@@ -110,13 +120,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs:
     """Filters from rows with a text and a language."""
     spark = docs.sparkSession
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), C.as_bytes(text).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    named = rows.withColumn("th", F.xxhash64("text"))
+    texts = C.materialise(named.groupBy("lang", "th").agg(F.count("*").alias("n")), "texts")
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").collect()
     if not counts:
-        return Filters([], np.zeros(1, dtype=np.uint8), np.zeros(0))
-    keep = {r[0]: min(1.0, sample_docs / r[1]) for r in counts}
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in keep.items() for x in kv]), F.col("lang"))
-    unit = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
-    sample = rows.filter(F.col("lang").isin(list(keep)) & (unit < share))
+        return Filters([], np.zeros((1, 1), dtype=np.uint8), np.zeros(0))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["texts"]))]), F.col("lang"))
+    unit = F.shiftrightunsigned("th", 11).cast("double") / float(1 << 53)
+    drawn = texts.filter(unit < share).select("lang", "th")
+    # about sample_docs hashes a language, and of each text one row
+    sample = named.join(F.broadcast(drawn), ["lang", "th"], "left_semi").groupBy("lang", "th").agg(F.any_value("text").alias("text")).select("lang", "text")
     schema = "lang string, gram long, n long"
     arrow = C.arrow_schema(spark, schema)
     C.small_batches(spark)
@@ -138,7 +151,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs:
     ranked = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     top = ranked.filter(F.col("r") <= top_grams).select("lang", "gram").toPandas()
     found = {k: g["gram"].to_numpy().view(np.uint64) for k, g in top.groupby("lang")}
-    return build({r[0]: found[r[0]] for r in counts if r[0] in found})
+    C.discard(texts)
+    return build({r["lang"]: found[r["lang"]] for r in counts if r["lang"] in found})
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

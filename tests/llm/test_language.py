@@ -27,7 +27,7 @@ def test_one_lookup_answers_for_all_languages():
     a, b = (np.unique(L.grams(t)) for t in (b"the quick brown fox", b"der schnelle braune fuchs"))
     f = L.build({"en": a, "de": b})
     for i, h in enumerate((a, b)):
-        masks = np.bitwise_and.reduce([f.slots[p] for p in L.places(h, len(f.slots))])
+        masks = np.bitwise_and.reduce([f.slots[0][p] for p in L.places(h, f.slots.shape[1])])
         assert np.all(masks & (1 << i))
     assert L.decide(f, b"THE QUICK!")[0] == "en" and L.decide(f, "Der schnelle".encode())[0] == "de"
 
@@ -48,3 +48,20 @@ def test_defined_cases(spark, docs):
     none = L.identify(docs.limit(0))
     assert none.count() == 0
     assert {r.lang_pred for r in L.identify(docs.limit(20).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_a_language_of_copies_is_learned(spark):
+    """Whatever the text, and beside a language of many texts."""
+    for i in range(4):
+        rows = [("aa", f"lorem ipsum {i} dolor sit amet consectetur")] * 100 + [("bb", f"und die der {j} ich nicht " * 3) for j in range(60)]
+        f = L.train(spark.createDataFrame(rows, "lang string, text string"), sample_docs=20)
+        assert sorted(f.languages) == ["aa", "bb"] and f.languages[0] == "aa"
+        assert L.decide(f, b"dolor sit amet")[0] == "aa" and L.decide(f, b"der ich nicht")[0] == "bb"
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    name = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11)) + chr(97 + i // 26)
+    rows = [(f"l{i:03}", f"{name(i)} {name(i)}x {name(i)}") for i in range(150)]
+    f = L.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(f.languages) == 150 and f.slots.shape[0] == 3
+    assert all(L.decide(f, t.encode())[0] == l for l, t in rows)
