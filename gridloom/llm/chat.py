@@ -105,12 +105,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return kept.select("conv_id", "formatted", runs.alias("loss_runs"))
 
 
+def masked(formatted: Column, runs: Column) -> Column:
+    """The text under the loss mask, unescaped: each run is cut out where the lengths before it say.
+
+    A loss run is escaped if the run before it, its turn's header, begins like an escaped turn.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("escaped"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, r: Column) -> Column:
+        piece = F.substr(formatted, acc["at"] + 1, r["length"])
+        text = F.when(acc["escaped"], unescape(piece)).otherwise(piece)
+        return F.struct(
+            (acc["at"] + r["length"]).alias("at"),
+            (~r["loss"] & F.startswith(piece, F.lit(BEGIN))).alias("escaped"),
+            F.when(r["loss"], F.concat(acc["found"], F.array(text))).otherwise(acc["found"]).alias("found"),
+        )
+
+    return F.array_join(F.aggregate(runs, start, step)["found"], "")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and loss_text, recovered from the formatted text alone."""
+    """conv_id, turns (role, text) recovered from the formatted text alone, and loss_text, what its mask names."""
     out = formatted.withColumn("parsed", parse(F.col("formatted")))
     turns = F.transform(F.slice("parsed", 1, F.size("parsed") - 1), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    out = out.withColumn("turns", turns)
-    return out.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")).drop("parsed")
+    return out.withColumn("turns", turns).withColumn("loss_text", masked(F.col("formatted"), F.col("loss_runs"))).drop("parsed")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -55,3 +55,18 @@ def test_only_conflicting_turns_are_escaped(spark):
     got = {r.conv_id: r.formatted for r in chat.format_conversations(d).collect()}
     assert got == {1: "[INST]user[/INST]a ~1 < b</s><s>[INST]assistant[/INST]~1INST]</s>", 2: "[INST]user[/INST]~0 [</s>"}
     assert chat.digest(chat.format_conversations(d.limit(0))).count() == 0
+
+
+def test_the_digest_reads_the_mask(spark):
+    """A mask that is one character off, or of another role, is seen."""
+    d = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "[INST] ~ answer"), (2, 0, "assistant", "plain")], "conv_id long, turn long, role string, text string")
+    good = chat.format_conversations(d)
+    digest = lambda x: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digest(x).collect()}
+    want = digest(good)
+    assert want[1] == (15, sha("[INST] ~ answer")) and want[2] == (5, sha("plain"))
+    runs = lambda change: good.withColumn("loss_runs", F.transform("loss_runs", change))
+    shifted = good.withColumn("loss_runs", F.concat(F.array(F.struct(F.lit(1).alias("length"), F.lit(False).alias("loss"))), F.col("loss_runs")))
+    flipped = runs(lambda r: F.struct(r["length"].alias("length"), (~r["loss"]).alias("loss")))
+    for wrong in (shifted, flipped):
+        got = digest(wrong)
+        assert all(got[i] != want[i] for i in want)
