@@ -9,9 +9,10 @@ What the trees propose is scored again in double precision, component by compone
 vectors, which also decides ties.
 
 Scale: a tree holds at most about ``SHARD_ROWS`` vectors, is built once and written to the shared
-folder; queries come to all trees in blocks of ``QUERY_BLOCK`` (the bound of what is broadcast);
-each tree returns k rows a query, which are merged by query. Equal vectors are one entry of a tree,
-with their k + 1 smallest ids, which is all that an answer can need.
+folder, and so are the queries, in blocks of about ``QUERY_BLOCK``; a task searches one tree for one
+block, and neither vectors nor trees come to the driver. Each search returns k rows a query, which are
+merged by query. Equal vectors are one entry of a tree, with their k + 1 smallest ids, which is all
+that an answer can need. Where an id has several vectors, a search takes as many times more entries.
 
 Defined results: vectors that are null, empty, zero or hold a null or a non-finite component take no
 part; of vectors of different lengths only equal lengths are compared; null ids take no part; equal rows
@@ -135,10 +136,13 @@ class Tree:
         return compact()[:2] if pairs else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
 
 
-def top(tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, vec_id, score) of each query's k best in the tree, itself left out."""
-    # one entry more, since a query's own vector may be among them
-    i, j = tree.search(q, k + 1, factor)
+def top(tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float, per_id: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, vec_id, score) of each query's k best ids in the tree, itself left out.
+
+    per_id: how many different vectors an id may have.
+    """
+    # one id more, since a query's own vectors may be among them
+    i, j = tree.search(q, (k + 1) * per_id, factor)
     score = cosine(q[i], tree.vectors[j])
     n = tree.owner_at[j + 1] - tree.owner_at[j]
     at = np.repeat(tree.owner_at[j] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -146,6 +150,11 @@ def top(tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tu
     other = found != ids[i]
     i, score, found = i[other], score[other], found[other]
     order = np.lexsort((found, -score, i))
+    if per_id > 1:  # of an id's vectors the best
+        order = order[np.lexsort((np.arange(len(order)), found[order], i[order]))]
+        same = np.concatenate(([False], (i[order][1:] == i[order][:-1]) & (found[order][1:] == found[order][:-1])))[: len(order)]
+        order = order[~same]
+        order = order[np.lexsort((found[order], -score[order], i[order]))]
     i, score, found = i[order], score[order], found[order]
     first = np.arange(len(i)) - np.searchsorted(i, i) < k
     return i[first], found[first], score[first]
@@ -181,35 +190,42 @@ def build(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame
     return keyed.groupBy("dim", "shard").applyInArrow(one, schema)
 
 
+def blocks(queries: DataFrame, query_block: int) -> DataFrame:
+    """The queries as rows of dim, block, ids and v, the vectors one after another as doubles."""
+    rows = usable(queries).withColumn("dim", F.size("v"))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / query_block).alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    schema = "dim int, block int, ids array<long>, v binary"
+    arrow = C.arrow_schema(queries.sparkSession, schema)
+
+    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        v = pa.compute.list_flatten(table.column("v")).to_numpy().astype(np.float64)
+        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [table.column("vec_id").to_numpy()], "v": [v.tobytes()]}, schema=arrow)
+
+    return dealt.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(one, schema)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors but its own."""
     spark = vectors.sparkSession
     C.small_batches(spark)
+    per_id = usable(vectors).dropDuplicates(["vec_id", "v"]).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
     trees = C.materialise(build(vectors, k, shard_rows), "trees")
-    n_blocks = max(1, -(-queries.count() // query_block))
-    wanted = usable(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    asked = C.materialise(blocks(queries, query_block), "queries")
     schema = "query_id long, vec_id long, score double"
     arrow = C.arrow_schema(spark, schema)
-    found = None
-    for b in range(n_blocks):
-        # one block of queries, of about query_block vectors
-        rows = (wanted if n_blocks == 1 else wanted.filter(F.col("block") == b)).select("vec_id", "v").toArrow()
-        by_dim = {}
-        for i, v in zip(rows.column("vec_id").to_pylist(), rows.column("v").to_pylist(), strict=True):
-            by_dim.setdefault(len(v), ([], []))[0].append(i)
-            by_dim[len(v)][1].append(v)
-        held = spark.sparkContext.broadcast({d: (np.array(i, dtype=np.int64), np.array(v, dtype=np.float64)) for d, (i, v) in by_dim.items()})
-
-        def run(batches, held=held):
-            for batch in batches:
-                for dim, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if dim in held.value:
-                        ids, q = held.value[dim]
-                        i, v, s = top(pickle.loads(tree), ids, q, k, factor)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(v), pa.array(s)], schema=arrow)
-
-        part = trees.select("dim", "tree").repartition(max(1, min(10_000, trees.count()))).mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def run(batches):
+        for batch in batches:
+            for dim, tree, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.array(ids, dtype=np.int64)
+                i, found, s = top(pickle.loads(tree), ids, np.frombuffer(v).reshape(-1, dim), k, factor, per_id)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(found), pa.array(s)], schema=arrow)
+
+    # one row for each tree and block of one vector length
+    pairs = trees.select("dim", "shard").join(asked.select("dim", "block"), "dim")
+    n = max(1, min(10_000, pairs.count()))
+    both = pairs.join(trees, ["dim", "shard"]).join(asked, ["dim", "block"]).select("dim", "tree", "ids", "v").repartition(n)
+    found = both.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,8 +13,10 @@ checksum, and begin with a WARC header. A magic that happens to stand inside com
 this and is appended to the member before it; where a range ends in between, the pieces are put
 together in a second pass over just these.
 
-Scale: only ids and digests are shuffled to find equal payloads (summed up in each task first); the
-join that marks the copies can be split where a payload is frequent; reading does not shuffle.
+Scale: only ids and digests are shuffled to find equal payloads (summed up in each task first). The
+list of payloads that occur twice is broadcast if Spark finds it small; beyond that the join that marks
+the copies shuffles the pages once, html included, and can be split where a payload is frequent.
+Reading does not shuffle.
 
 Defined results: a null html is an empty payload; a null url has no header line; rows that repeat the
 smallest id of their payload are each a response, null ids come after all others, and where all ids

@@ -64,3 +64,17 @@ def test_recall_with_a_larger_factor(spark):
     rows = [(r.vec_id, r.embedding) for r in d.collect()]
     assert {(a, c) for a, _, c, _ in brute([x for x in rows if x[0] % 50 == 0], rows, 5)} == exact
     assert N.nearest(q.limit(0), d.limit(0)).count() == 0
+
+
+def test_ids_with_several_vectors(spark):
+    """Neither the query's own vectors nor several of one candidate take another's place."""
+    r = random.Random(6)
+    near = lambda: [1 + 0.01 * r.gauss(0, 1), 0.01 * r.gauss(0, 1), 0.01 * r.gauss(0, 1)]
+    rows = [(0, near()) for _ in range(9)] + [(3, near()) for _ in range(8)] + [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(10, 60)]
+    d = frame(spark, rows)
+    got = N.nearest(d.filter("vec_id % 50 = 0"), d, 5, shard_rows=25).collect()
+    best = {}
+    for i, rank, j, s in brute([x for x in rows if x[0] % 50 == 0], rows, 60):
+        best[i, j] = max(s, best.get((i, j), -2))
+    want = {i: sorted(((-s, j) for (q, j), s in best.items() if q == i))[:5] for i in (0, 50)}
+    assert {i: sorted((-r.score, r.vec_id) for r in got if r.query_id == i) for i in want} == want
