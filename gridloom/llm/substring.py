@@ -6,13 +6,10 @@ with the smallest hash is its anchor, and equal windows have equal anchors at eq
 
 1. Prefix counts. A suffix whose first PREFIX words occur in one text only is a leaf on its own and
    takes no further part; most do.
-2. Variable-length prefixes. The other suffixes are grouped by their first PREFIX words. A group too
-   large for one task (``GROUP_ROWS``) is split along its path in the tree: its smallest document's
-   suffix is the path, every other one is compared with it, word by word to both sides. Windows that
-   lie in the common part are repeats of the smallest document, which decides them for good. What is
-   left needs the words beyond: the suffixes go to the groups of the longer prefixes (to the right, and
-   backwards to the left) at which they leave the path. Most leave it alone and are done; groups that
-   are still too large are split again, others are subtrees.
+2. Variable-length prefixes. The other suffixes are grouped by their first PREFIX words; groups too
+   large for one task (``GROUP_ROWS``) are grouped by the longest prefix that matters, the whole
+   window (128 bits of BLAKE2 of its words), for which an aggregate gives the smallest id without
+   bringing the rows together.
 3. Subtrees. A task sorts its groups' suffixes into a tree word by word: nodes are numbered level by
    level, and so are those of the texts before the suffixes, read backwards. Two suffixes share a
    window that starts o words before them if they are in the same node o words back and in the same
@@ -22,8 +19,7 @@ with the smallest hash is its anchor, and equal windows have equal anchors at eq
 Equal texts are collapsed before: all but the smallest id's copy lose every word.
 
 Scale: shuffled are a hash for each anchor (one word in twenty), contexts only of those that repeat,
-and the texts once or twice, by document. Groups have bounded rows, each of at most 92 words; the path
-of a large group is one row, which is joined to the others, so that Spark may split them.
+and the texts once or twice, by document. Groups have bounded rows, each of at most 92 words.
 
 Defined results: a null or wordless text has no words; texts of fewer than WINDOW words stay; ids
 that are null neither lose words nor make others lose them; rows with equal ids don't touch each
@@ -33,8 +29,7 @@ other; other columns are carried through by ``remove_repeats``.
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +41,8 @@ from gridloom.llm import common as C
 WINDOW = 50
 #: Words of the prefix that anchors a window.
 PREFIX = 8
-#: Suffixes of one prefix that one task holds, and suffixes of several prefixes that it works on at a time.
-GROUP_ROWS, CHUNK_ROWS = 2_000, 20_000
+#: Suffixes of one prefix that one task holds (12 MB of contexts), and suffixes that it works on at a time.
+GROUP_ROWS, CHUNK_ROWS = 20_000, 20_000
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -81,71 +76,44 @@ def _keys(docs: DataFrame, text: str, key: str) -> list:
     return [F.col(key).cast("long").alias("doc_id"), F.xxhash64(raw).alias("th"), (F.shiftleft(F.octet_length(raw).cast("long"), 32) + F.hash(raw)).alias("tl"), raw.alias("raw")]
 
 
-_ROUTE = "prefix long, doc_id long, th long, pos int, left binary, right binary, large boolean"
+_ROUTE = "prefix long, doc_id long, th long, pos int, left binary, right binary, w1 long, w2 long"
 
 
 def _contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """For rows (doc_id, raw, small, large: prefixes): the suffixes there, with the words before them."""
+    """For rows (doc_id, raw, small, large: prefixes): the contexts of the small ones, the windows of the large."""
     arrow = C.arrow_schema(rows.sparkSession, _ROUTE)
     back = window - prefix
     C.small_batches(rows.sparkSession)
 
     def of(doc, th, raw, small, large):
-        at, g = anchors(C.word_hashes(raw), window, prefix)
+        h = C.word_hashes(raw)
+        at, g = anchors(h, window, prefix)
         words = raw.split()
+        cold = np.isin(g, small)
+        for p, k in zip(at[cold].tolist(), g[cold].view(np.int64).tolist(), strict=True):
+            yield k, doc, th, p, b" ".join(words[max(0, p - back) : p]), b" ".join(words[p : p + window]), None, None
         hot = np.isin(g, large)
-        use = hot | np.isin(g, small)
-        for p, k, h in zip(at[use].tolist(), g[use].view(np.int64).tolist(), hot[use].tolist(), strict=True):
-            yield k, doc, th, p, b" ".join(words[max(0, p - back) : p]), b" ".join(words[p : p + window]), h
+        if hot.any():
+            starts = np.unique((at[hot][:, None] - np.arange(back + 1)).ravel())
+            for p in starts[(starts >= 0) & (starts + window <= len(h))].tolist():
+                x, y = struct.unpack("<qq", hashlib.blake2b(b" ".join(words[p : p + window]), digest_size=16).digest())
+                yield None, doc, th, p, None, None, x, y
 
     def run(batches):
         for b in batches:
-            found = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield from _pieces((r for doc, th, raw, *lists in found for r in of(doc, th, raw, *(np.array(x or [], dtype=np.int64).view(np.uint64) for x in lists))), arrow)
+            held: list[tuple] = []
+            for doc, th, raw, small, large in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for r in of(doc, th, raw, *(np.array(x or [], dtype=np.int64).view(np.uint64) for x in (small, large))):
+                    held.append(r)
+                    if len(held) >= 5_000:
+                        yield C.record_batch(dict(zip(arrow.names, zip(*held, strict=True), strict=True)), arrow)
+                        held = []
+            if held:
+                yield C.record_batch(dict(zip(arrow.names, zip(*held, strict=True), strict=True)), arrow)
 
     return rows.select("doc_id", "th", "raw", "small", "large").mapInArrow(run, _ROUTE)
 
 
-def _pieces(rows: Iterator[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    while held := list(itertools.islice(rows, 5_000)):
-        yield C.record_batch(dict(zip(arrow.names, zip(*held, strict=True), strict=True)), arrow)
-
-
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    """How many words a and b have in common from their start."""
-    if a == b:
-        return len(a)
-    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-
-
-def off_path(row: tuple, hub: dict, window: int) -> Iterator[tuple]:
-    """A suffix against its group's path: the span they share, and the longer prefixes at which it leaves the path."""
-    prefix, doc, th, pos, left, right = row
-    ls, rs, hl, hr = left.split()[::-1], right.split(), hub["left"].split()[::-1], hub["right"].split()
-    back, on = _common(ls, hl), _common(rs, hr)
-    if hub["doc_id"] < doc and back + on >= window:
-        yield None, doc, th, pos, None, None, pos - back, pos + on
-    for words, n, side in ((rs, on, b">"), (ls, back, b"<")):
-        if n < len(words):
-            longer = hashlib.blake2b(b" ".join([prefix.to_bytes(8, "big", signed=True), side, *words[: n + 1]]), digest_size=8)
-            yield int.from_bytes(longer.digest(), "big", signed=True), doc, th, pos, left, right, None, None
-
-
-def _split(large: DataFrame, window: int) -> DataFrame:
-    """Suffixes of large groups, compared with their group's path: off_path() of each."""
-    schema = "prefix long, doc_id long, th long, pos int, left binary, right binary, first int, end int"
-    arrow = C.arrow_schema(large.sparkSession, schema)
-    hubs = large.groupBy("prefix").agg(F.min(F.struct("doc_id", "pos", "left", "right")).alias("hub"))
-
-    def run(batches):
-        for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield from _pieces((x for *row, hub in rows for x in off_path(tuple(row), hub, window)), arrow)
-
-    both = large.join(C.materialise(hubs, "paths"), "prefix").select("prefix", "doc_id", "th", "pos", "left", "right", "hub")
-    return C.materialise(both.mapInArrow(run, schema), "split")
-
-
 def _levels(group: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     """Node numbers at depth 0, 1, ... of the tree of the rows of words; -1 beyond a row's end.
 
@@ -246,25 +214,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, text:
     mine = C.materialise(suffixes.join(counts, "prefix").groupBy("doc_id", "th", "tl").agg(of(False).alias("small"), of(True).alias("large")), "mine")
     routed = C.materialise(_contexts(keyed.join(mine, ["doc_id", "th", "tl"]), window, prefix), "contexts")
     C.discard(mine, counts)
-    suffix = ["prefix", "doc_id", "th", "pos", "left", "right"]
-    contexts, large, decided = routed.filter("not large").select(*suffix), routed.filter("large").select(*suffix), None
-    while not large.isEmpty():
-        split = _split(large, window)
-        spans = split.filter("prefix is null").select("doc_id", "th", "first", "end")
-        decided = spans if decided is None else decided.unionByName(spans)
-        longer = split.filter("prefix is not null").select(*suffix)
-        shared = longer.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b")
-        shared = C.materialise(shared.select("prefix", (F.col("n") > group_rows).alias("large")), "shared")
-        again = C.materialise(longer.join(shared, "prefix"), "longer")
-        contexts = contexts.unionByName(again.filter("not large").select(*suffix))
-        large = again.filter("large").select(*suffix)
+    contexts = routed.filter("right is not null").select("prefix", "doc_id", "th", "pos", "left", "right")
     spans = _subtrees(contexts.repartition("prefix").sortWithinPartitions("prefix"), window, prefix)
-    spans = spans if decided is None else spans.unionByName(decided)
-    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "end")).alias("spans")).withColumn("whole", F.lit(False))
+    windows = routed.filter("right is null").select("doc_id", "th", "pos", "w1", "w2")
+    least = C.materialise(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "windows")
+    late = windows.join(least, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "th", F.col("pos").alias("first"), (F.col("pos") + window).alias("end"))
+    spans = spans.unionByName(late).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "end")).alias("spans")).withColumn("whole", F.lit(False))
     copies = scanned.select("doc_id", "th", "tl").join(texts.filter("least < most").select("th", "tl", "least"), ["th", "tl"]).filter("least < doc_id")
     copies = copies.select("doc_id", "th").distinct().select("doc_id", "th", F.lit(None).cast("array<struct<first:int,end:int>>").alias("spans"), F.lit(True).alias("whole"))
     out = C.materialise(spans.unionByName(copies), "repeats")
-    C.discard(routed, scanned, texts)
+    C.discard(routed, least, scanned, texts)
     return out
 
 

@@ -79,7 +79,7 @@ def test_anchors_depend_on_the_window_alone():
         assert len(own) and set(own + i) <= set(at)
 
 
-def test_hot_passages_are_split_along_their_paths(spark):
+def test_hot_passages(spark):
     """Passages in hundreds of documents, cut off at all places and edited at some: every group is beyond its bound."""
     r = random.Random(2)
     fresh = lambda k: [f"f{r.randrange(10**6)}" for _ in range(k)]
@@ -95,11 +95,3 @@ def test_hot_passages_are_split_along_their_paths(spark):
         out = S.remove_repeats(d, 10, 3, group_rows=group_rows, joined=True)
         got = out.select("doc_id", F.col("gl_n_words"), F.col("gl_n_removed"), F.sha2("text", 256)).collect()
         assert sorted(map(tuple, got), key=str) == brute(docs, 10)
-
-
-def test_off_path_goes_to_both_sides():
-    hub = {"doc_id": 1, "pos": 0, "left": b"a b", "right": b"p q r s"}
-    assert list(S.off_path((7, 5, 0, 2, b"a b", b"p q r s"), hub, 5)) == [(None, 5, 0, 2, None, None, 0, 6)]
-    assert not list(S.off_path((7, 1, 0, 2, b"a b", b"p q r s"), hub, 5))
-    got = list(S.off_path((7, 5, 0, 2, b"x b", b"p q t s"), hub, 3))
-    assert [x[6:] for x in got] == [(1, 4), (None, None), (None, None)] and len({x[0] for x in got}) == 3
