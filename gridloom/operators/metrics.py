@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def match_by_name(target: DataFrame, predicted: DataFrame, name: str = "file_name", key: str = "id") -> DataFrame:
@@ -68,6 +71,44 @@ def mask_scores(target: DataFrame, predicted: DataFrame) -> DataFrame:
     return scores(known, ["pred_set"])
 
 
+def box_mask_scores(target: DataFrame, predicted: DataFrame, side: int = 256) -> DataFrame:
+    """mask_scores() of the masks that boxes with whole coordinates cover, without making their pixels.
+
+    target (image_id, xmin, ymin, xmax, ymax), predicted (the same with pred_set). Boxes are cut by
+    tiles of side pixels, and of each piece only the four corners go on, with which its coverage
+    begins and ends. Corners are summed before they are shuffled, so a tile has at most one for each
+    pixel, however many boxes there are; a task adds them up to the coverage of a tile at a time.
+    Empty boxes cover nothing; an empty table gives no rows.
+    """
+    tile = ["image_id", "tr", "tc"]
+
+    def corners(boxes: DataFrame, by: list[str], name: str) -> DataFrame:
+        some = boxes.filter((F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin"))).select(*by, *[F.col(c).cast("int").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+        tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor((F.col(hi) - 1) / side)))
+        pieces = some.withColumn("tr", tiles("ymin", "ymax")).withColumn("tc", tiles("xmin", "xmax"))
+        local = lambda c, t: F.greatest(F.lit(0), F.least(F.lit(side), F.col(c) - F.col(t) * side)).cast("int")
+        four = [F.struct(local(y, "tr").alias("r"), local(x, "tc").alias("c"), F.lit(d).alias("d")) for y, x, d in (("ymin", "xmin", 1), ("ymin", "xmax", -1), ("ymax", "xmin", -1), ("ymax", "xmax", 1))]
+        return pieces.withColumn("e", F.explode(F.array(*four))).groupBy(*by, "tr", "tc", "e.r", "e.c").agg(F.sum("e.d").alias(name))
+
+    t, p = corners(target, ["image_id"], "t"), corners(predicted, ["pred_set", "image_id"], "p")
+    judged = predicted.select("pred_set", "image_id").distinct().join(target.select("image_id").distinct(), "image_id", "left_semi")
+    both = t.join(judged, "image_id").select("pred_set", *tile, "r", "c", "t", F.lit(0).cast("long").alias("p"))
+    both = both.unionByName(p.join(judged, ["pred_set", "image_id"], "left_semi").select("pred_set", *tile, "r", "c", F.lit(0).cast("long").alias("t"), "p"))
+    schema = StructType([predicted.schema["pred_set"], *(StructField(c, LongType()) for c in ("tp", "fp", "fn"))])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        covered = []
+        for name in ("t", "p"):
+            a = np.zeros((side + 1, side + 1), dtype=np.int64)
+            np.add.at(a, (pdf["r"].to_numpy(), pdf["c"].to_numpy()), pdf[name].to_numpy())
+            covered.append(a.cumsum(axis=0).cumsum(axis=1)[:side, :side] > 0)
+        t, p = covered
+        return pd.DataFrame({"pred_set": pdf["pred_set"].iloc[:1], "tp": [(t & p).sum()], "fp": [(p & ~t).sum()], "fn": [(t & ~p).sum()]})
+
+    out = both.groupBy("pred_set", *tile).applyInPandas(one, schema).groupBy("pred_set").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return out.withColumns(_ratios(F.col("tp").cast("double"), F.col("fp"), F.col("fn")))
+
+
 def box_iou(a: list[Column], b: list[Column]) -> Column:
     """Intersection over union of two boxes (xmin, ymin, xmax, ymax); 0 where both are empty."""
     w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

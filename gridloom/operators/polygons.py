@@ -11,7 +11,7 @@ in numpy, and labels that meet across tile borders are united by rounds of joins
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +34,57 @@ def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+#: Nodes that are labelled in one go; a tile is never divided.
+CHUNK = 100_000
+
+
+def _label_tiles(tile: np.ndarray, r: np.ndarray, c: np.ndarray, right: np.ndarray, down: np.ndarray, side: int) -> np.ndarray:
+    """For nodes sorted by tile, row and column the place of the first node of each one's component in its tile."""
+    key = (tile * side + r % side) * side + c % side
+    a, b = [], []
+    for at, step in ((np.flatnonzero(right & ((c + 1) % side != 0)), 1), (np.flatnonzero(down & ((r + 1) % side != 0)), side)):
+        to = np.minimum(np.searchsorted(key, key[at] + step), len(key) - 1)
+        there = key[to] == key[at] + step
+        a.append(at[there])
+        b.append(to[there])
+    return union(len(key), np.concatenate(a), np.concatenate(b))
+
+
 def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
-    """nodes (raster_id, row, col, right, down: whether linked to that neighbour) with lrow, lcol.
+    """nodes (raster_id, row, col, bits, right, down: whether linked to that neighbour) with lrow, lcol.
 
-    (lrow, lcol) names the component: one of its nodes, the same for all.
+    (lrow, lcol) names the component: one of its nodes, the same for all. A link to a neighbour that
+    isn't a node is none; bits are carried along.
     """
-    schema = "raster_id long, row int, col int, right boolean, down boolean, lrow int, lcol int"
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"], kind="stable").reset_index(drop=True)
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        where = np.full((side + 1, side + 1), -1, dtype=np.int64)
-        r0, c0 = r.min() // side * side, c.min() // side * side
-        where[r - r0, c - c0] = np.arange(len(pdf))
-        a, b = [], []
-        for flag, dr, dc in (("right", 0, 1), ("down", 1, 0)):
-            at = np.flatnonzero(pdf[flag].to_numpy())
-            to = where[r[at] - r0 + dr, c[at] - c0 + dc]
-            a.append(at[to >= 0])
-            b.append(to[to >= 0])
-        first = union(len(pdf), np.concatenate(a), np.concatenate(b))
-        return pdf.assign(lrow=r[first], lcol=c[first])[["raster_id", "row", "col", "right", "down", "lrow", "lcol"]]
-
-    n = nodes.select(F.col("raster_id").cast("long").alias("raster_id"), "row", "col", "right", "down")
-    keyed = n.withColumns({"gl_tr": F.floor(F.col("row") / side), "gl_tc": F.floor(F.col("col") / side)})
-    local = settle(keyed.groupBy("raster_id", "gl_tr", "gl_tc").applyInPandas(lambda pdf: tile(pdf), schema), "local-labels")
+    schema = "raster_id long, row int, col int, bits int, right boolean, down boolean, lrow int, lcol int"
+    names = ["raster_id", "row", "col", "bits", "right", "down"]
+
+    def work(cols: list[np.ndarray]) -> pa.RecordBatch:
+        raster, r, c, _, right, down = cols
+        new = (np.diff(raster) != 0) | (np.diff(r // side) != 0) | (np.diff(c // side) != 0)
+        first = _label_tiles(np.concatenate(([0], np.cumsum(new))), r, c, right, down, side)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, r[first], c[first])], names=[*names, "lrow", "lcol"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            n += batch.num_rows
+            if n >= CHUNK:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                raster, r, c = cols[:3]
+                last = (raster == raster[-1]) & (r // side == r[-1] // side) & (c // side == c[-1] // side)
+                cut = int(np.argmax(last))
+                if cut:
+                    yield work([x[:cut] for x in cols])
+                held, n = [[x[cut:] for x in cols]], len(r) - cut
+        if n:
+            yield work([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    keyed = nodes.select(F.col("raster_id").cast("long").alias("raster_id"), "row", "col", "bits", "right", "down")
+    tile = ["raster_id", F.floor(F.col("row") / side), F.floor(F.col("col") / side)]
+    local = settle(keyed.repartition(*tile).sortWithinPartitions(*tile, "row", "col").mapInArrow(run, schema), "local-labels")
     me = F.struct("raster_id", "lrow", "lcol")
     ends = local.filter(F.col("right") & ((F.col("col") + 1) % side == 0)).select(me.alias("a"), "raster_id", "row", (F.col("col") + 1).alias("col"))
     ends = ends.unionByName(local.filter(F.col("down") & ((F.col("row") + 1) % side == 0)).select(me.alias("a"), "raster_id", (F.col("row") + 1).alias("row"), "col"))
@@ -71,19 +97,14 @@ def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     return out.withColumns({"lrow": F.coalesce("mrow", "lrow"), "lcol": F.coalesce("mcol", "lcol")}).drop("mrow", "mcol")
 
 
-def _neighbours(px: DataFrame, offsets: list[tuple[int, int, str]]) -> DataFrame:
-    """px (raster_id, row, col) with a boolean for each offset: whether the pixel there is in px, too."""
-    marks = F.array(F.struct(F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit("").alias("k")), *[F.struct(F.lit(-dr).alias("r"), F.lit(-dc).alias("c"), F.lit(k).alias("k")) for dr, dc, k in offsets])
-    e = px.select("raster_id", "row", "col", F.explode(marks).alias("m"))
-    e = e.select("raster_id", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col"), F.col("m.k").alias("k"))
-    seen = e.groupBy("raster_id", "row", "col").agg(F.bool_or(F.col("k") == "").alias("gl_me"), *[F.bool_or(F.col("k") == k).alias(k) for _, _, k in offsets])
-    return seen.filter("gl_me").drop("gl_me")
+def _linked(px: DataFrame) -> DataFrame:
+    """px (raster_id, row, col) as nodes that are linked to all neighbours there are."""
+    return px.select("raster_id", "row", "col", F.lit(0).alias("bits"), F.lit(True).alias("right"), F.lit(True).alias("down"))
 
 
 def fill_holes(px: DataFrame, side: int = SIDE) -> DataFrame:
     """The set pixels and those of holes, of a dense px (raster_id, row, col, on)."""
-    bg = _neighbours(px.filter(~F.col("on")).select("raster_id", "row", "col"), [(0, 1, "right"), (1, 0, "down")])
-    labelled = label(bg, side)
+    labelled = label(_linked(px.filter(~F.col("on"))), side)
     edge = px.groupBy(F.col("raster_id").cast("long").alias("raster_id")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     on_edge = (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1"))
     outside = labelled.join(edge, "raster_id").filter(on_edge).select("raster_id", "lrow", "lcol").distinct()
@@ -100,18 +121,26 @@ def pixel_components(px: DataFrame, side: int = SIDE) -> DataFrame:
     p = px.select(F.col("raster_id").cast("long").alias("raster_id"), (F.col("row") * 2).alias("row"), (F.col("col") * 2).alias("col"))
     near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
     lattice = p.withColumn("n", near).select("raster_id", (F.col("row") + F.col("n.r")).alias("row"), (F.col("col") + F.col("n.c")).alias("col")).distinct()
-    nodes = _neighbours(lattice, [(0, 1, "right"), (1, 0, "down")])
-    lab = label(nodes, side)
+    lab = label(_linked(lattice), side)
     own = lab.join(p, ["raster_id", "row", "col"], "left_semi")
     first = own.groupBy("raster_id", "lrow", "lcol").agg(F.min(F.struct("row", "col")).alias("m"))
     return own.join(first, ["raster_id", "lrow", "lcol"]).select("raster_id", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), (F.col("m.row") / 2).cast("int").alias("lrow"), (F.col("m.col") / 2).cast("int").alias("lcol"))
 
 
 def dual_cells(filled: DataFrame) -> DataFrame:
-    """Cells of filled pixels: raster_id, row, col (of the upper left pixel), bits (1, 2 above, 4, 8 below), n."""
-    spots = F.explode(F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c"), F.lit(bit).alias("bit")) for dr, dc, bit in ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8))]))
+    """Cells of filled pixels: raster_id, row, col (of the upper left pixel), bits (1, 2 above, 4, 8 below), n, right, down.
+
+    right and down: whether the cell there is one and shares a side of two filled pixels. For this the
+    pixels beyond are looked at as well, 16 and 32 to the right, 64 and 128 below.
+    """
+    places = ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8), (0, -2, 16), (-1, -2, 32), (-2, 0, 64), (-2, -1, 128))
+    spots = F.explode(F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c"), F.lit(bit).alias("bit")) for dr, dc, bit in places]))
     e = filled.withColumn("s", spots).select("raster_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), F.col("s.bit").alias("bit"))
-    return e.groupBy("raster_id", "row", "col").agg(F.sum("bit").cast("int").alias("bits"), F.count("*").cast("int").alias("n")).filter("n >= 3")
+    seen = e.groupBy("raster_id", "row", "col").agg(F.sum("bit").cast("int").alias("all"))
+    within = lambda mask: F.col("all").bitwiseAND(F.lit(mask))
+    beside = lambda shared, beyond: (within(shared) == shared) & (within(beyond) > 0)
+    cells = seen.withColumns({"bits": within(15), "n": F.bit_count(within(15)), "right": beside(2 | 8, 16 | 32), "down": beside(4 | 8, 64 | 128)})
+    return cells.filter("n >= 3").drop("all")
 
 
 def polygonize(px: DataFrame, side: int = SIDE) -> DataFrame:
@@ -120,12 +149,8 @@ def polygonize(px: DataFrame, side: int = SIDE) -> DataFrame:
     raster_id, n_cells, area, perimeter, xmin, ymin, xmax, ymax (rows count down), cx, cy. Objects of
     different rasters never meet; a raster without an object has no row.
     """
-    cells = settle(dual_cells(fill_holes(px, side)), "cells")
-    beside = _neighbours(cells.select("raster_id", "row", "col"), [(0, 1, "r"), (1, 0, "d")]).join(cells, ["raster_id", "row", "col"])
-    has = lambda mask: F.col("bits").bitwiseAND(F.lit(mask)) == mask
-    nodes = beside.withColumns({"right": F.col("r") & has(2 | 8), "down": F.col("d") & has(4 | 8)})
-    lab = label(nodes.select("raster_id", "row", "col", "right", "down"), side).join(cells, ["raster_id", "row", "col"])
-    square = F.col("n") == 4
+    lab = label(dual_cells(fill_holes(px, side)), side)
+    square = F.col("bits") == 15
     area = F.when(square, 1.0).otherwise(0.5)
     # of a triangle the mean of its corners: the missing pixel's side weighs a third
     left = F.col("bits").bitwiseAND(F.lit(1)).cast("int") + (F.col("bits").bitwiseAND(F.lit(4)) / 4).cast("int")

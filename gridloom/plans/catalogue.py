@@ -318,10 +318,9 @@ def segmentation_scores(spark, sf):
 
 @query
 def segmentation_scores_pixels(spark, sf):
-    t = metrics.rasterise_boxes(boxes(spark, sf))
-    p = metrics.rasterise_boxes(boxes(spark, sf, True)).withColumn("pred_set", F.lit("shifted"))
-    q = metrics.rasterise_boxes(boxes(spark, sf).filter("box_id % 3 = 0 and image_id <> 0")).withColumn("pred_set", F.lit("third"))
-    s = metrics.mask_scores(t, p.unionByName(q))
+    p = boxes(spark, sf, True).withColumn("pred_set", F.lit("shifted"))
+    q = boxes(spark, sf).withColumns({"ymin": F.col("ymin") + 3, "ymax": F.col("ymax") + 3, "pred_set": F.lit("lowered")})
+    s = metrics.box_mask_scores(boxes(spark, sf), p.unionByName(q))
     return s.select("pred_set", "tp", "fp", "fn", *[_r(c) for c in ("dice", "precision_ref", "recall_ref", "accuracy_ref", "precision_textbook")])
 
 

@@ -106,7 +106,7 @@ SELECT k AS box_id, count(*) AS n, CAST(sum(r) AS BIGINT) AS rows, CAST(sum(col)
     "segmentation_scores": f"""WITH s AS (SELECT doc_id % 4 AS pred_set, CAST(sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN quality <> 1 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN quality = 1 AND toxic <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM labels GROUP BY 1)
 SELECT pred_set, tp, fp, fn, {RATIOS} FROM s""",
     "segmentation_scores_pixels": f"""WITH {BOX}, {SHIFTED}, t AS (SELECT DISTINCT * FROM ({_pixels('box')})),
-p AS (SELECT DISTINCT 'shifted' AS pred_set, * FROM ({_pixels('shifted')}) UNION ALL SELECT DISTINCT 'third', * FROM ({_pixels('box', 'box_id % 3 = 0 AND image_id <> 0')})),
+p AS (SELECT DISTINCT 'shifted' AS pred_set, * FROM ({_pixels('shifted')}) UNION ALL SELECT DISTINCT 'lowered', image_id, row + 3 AS row, col FROM ({_pixels('box')})),
 judged AS (SELECT DISTINCT pred_set, image_id FROM p), tt AS (SELECT pred_set, t.* FROM t JOIN judged USING (image_id)),
 j AS (SELECT coalesce(tt.pred_set, p.pred_set) AS pred_set, tt.row IS NOT NULL AS t, p.row IS NOT NULL AS p FROM tt FULL JOIN p ON tt.pred_set = p.pred_set AND tt.image_id = p.image_id AND tt.row = p.row AND tt.col = p.col),
 s AS (SELECT pred_set, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM j GROUP BY 1) SELECT pred_set, tp, fp, fn, {RATIOS} FROM s""",

@@ -203,3 +203,19 @@ def test_entry_without_the_optional_package(spark, monkeypatch):
     assert e.entry(spark).count() > 0
     monkeypatch.setattr(e, "_llm", lambda: None)
     assert "raster_tile_threshold" in e.queries() and not any(q.startswith("op") for q in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_box_masks_score_like_their_pixels(spark):
+    """Overlapping, empty and touching boxes; an image that a set or the target doesn't hold."""
+    r = random.Random(7)
+    def box(i):
+        x, y = r.randrange(20), r.randrange(20)
+        return i, float(x), float(y), float(x + r.randrange(6)), float(y + r.randrange(6))
+
+    target = spark.createDataFrame([box(i % 4) for i in range(40)], "image_id int, xmin double, ymin double, xmax double, ymax double")
+    rows = [("a", *box(i % 3)) for i in range(30)] + [("b", *box(i % 2 * 4)) for i in range(20)] + [("b", *box(3))] * 2
+    predicted = spark.createDataFrame(rows, "pred_set string, image_id int, xmin double, ymin double, xmax double, ymax double")
+    want = metrics.mask_scores(metrics.rasterise_boxes(target), metrics.rasterise_boxes(predicted)).collect()
+    got = metrics.box_mask_scores(target, predicted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 2
+    assert metrics.box_mask_scores(target, predicted.limit(0)).count() == 0
