@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, language
@@ -95,3 +96,24 @@ def test_tokens_are_the_library_s(steps):
 
 def test_run_is_the_stages_in_order(spark, steps):
     assert {r.doc_id: r for r in P.run(spark, SF).collect()} == steps[5]
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and empty texts, null ids, repeated rows, a long text, a clashing column, and no rows at all."""
+    long = " ".join(f"the word{i % 977} of{i % 61}" for i in range(30_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "the and of that it is", None, None, None), (3, "the and of that it is", None, None, None), (None, "the house is of that and it", "en", "a", 3), (5, long, "en", "b", len(long)), (6, "12 34", "en", "b", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("node", F.lit("clash"))
+    learned = d.unionByName(C.load(spark, SF, "documents").withColumn("node", F.lit("clash")).select(*d.columns))
+    kept = P.language_id(spark, learned, SF)
+    kept = C.materialise(kept.filter("doc_id is null or doc_id in (1, 2, 3, 5, 6)").join(d.select("text").distinct(), "text", "left_semi").select(*d.columns), "odd")
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in kept.collect()) == [(0, "the hou"), (3, "the and"), (3, "the and"), (5, "the wor")]
+    docs = kept
+    for name, f in P.STAGES[1:]:
+        docs = C.materialise(f(spark, docs, SF), name)
+        assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 3, 5]
+        if name != "tokens":
+            assert set(docs.columns) == set(d.columns)
+    empty = kept.limit(0)
+    for name, f in P.STAGES:
+        empty = C.materialise(f(spark, empty, SF), name)
+        assert empty.count() == 0
