@@ -43,8 +43,8 @@ def to_map(col: Column, row: Column, xmin: Column, ymin: Column, xmax: Column, y
 
 
 def to_pixel(x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: Column, height: Column) -> tuple[Column, Column]:
-    """The pixel position of map coordinates."""
-    return (x - xmin) / F.abs(xmax - xmin) * width, (1 - (y - ymin) / F.abs(ymax - ymin)) * height
+    """The pixel position of map coordinates; null where the extent has no width or height."""
+    return F.try_divide(x - xmin, F.abs(xmax - xmin)) * width, (1 - F.try_divide(y - ymin, F.abs(ymax - ymin))) * height
 
 
 def resolution(extent: Column, pixels: Column) -> Column:

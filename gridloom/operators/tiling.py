@@ -18,14 +18,14 @@ def overlay_boxes(boxes: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
     """The pieces of boxes in each tile, with all columns of the box; empty pieces are none.
 
     Each box names the tiles that it touches by arithmetic, so boxes and tiles meet in an equi-join
-    on at most n * n tiles.
+    on at most n * n tiles. Bounds without width or height hold no piece; an empty table gives none.
     """
     b = bounds.select(*[F.col(c).alias(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     j = boxes.join(F.broadcast(b))  # bounds is one row
     w, h = (F.col("gl_xmax") - F.col("gl_xmin")) / n, (F.col("gl_ymax") - F.col("gl_ymin")) / n
     at = lambda x: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(x).cast("int")))
-    c0, c1 = at((F.col("xmin") - F.col("gl_xmin")) / w - 1), at((F.col("xmax") - F.col("gl_xmin")) / w + 1)
-    r0, r1 = at((F.col("gl_ymax") - F.col("ymax")) / h - 1), at((F.col("gl_ymax") - F.col("ymin")) / h + 1)
+    c0, c1 = at(F.try_divide(F.col("xmin") - F.col("gl_xmin"), w) - 1), at(F.try_divide(F.col("xmax") - F.col("gl_xmin"), w) + 1)
+    r0, r1 = at(F.try_divide(F.col("gl_ymax") - F.col("ymax"), h) - 1), at(F.try_divide(F.col("gl_ymax") - F.col("ymin"), h) + 1)
     j = j.withColumn("gl_r", F.explode(F.sequence(r0, r1))).withColumn("gl_c", F.explode(F.sequence(c0, c1)))
     j = j.withColumn("tile_id", (F.col("gl_r") * n + F.col("gl_c")).cast("int")).select(*boxes.columns, "tile_id")
     t = grid(bounds, n).select("tile_id", *[F.col(c).alias(f"tile_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])

@@ -242,8 +242,8 @@ def tile_overlay_box(spark, sf):
 @query
 def tile_clip_pixels(spark, sf):
     px = mosaic(spark, sf)
-    n = load(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-    t = tiling.clip_pixels(px, n, 64, DIVISIONS)
+    last = load(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]  # null of no rows
+    t = tiling.clip_pixels(px, 1 if last is None else last + 1, 64, DIVISIONS)
     return t.groupBy("tile_id").agg(F.count("*").alias("n"), F.max("tile_row").alias("last_row"), F.max("tile_col").alias("last_col"), F.max("v").alias("v_max"))
 
 

@@ -219,3 +219,12 @@ def test_box_masks_score_like_their_pixels(spark):
     got = metrics.box_mask_scores(target, predicted)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 2
     assert metrics.box_mask_scores(target, predicted.limit(0)).count() == 0
+
+
+def test_bounds_without_a_side_hold_nothing(spark):
+    box = "xmin double, ymin double, xmax double, ymax double"
+    point = spark.createDataFrame([(2.0, 3.0, 2.0, 3.0)], box)
+    assert tiling.overlay_boxes(point, point, 3).count() == 0
+    assert tiling.overlay_boxes(point.limit(0), point, 3).count() == 0
+    at = geo.to_pixel(F.lit(2.0), F.lit(3.0), *(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")), F.lit(10), F.lit(10))
+    assert tuple(point.select(*at).first()) == (None, None)
