@@ -34,3 +34,27 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longitudes and latitudes from customers: id, lon, lat."""
     k = F.col("c_custkey")
     return load(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919 % 360000) / 1000 - 180).alias("lon"), ((k * 104729 % 160000) / 1000 - 80).alias("lat"))
+
+
+def notched_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as concave rings, with a notch from above to a quarter of their height: box_id, ring."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    return boxes(spark, sf_dir).select("box_id", F.array(p(x0, y0), p(x1, y0), p(x1, y1), p((x0 + x1) / 2, y0 + (y1 - y0) / 4), p(x0, y1)).alias("ring"))
+
+
+def slanted_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left halves of the notched rings, quadrilaterals with a slanted side: box_id, ring."""
+    r = F.col("ring")
+    return notched_rings(spark, sf_dir).select("box_id", F.array(r[0], F.struct(r[3]["x"].alias("x"), r[0]["y"].alias("y")), r[3], r[4]).alias("ring"))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of the 8x8 rasters in three systems: raster_id, xmin, ymin, xmax, ymax, width, height, epsg."""
+    i = F.col("vec_id")
+    epsg = F.element_at(F.array(F.lit(4326), F.lit(3857), F.lit(6933)), (i % 3 + 1).cast("int"))
+    e = load(spark, sf_dir, "embeddings").select(i.alias("raster_id"), epsg.alias("epsg"))
+    i, degrees = F.col("raster_id"), F.col("epsg") == 4326
+    x, y = F.when(degrees, i * 7919 % 3400 / 10 - 170).otherwise(i * 1000 - 200000), F.when(degrees, i * 104729 % 1200 / 10 - 60).otherwise(i * 700 - 100000)
+    size = F.when(degrees, 0.0008).otherwise(80.0)
+    return e.withColumns({"xmin": x.cast("double"), "ymin": y.cast("double")}).select("raster_id", "xmin", "ymin", (F.col("xmin") + size).alias("xmax"), (F.col("ymin") + size).alias("ymax"), F.lit(8).alias("width"), F.lit(8).alias("height"), "epsg")

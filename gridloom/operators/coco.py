@@ -33,6 +33,38 @@ def annotations(pieces: DataFrame, width: int, height: int, feature: str = "box_
     return numbered.select("id", "image_id", "feature_id", F.lit(1).alias("category_id"), F.array(flat).alias("segmentation"), F.array("x0", "y1", F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))).alias("bbox"))
 
 
+def ring_annotations(pieces: DataFrame, width: int, height: int, feature: str = "box_id") -> DataFrame:
+    """annotations() of pieces with parts, as tiling.overlay_rings gives them: one list of numbers for each part."""
+    t = [F.col(f"tile_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
+    place = lambda x, y: to_pixel(x, y, *t, F.lit(width), F.lit(height))
+    flat = lambda r: F.flatten(F.transform(F.concat(r, F.slice(r, 1, 1)), lambda q: F.array(*place(q["x"], q["y"]))))
+    (x0, y0), (x1, y1) = place(F.col("xmin"), F.col("ymin")), place(F.col("xmax"), F.col("ymax"))
+    p = pieces.select((F.col("tile_id") + 1).cast("int").alias("image_id"), F.col(feature).alias("feature_id"), F.transform("parts", flat).alias("segmentation"), F.array(x0, y1, F.abs(x1 - x0), F.abs(y1 - y0)).alias("bbox"))
+    return dense_ids(p, ["image_id", "feature_id"], "id", 1).select("id", "image_id", "feature_id", F.lit(1).alias("category_id"), "segmentation", "bbox")
+
+
+def with_scores(annotations_: DataFrame, scored: DataFrame, feature: str = "box_id") -> DataFrame:
+    """Results: annotations with the score that scored (feature, score) holds for their feature, null without one."""
+    s = scored.select(F.col(feature).alias("feature_id"), "score")
+    return annotations_.join(s, "feature_id", "left")
+
+
+def corners(annotations_: DataFrame) -> DataFrame:
+    """image_id, id, xmin, ymin, xmax, ymax of annotations with a bbox [left, top, width, height]."""
+    b = [F.col("bbox")[i] for i in range(4)]
+    return annotations_.select("image_id", "id", b[0].alias("xmin"), b[1].alias("ymin"), (b[0] + b[2]).alias("xmax"), (b[1] + b[3]).alias("ymax"))
+
+
+def mask(annotations_: DataFrame) -> DataFrame:
+    """image_id, row, col of the pixels whose centre lies in any annotation of their image."""
+    from gridloom.operators.metrics import mask_union, rasterise_ring
+
+    flat = annotations_.select("image_id", F.explode("segmentation").alias("s"))
+    point = lambda i: F.struct(F.element_at("s", 2 * i + 1).alias("x"), F.element_at("s", 2 * i + 2).alias("y"))
+    rings = flat.filter(F.size("s") >= 6).select("image_id", F.transform(F.sequence(F.lit(0), (F.size("s") / 2).cast("int") - 1), point).alias("ring"))
+    return mask_union(rasterise_ring(rings))
+
+
 def write_tables(path: str, images_: DataFrame, annotations_: DataFrame) -> None:
     """The data set as JSON lines, a folder for each list: the form that scales."""
     images_.write.json(f"{path}/images")

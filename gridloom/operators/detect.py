@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import geo
+from gridloom.operators import vector
+
+#: Least score of a detection that becomes a feature, and the overlap that suppresses (fixed values).
+LEAST_SCORE, OVERLAP = 0.98, 0.4
+
 
 def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Non-maximum suppression by image: the best box stays, those above threshold IoU with a kept one go.
@@ -47,3 +53,18 @@ def infer(tiles: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.Data
 def cut_probability(masks: DataFrame, limit: float = 0.6) -> DataFrame:
     """Instance-mask pixels above limit, united over the instances of an image: image_id, row, col."""
     return masks.filter(F.col("prob") > limit).select("image_id", "row", "col").distinct()
+
+
+def layer(boxes: DataFrame, meta: DataFrame, score: float = LEAST_SCORE, overlap: float = OVERLAP) -> DataFrame:
+    """Detections in pixels as measured features in map units: those above score, suppressed, with class and sizes.
+
+    meta has a row an image: image_id, xmin, ymin, xmax, ymax, width, height. Detections of an image
+    without meta are left out.
+    """
+    names = ("xmin", "ymin", "xmax", "ymax", "width", "height")
+    m = meta.select("image_id", *[F.col(c).alias(f"gl_{c}") for c in names])
+    j = suppress(boxes.filter(F.col("score") > score), overlap).join(m, "image_id")
+    extent = [F.col(f"gl_{c}") for c in names]
+    (x0, y1), (x1, y0) = geo.to_map(F.col("xmin"), F.col("ymin"), *extent), geo.to_map(F.col("xmax"), F.col("ymax"), *extent)
+    moved = j.withColumns({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}).select(*boxes.columns)
+    return vector.measure_boxes(moved)

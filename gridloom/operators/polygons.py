@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import geo
 from gridloom.functions.shared import components, dense_ids, settle
 
 #: Side of a tile that one task labels.
@@ -168,6 +169,33 @@ def polygonize(px: DataFrame, side: int = SIDE) -> DataFrame:
     return out.drop("lrow", "lcol")
 
 
+def measure_georeferenced(px: DataFrame, meta: DataFrame, side: int = SIDE) -> DataFrame:
+    """raster_id, n_cells, area_m2, perim_m, a_diam_m, xmin .. ymax (map units) of the objects of georeferenced rasters.
+
+    px is dense (raster_id, row, col, on); meta has a row a raster: raster_id, xmin, ymin, xmax, ymax,
+    width, height, epsg (4326, 3857 or 6933). Measures are those in the equal-area projection around
+    the longitude of the extent's lower left corner. It and the known systems are cylindrical: a pixel's
+    width in metres is that of its raster and its height that of its row, so cells add up without
+    their contours. A raster without meta has no row; an unknown system gives null measures.
+    """
+    lab = label(dual_cells(fill_holes(px, side)), side)
+    at = meta.select(F.col("raster_id").cast("long").alias("raster_id"), *[F.col(c).alias(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax", "width", "height", "epsg")])
+    j = lab.join(at, "raster_id")
+    extent = [F.col(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax", "width", "height")]
+    lon0 = geo.to_lonlat(extent[0], extent[1], F.col("gl_epsg"))[0]
+    # a pixel's place is its row and column, as everywhere here
+    metres = lambda col, row: geo.local_cea(*geo.to_lonlat(*geo.to_map(col, row, *extent), F.col("gl_epsg")), lon0)
+    j = j.withColumn("gl_a", F.struct(*[c.alias(n) for n, c in zip("xy", metres(F.col("col"), F.col("row")), strict=True)]))
+    j = j.withColumn("gl_b", F.struct(*[c.alias(n) for n, c in zip("xy", metres(F.col("col") + 1, F.col("row") + 1), strict=True)]))
+    j = j.withColumns({"w": F.col("gl_b.x") - F.col("gl_a.x"), "h": F.col("gl_a.y") - F.col("gl_b.y")})
+    w, h, square = F.col("w"), F.col("h"), F.col("bits") == 15
+    around = F.when(square, 2 * w + 2 * h).otherwise(w + h + F.sqrt(w * w + h * h)) - F.when(F.col("right"), 2 * h).otherwise(0) - F.when(F.col("down"), 2 * w).otherwise(0)
+    x, y = geo.to_map(F.col("col"), F.col("row"), *extent)
+    x1, y1 = geo.to_map(F.col("col") + 1, F.col("row") + 1, *extent)
+    out = j.groupBy("raster_id", "lrow", "lcol").agg(F.count("*").alias("n_cells"), F.sum(F.when(square, w * h).otherwise(w * h / 2)).alias("area_m2"), F.sum(around).alias("perim_m"), F.min(x).alias("xmin"), F.min(y1).alias("ymin"), F.max(x1).alias("xmax"), F.max(y).alias("ymax"))
+    return out.drop("lrow", "lcol").withColumn("a_diam_m", geo.equivalent_diameter(F.col("area_m2")))
+
+
 def features(objects: DataFrame, pixel_width: float = 1.0, pixel_height: float = 1.0) -> DataFrame:
     """Objects as features: id (from 0 by raster and place), class, label, area_m2, perim_m, a_diam_m.
 

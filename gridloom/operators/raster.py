@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions import geo
+
 #: Side of a tile in pixels.
 TILE = 256
 #: A tile whose maximum is not above this is noise (fixed value).
@@ -92,6 +94,25 @@ def crop(px: DataFrame, meta: DataFrame, xmin: float, ymin: float, xmax: float,
     return j.filter(x.between(xmin, xmax) & y.between(ymin, ymax)).select(*px.columns)
 
 
+def crop_reprojected(px: DataFrame, meta: DataFrame, box: tuple[float, float, float, float], epsg: int) -> DataFrame:
+    """crop() to an extent given in another system than the rasters'; meta has their epsg as well.
+
+    The extent is reprojected to each raster's system. A raster of an unknown system keeps no pixel.
+    """
+    there = geo.reproject_box([F.lit(float(c)) for c in box], epsg, F.col("epsg"))
+    m = meta.withColumns({f"to_{c}": v for c, v in zip(("xmin", "ymin", "xmax", "ymax"), there, strict=True)})
+    m = m.select("raster_id", *[F.col(c).alias(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax", "width", "height", "to_xmin", "to_ymin", "to_xmax", "to_ymax")])
+    j = px.join(m, "raster_id")
+    x, y = geo.to_map(F.col("col") + 0.5, F.col("row") + 0.5, *[F.col(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax", "width", "height")])
+    return j.filter(x.between(F.col("gl_to_xmin"), F.col("gl_to_xmax")) & y.between(F.col("gl_to_ymin"), F.col("gl_to_ymax"))).select(*px.columns)
+
+
+def bounding_boxes(meta: DataFrame, epsg: int) -> DataFrame:
+    """raster_id and each raster's xmin, ymin, xmax, ymax in another system."""
+    names = ("xmin", "ymin", "xmax", "ymax")
+    return meta.select("raster_id", *[c.alias(n) for n, c in zip(names, geo.reproject_box([F.col(n) for n in names], F.col("epsg"), epsg), strict=True)])
+
+
 def stretch(px: DataFrame, value: str = "v") -> DataFrame:
     """v255: the value from its raster's range to 0 .. 255; 0 in a raster of one value."""
     r = px.groupBy("raster_id").agg(F.min(value).alias("gl_lo"), F.max(value).alias("gl_hi"))
@@ -105,6 +126,30 @@ def gray(r: Column, g: Column, b: Column) -> Column:
     return F.floor(GRAY[0] * r + GRAY[1] * g + GRAY[2] * b + 0.5).cast("int")
 
 
+def without_alpha(px: DataFrame, alpha: str = "a") -> DataFrame:
+    return px.drop(alpha)
+
+
+def swap_bands(px: DataFrame, one: str = "r", other: str = "b") -> DataFrame:
+    """The bands' names exchanged, as between RGB and BGR."""
+    return px.withColumnsRenamed({one: "gl_swap"}).withColumnRenamed(other, one).withColumnRenamed("gl_swap", other)
+
+
+def transpose(px: DataFrame) -> DataFrame:
+    """Rows as columns and columns as rows."""
+    return swap_bands(px, "row", "col")
+
+
+def unit(value: Column) -> Column:
+    """0 .. 255 as 0 .. 1."""
+    return value / 255.0
+
+
+def full_only(value: Column) -> Column:
+    """1 for 255 and 0 for less: the whole part of a 255th."""
+    return F.floor(value / 255).cast("int")
+
+
 def normalise_bands(*bands: Column) -> list[Column]:
     """Bands of 0 .. 255 scaled to the height model's mean and deviation."""
     return [(b / 255 - m) / s for b, m, s in zip(bands, BAND_MEAN, BAND_STD, strict=True)]

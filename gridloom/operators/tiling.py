@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import vector
+
 
 def grid(bounds: DataFrame, n: int) -> DataFrame:
     """n x n tiles of bounds (one row: xmin, ymin, xmax, ymax), from the top left, row by row."""
@@ -34,6 +36,25 @@ def overlay_boxes(boxes: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
     return cut.filter((F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax")))
 
 
+def overlay_rings(rings: DataFrame, bounds: DataFrame, n: int, ring: str = "ring") -> DataFrame:
+    """The pieces of simple rings in each tile: all columns of the ring's row, tile_id, the tile's box, parts, xmin .. ymax.
+
+    parts holds the rings of a piece, several where a concave ring comes into a tile more than once.
+    Rings wholly in a tile stay on the JVM; only those on a border are clipped, in Arrow batches.
+    Null rings and those of fewer than three points have no piece.
+    """
+    names = ("xmin", "ymin", "xmax", "ymax")
+    e = rings.drop(*names).filter(F.size(ring) > 2).withColumns(dict(zip(names, vector.envelope(F.col(ring)), strict=True)))
+    e = e.withColumn("gl_box", F.struct(*names))
+    o = overlay_boxes(e, bounds, n)
+    tile = [F.col(f"tile_{c}") for c in names]
+    within = (F.col("gl_box.xmin") >= tile[0]) & (F.col("gl_box.ymin") >= tile[1]) & (F.col("gl_box.xmax") <= tile[2]) & (F.col("gl_box.ymax") <= tile[3])
+    whole = o.filter(within).withColumn("parts", F.array(F.col(ring).cast(vector.POINTS)))
+    cut = o.filter(~within).withColumn("parts", vector.clip_parts(F.col(ring), *tile))
+    both = whole.unionByName(cut).filter((F.size("parts") > 0) & (vector.parts_area(F.col("parts")) > vector.LEAST_PIECE))
+    return both.withColumns(dict(zip(names, vector.envelope(F.flatten("parts")), strict=True))).drop("gl_box")
+
+
 def clip_pixels(px: DataFrame, height: int, width: int, n: int) -> DataFrame:
     """px with tile_id of an n x n grid over the raster (a pixel belongs where its centre lies) and its place inside."""
     r, c = F.floor((F.col("row") + 0.5) * n / height).cast("int"), F.floor((F.col("col") + 0.5) * n / width).cast("int")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import equivalent_diameter
+from gridloom.functions.geo import equivalent_diameter, reproject
 
 CLASS = "Tree"
 
@@ -95,3 +97,95 @@ def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
     for axis, bound, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
         ring = side(ring, axis, bound, above)
     return ring
+
+
+def reproject_ring(ring: Column, source: Column | int, target: Column | int) -> Column:
+    """Every point of a ring in another coordinate system."""
+
+    def moved(p: Column) -> Column:
+        x, y = reproject(p["x"], p["y"], source, target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, moved)
+
+
+#: Pieces of at most this area are none.
+LEAST_PIECE = 1e-12
+
+
+def signed_area(ring: np.ndarray) -> float:
+    p = ring - ring[0]  # near the origin, so that large coordinates lose nothing
+    q = np.roll(p, -1, axis=0)
+    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+
+
+def half_plane(ring: np.ndarray, axis: int, bound: float, sign: int) -> list[np.ndarray]:
+    """The parts of a simple ring (n x 2) on one side of a line; points on the line are inside.
+
+    The ring falls into chains inside. Along the line, the places where chains begin and end lie in
+    pairs with the ring's inner side between them, and each pair closes an end to a beginning.
+    """
+    inside = sign * (ring[:, axis] - bound) >= 0
+    if inside.all():
+        return [ring]
+    if not inside.any():
+        return []
+    n, other = len(ring), 1 - axis
+
+    def cut(i: int, j: int) -> np.ndarray:
+        p, q = ring[i], ring[j]
+        met = np.empty(2)
+        met[axis], met[other] = bound, p[other] + (bound - p[axis]) / (q[axis] - p[axis]) * (q[other] - p[other])
+        return met
+
+    chains = []
+    for i in np.flatnonzero(~inside & np.roll(inside, -1)):
+        chain, j = [cut(i, (i + 1) % n)], (i + 1) % n
+        while inside[j]:
+            chain.append(ring[j])
+            j = (j + 1) % n
+        chains.append(np.array([*chain, cut((j - 1) % n, j)]))
+    ends = sorted((c[k][other], k, i) for i, c in enumerate(chains) for k in (0, -1))
+    begins = {}
+    while ends:
+        _, k, i = ends.pop(0)
+        at = next(a for a, e in enumerate(ends) if e[1] != k)  # the next one, unless equal places are in disorder
+        _, _, j = ends.pop(at)
+        begins[j if k == 0 else i] = i if k == 0 else j
+    out = []
+    while begins:
+        first, now = next(iter(begins.items()))
+        del begins[first]
+        part = [chains[first]]
+        while now != first:
+            part.append(chains[now])
+            now = begins.pop(now)
+        out.append(np.concatenate(part))
+    return out
+
+
+def clip(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: float) -> list[np.ndarray]:
+    """The parts of any simple ring, concave ones included, in a rectangle; those without area are left out."""
+    parts = [ring]
+    for axis, bound, sign in ((0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)):
+        parts = [p for r in parts for p in half_plane(r, axis, bound, sign)]
+    return [p for p in parts if abs(signed_area(p)) > LEAST_PIECE]
+
+
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def _clip(xs: pd.Series, ys: pd.Series, xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+    rows = zip(xs, ys, xmin, ymin, xmax, ymax, strict=True)
+    return pd.Series([None if x is None else [p.ravel() for p in clip(np.column_stack((x, y)), *box)] if len(x) > 2 else [] for x, y, *box in rows], dtype=object)
+
+
+def clip_parts(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """The parts of a simple ring in a rectangle, an array of rings; empty where they don't meet, null for null."""
+    flat = F.pandas_udf(_clip, "array<array<double>>")(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]), xmin, ymin, xmax, ymax)
+    point = lambda r, i: F.struct(F.element_at(r, 2 * i + 1).alias("x"), F.element_at(r, 2 * i + 2).alias("y"))
+    return F.transform(flat, lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda i: point(r, i)))
+
+
+def parts_area(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda a, r: a + ring_area(r))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo, text
-from gridloom.functions.shared import dense_ids
-from gridloom.functions.tables import boxes, load, mosaic, pixels, points
+from gridloom.functions.shared import dense_ids, shared_dir
+from gridloom.functions.tables import boxes, load, mosaic, notched_rings, pixels, placed, points, slanted_rings
 from gridloom.operators import coco, detect, metrics, polygons, raster, tiling, vector
+from gridloom.plans import flows
 from gridloom.plans.oracles import SQL
+from gridloom.sources import files, geotiff
 
 #: Side of the mosaic's tiles in the queries, grid divisions, and pixels of an exported tile.
 SIDE, DIVISIONS, EXPORT = 16, 4, 256
@@ -31,6 +34,11 @@ def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
+def _n(c, digits: int = 6):
+    """c rounded, with halves that arithmetic may miss by an ulp pushed up."""
+    return F.round(c + 1e-9, digits)
+
+
 # --- rasters -----------------------------------------------------------------------------------
 
 
@@ -54,6 +62,12 @@ def raster_tile_threshold(spark, sf):
     return vector.filter_by_area(area, 100.0)
 
 
+@query
+def raster_tile_threshold_mosaic(spark, sf):
+    m = raster.threshold_tiles(mosaic(spark, sf), side=SIDE)
+    return m.groupBy("tile_row", "tile_col").agg(F.sum((F.col("mask") == 255).cast("long")).alias("n_set"), F.max("tile_max").alias("tile_max"))
+
+
 @query
 def raster_grayscale_cast(spark, sf):
     b = pixels(spark, sf).select("raster_id", raster.to_byte(F.col("v") * 100).alias("b"))
@@ -112,7 +126,7 @@ def band_normalize(spark, sf):
 @query
 def bin_expectation(spark, sf):
     e = load(spark, sf, "embeddings")
-    return e.select("vec_id", F.round(raster.expectation(F.col("embedding")), 6).alias("height"))
+    return e.select("vec_id", F.round(raster.expectation(F.flatten(F.array_repeat("embedding", 4))), 6).alias("height"))
 
 
 @query
@@ -121,6 +135,27 @@ def raster_resample(spark, sf):
     return raster.resample(px, raster.dimensions(px), 0.5).select("raster_id", "row", "col", _r("v"))
 
 
+@query
+def raster_resample_up(spark, sf):
+    px = pixels(spark, sf)
+    return raster.resample(px, raster.dimensions(px), 1.5).select("raster_id", "row", "col", _r("v"))
+
+
+@query
+def band_conversions(spark, sf):
+    b = raster.swap_bands(raster.without_alpha(_bands(spark, sf).withColumn("a", F.lit(255))))
+    return b.select("vec_id", "r", "b", _unit("g"), raster.full_only(F.col("r")).alias("r_full"))
+
+
+def _unit(name: str):
+    return F.round(raster.unit(F.col(name)), 6).alias(f"{name}_unit")
+
+
+@query
+def raster_transpose(spark, sf):
+    return raster.transpose(pixels(spark, sf)).select("raster_id", "row", "col", "v")
+
+
 @query
 def mae(spark, sf):
     a = load(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
@@ -147,8 +182,7 @@ def pos_to_coords(spark, sf):
 
 @query
 def coords_to_pos(spark, sf):
-    x, y = geo.to_map(F.col("xmin"), F.col("ymin"), *_corner())
-    c, r = geo.to_pixel(x, y, *_corner())
+    c, r = geo.to_pixel(F.col("xmin") + 100, F.col("ymin") + 50, *_corner())
     return boxes(spark, sf).select("box_id", F.round(c, 6).alias("col"), F.round(r, 6).alias("row"))
 
 
@@ -169,29 +203,42 @@ def box_measures(spark, sf):
     return dense_ids(m, ["image_id", "box_id"]).select("id", "box_id", "class", "label", "area_m2", _r("a_diam_m"), "cx", "cy")
 
 
-def _rings(spark, sf):
-    return boxes(spark, sf).select("box_id", vector.ring_of_box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
+def _rings(b: DataFrame) -> DataFrame:
+    return b.select("box_id", vector.ring_of_box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("ring"))
 
 
 @query
 def ring_shoelace(spark, sf):
-    m = vector.measure_rings(_rings(spark, sf))
+    m = vector.measure_rings(_rings(boxes(spark, sf)))
     return m.select("box_id", "area_m2", "perim_m", _r("cx"), _r("cy"), _r("a_diam_m"))
 
 
 @query
 def box_envelope_centroid(spark, sf):
-    m = vector.measure_rings(_rings(spark, sf))
+    m = vector.measure_rings(_rings(boxes(spark, sf)))
     return m.select("box_id", "xmin", "ymin", "xmax", "ymax", _r("cx"), _r("cy"))
 
 
 @query
 def ring_clip(spark, sf):
     c = vector.clip_ring(F.col("ring"), F.lit(40.0), F.lit(30.0), F.lit(160.0), F.lit(170.0))
-    m = vector.measure_rings(_rings(spark, sf).withColumn("ring", c).filter(F.size("ring") > 0))
+    m = vector.measure_rings(_rings(boxes(spark, sf)).withColumn("ring", c).filter(F.size("ring") > 0))
     return m.filter("area_m2 > 0").select("box_id", "area_m2", "perim_m")
 
 
+@query
+def ring_measures_slanted(spark, sf):
+    m = vector.measure_rings(slanted_rings(spark, sf))
+    return m.select("box_id", *[_n(F.col(c)).alias(c) for c in ("area_m2", "perim_m", "cx", "cy")], "xmin", "ymin", "xmax", "ymax")
+
+
+@query
+def ring_clip_slanted(spark, sf):
+    c = vector.clip_ring(F.col("ring"), F.lit(40.0), F.lit(30.0), F.lit(160.0), F.lit(170.0))
+    m = vector.measure_rings(slanted_rings(spark, sf).withColumn("ring", c).filter(F.size("ring") > 0))
+    return m.filter("area_m2 > 1e-9").select("box_id", *[_n(F.col(c)).alias(c) for c in ("area_m2", "xmax", "ymax")])
+
+
 @query
 def project_cea(spark, sf):
     x, y = geo.cea(F.col("lon"), F.col("lat"))
@@ -211,6 +258,34 @@ def project_mercator_inverse(spark, sf):
     return points(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
+@query
+def project_cea_inverse(spark, sf):
+    x, y = F.col("c_custkey") * 7919 % 34000 * 1000.0 - 17e6, F.col("c_custkey") * 104729 % 14000 * 1000.0 - 7e6
+    lon, lat = geo.uncea(x, y)
+    return load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query
+def reproject_boxes(spark, sf):
+    p = points(spark, sf).select(F.col("id").alias("raster_id"), F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lon") + 0.5).alias("xmax"), (F.col("lat") + 0.25).alias("ymax"), F.lit(4326).alias("epsg"))
+    b = raster.bounding_boxes(p, 3857).withColumn("epsg", F.lit(3857))
+    return raster.bounding_boxes(b, 6933).select("raster_id", *[_r(c, 3) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query
+def reproject_rings(spark, sf):
+    r = _rings(boxes(spark, sf).withColumns({"ymin": F.col("ymin") / 4, "ymax": F.col("ymax") / 4}))
+    m = vector.measure_rings(r.withColumn("ring", vector.reproject_ring(F.col("ring"), 4326, 6933)))
+    return m.select("box_id", F.round(F.col("area_m2") / 1e6, 3).alias("area_km2"), _r("xmin", 3), _r("ymax", 3))
+
+
+@query
+def raster_crop_reprojected(spark, sf):
+    px = mosaic(spark, sf)
+    meta = _mosaic_meta(px).withColumns({"xmax": F.col("width") * 10.0, "ymax": F.col("height") * 10.0, "epsg": F.lit(3857)})
+    return raster.crop_reprojected(px, meta, (0.001, 0.002, 0.004, 0.03), 4326).select("row", "col", "v")
+
+
 @query
 def total_bounds(spark, sf):
     return vector.total_bounds(points(spark, sf), "lon", "lat")
@@ -239,6 +314,15 @@ def tile_overlay_box(spark, sf):
     return _pieces(spark, sf).select("tile_id", "box_id", "image_id", *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
+def _ring_pieces(spark, sf):
+    return tiling.overlay_rings(notched_rings(spark, sf), _box_bounds(boxes(spark, sf)), DIVISIONS)
+
+
+@query
+def tile_overlay_ring(spark, sf):
+    return _ring_pieces(spark, sf).select("tile_id", "box_id", F.size("parts").alias("n_parts"), _n(vector.parts_area(F.col("parts"))).alias("area"), *[_n(F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 @query
 def tile_clip_pixels(spark, sf):
     px = mosaic(spark, sf)
@@ -289,6 +373,91 @@ def coco_json_roundtrip(spark, sf):
     return back.select("id", "image_id", "file_name", "category_id", *[_r(c) for c in ("left", "top", "width", "height")])
 
 
+@query
+def coco_annotations_ring(spark, sf):
+    a = coco.ring_annotations(_ring_pieces(spark, sf), EXPORT, EXPORT)
+    return a.select("id", "image_id", "feature_id", *[_n(F.col("bbox")[i]).alias(c) for i, c in enumerate(("left", "top", "width", "height"))], F.size("segmentation").alias("n_parts"))
+
+
+#: Pixels of a tile in the queries that make masks.
+MASKED = 32
+
+
+@query
+def coco_mask(spark, sf):
+    m = coco.mask(coco.annotations(_pieces(spark, sf), MASKED, MASKED))
+    return m.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+@query
+def coco_results(spark, sf):
+    r = coco.with_scores(_annotations(spark, sf), boxes(spark, sf))
+    c = coco.corners(r)
+    return r.join(c, ["id", "image_id"]).select("id", "image_id", "feature_id", _r("score"), *[_r(x) for x in ("xmin", "ymin", "xmax", "ymax")])
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def layers_roundtrip(spark, sf):
+    path = _scratch(spark, "layers")
+    f = vector.measure_rings(_rings(boxes(spark, sf)))
+    names = files.register(spark, files.write_layers(f, path, "trees"))
+    layers = [spark.table(n).agg(F.lit(n).alias("layer"), F.count("*").alias("n"), F.sum("area_m2").alias("area_m2")) for n in names]
+    return layers[0].unionByName(layers[1]).unionByName(layers[2])
+
+
+@query
+def filtered_layer_roundtrip(spark, sf):
+    path = _scratch(spark, "filtered")
+    vector.measure_boxes(boxes(spark, sf)).write.parquet(f"{path}/all")
+    files.filter_layer(spark, f"{path}/all", f"{path}/small", 400.0)
+    return spark.read.parquet(f"{path}/small").select("box_id", "area_m2")
+
+
+@query
+def raster_roundtrip(spark, sf):
+    px, path = mosaic(spark, sf), _scratch(spark, "raster")
+    files.write_raster(px, path, SIDE, _mosaic_meta(px).withColumn("epsg", F.lit(3857)))
+    meta = spark.read.parquet(f"{path}_meta")
+    part = files.read_raster(spark, path, (20, 130), (10, 40), SIDE)
+    return part.join(meta.select("raster_id", "height", "epsg"), "raster_id").select("row", "col", "v", "height", "epsg")
+
+
+@query
+def geotiff_roundtrip(spark, sf):
+    path = _scratch(spark, "geotiff")
+    geotiff.write(geotiff.encode_rasters(pixels(spark, sf), placed(spark, sf), dtype="float64"), path, "raster_")
+    px, meta = geotiff.read(spark, path), geotiff.metadata(spark, path)
+    s = px.groupBy("file").agg(F.count("v").alias("n"), F.max("v").alias("v_max"), F.round(F.sum(F.col("v") * (F.col("row") * 8 + F.col("col"))), 6).alias("placed"))
+    return meta.join(s, "file").select("file", "height", "width", "count", "epsg", *[_r(c, 5) for c in ("xmin", "ymin", "xmax", "ymax")], "n", "v_max", "placed")
+
+
+@query
+def mask_folder_roundtrip(spark, sf):
+    path = _scratch(spark, "masks")
+    three = pixels(spark, sf).withColumn("b", F.when(F.col("v") > 0, 255).otherwise(254)).select("raster_id", "row", "col", F.col("b").alias("r"), F.col("b").alias("g"), "b")
+    geotiff.write(geotiff.encode_rasters(three, placed(spark, sf), ("r", "g", "b"), "uint8"), path, "mask_")
+    m = geotiff.read(spark, path, ("r", "g", "b")).withColumn("on", raster.full_only(raster.gray(F.col("r"), F.col("g"), F.col("b"))))
+    return m.groupBy("file").agg(F.sum("on").alias("n_on"))
+
+
+@query
+def export_dataset(spark, sf):
+    path, px = _scratch(spark, "export"), mosaic(spark, sf)
+    meta = _mosaic_meta(px).withColumns({"xmax": F.lit(256.0), "ymax": F.lit(256.0), "epsg": F.lit(3857)})
+    flows.export_dataset(path, px, meta, notched_rings(spark, sf), DIVISIONS)
+    a = spark.read.json(f"{path}/annotations/annotations").groupBy("image_id").agg(F.count("*").alias("n_annotations"))
+    i = spark.read.json(f"{path}/annotations/images").join(geotiff.metadata(spark, f"{path}/images").select("file", F.col("xmin"), F.col("ymax"), F.col("height").alias("file_height")), F.col("file_name") == F.col("file"))
+    s = geotiff.read(spark, f"{path}/images").groupBy("file").agg(F.round(F.max("v"), 5).alias("v_max"))
+    return i.join(a, i["id"] == a["image_id"]).join(s, "file").select("image_id", "file_name", "width", "height", "file_height", "xmin", "ymax", "n_annotations", "v_max")
+
+
 # --- matching and scores -----------------------------------------------------------------------
 
 
@@ -337,6 +506,13 @@ def nms_boxes(spark, sf):
     return detect.suppress(boxes(spark, sf), 0.2).select("image_id", "box_id", "score")
 
 
+@query
+def detections_layer(spark, sf):
+    meta = spark.range(20).select(F.col("id").cast("int").alias("image_id"), (F.col("id") * 1000.0).alias("xmin"), F.lit(500.0).alias("ymin"), (F.col("id") * 1000.0 + 512).alias("xmax"), F.lit(628.0).alias("ymax"), F.lit(256).alias("width"), F.lit(256).alias("height"))
+    d = detect.layer(boxes(spark, sf), meta, 0.95, 0.2)
+    return d.select("box_id", "class", _r("area_m2"), *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")])
+
+
 @query
 def probability_cut(spark, sf):
     m = pixels(spark, sf).select(F.col("zone").alias("image_id"), "row", "col", (F.abs("v") * 2).alias("prob"))
@@ -367,6 +543,12 @@ def polygonize_measures(spark, sf):
     return f.select("id", "raster_id", "n_cells", "area_m2", _r("perim_m"), _r("a_diam_m"), "xmin", "ymin", "xmax", "ymax", _r("cx"), _r("cy"))
 
 
+@query
+def raster_to_vector(spark, sf):
+    f = flows.raster_to_vector(pixels(spark, sf), placed(spark, sf), PERCENT)
+    return f.select("raster_id", "n_cells", *[_r(c, 3) for c in ("area_m2", "perim_m", "a_diam_m")], *[_r(c, 5) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 # --- text --------------------------------------------------------------------------------------
 
 
@@ -376,6 +558,12 @@ def regex_percent(spark, sf):
     return e.select("event_id", text.percent(F.col("m")).alias("percent"))
 
 
+@query
+def outputs_distinct(spark, sf):
+    p = load(spark, sf, "part").select(F.concat(F.lit("/out/"), "p_brand").alias("path"))
+    return files.append_outputs(p, load(spark, sf, "part").select(F.concat(F.lit("/out/"), F.lower("p_brand")).alias("path")))
+
+
 @query
 def output_names(spark, sf):
     p = load(spark, sf, "part").select("p_partkey", F.concat(F.lit("/out/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("_"), "p_partkey", F.lit(".shp")).alias("path"), F.concat(F.lit("EPSG:"), F.col("p_partkey") % 9000).alias("crs"))

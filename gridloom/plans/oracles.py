@@ -48,6 +48,49 @@ outside AS (SELECT raster_id, row, col FROM bg WHERE row IN (0, 7) OR col IN (0,
   UNION SELECT b.raster_id, b.row, b.col FROM outside o JOIN bg b ON b.raster_id = o.raster_id AND abs(b.row - o.row) + abs(b.col - o.col) = 1),
 filled AS (SELECT raster_id, row, col FROM px ANTI JOIN outside USING (raster_id, row, col))"""
 
+CELLS = """cell AS (SELECT raster_id, r AS row, c AS col, CAST(sum(bit) AS INT) AS bits, count(*) AS n, avg(pr) AS my, avg(pc) AS mx FROM (
+  SELECT raster_id, row - dr AS r, col - dc AS c, bit, row AS pr, col AS pc FROM filled, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) AS o(dr, dc, bit)) GROUP BY ALL HAVING count(*) >= 3),
+link AS (SELECT a.raster_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM cell a JOIN cell b ON a.raster_id = b.raster_id AND ((b.row = a.row AND b.col = a.col + 1 AND a.bits & 10 = 10) OR (b.row = a.row + 1 AND b.col = a.col AND a.bits & 12 = 12))),
+twoway AS (SELECT * FROM link UNION ALL SELECT raster_id, r2, c2, r1, c1 FROM link),
+reach AS (SELECT raster_id, row, col, row AS r, col AS c FROM cell UNION SELECT x.raster_id, x.row, x.col, l.r2, l.c2 FROM reach x JOIN twoway l ON l.raster_id = x.raster_id AND l.r1 = x.r AND l.c1 = x.c),
+lab AS (SELECT raster_id, row, col, min(r * 8 + c) AS l FROM reach GROUP BY ALL),
+nl AS (SELECT raster_id, r1 AS row, c1 AS col, count(*) AS k FROM link GROUP BY ALL),"""
+
+#: The part of a notched box (box b) over [a, b] x [lo, hi]: its upper side is a V from ymax down to low at mid.
+NOTCH = """n AS (SELECT *, (xmin + xmax) / 2 AS mid, ymin + (ymax - ymin) / 4 AS low, 1.5 * (ymax - ymin) / (xmax - xmin) AS slope FROM cut),
+v AS (SELECT *, low + slope * abs(a - mid) AS fa, low + slope * abs(b - mid) AS fb FROM n WHERE a < b AND lo < hi),
+pieces AS (SELECT *, least(b, mid) AS m1, greatest(a, mid) AS m2 FROM v WHERE greatest(fa, fb) > lo + 1e-9)"""
+
+
+def _above(c: str) -> str:
+    """The area of a piece above the line c: a squared height over twice the slope on both sides of the notch."""
+    sq = lambda x: f"pow(greatest(0, low + slope * abs({x} - mid) - {c}), 2)"
+    return f"((CASE WHEN a < m1 THEN {sq('a')} - {sq('m1')} ELSE 0 END + CASE WHEN m2 < b THEN {sq('b')} - {sq('m2')} ELSE 0 END) / (2 * slope))"
+
+
+def _tiled_notches() -> str:
+    return f"""WITH {BOX}, {GRID}, cut AS (SELECT tile_id, box_id, box.xmin, box.xmax, box.ymin, box.ymax, gx0, gy0, gx1, gy1, greatest(xmin, gx0) AS a, least(xmax, gx1) AS b, greatest(ymin, gy0) AS lo, gy1 AS hi FROM box, grid), {NOTCH},
+shaped AS (SELECT tile_id, box_id, gx0, gy0, gx1, gy1, CASE WHEN low < lo - 1e-9 AND fa > lo + 1e-9 AND fb > lo + 1e-9 AND a < mid AND mid < b THEN 2 ELSE 1 END AS n_parts, {_above('lo')} - {_above('hi')} AS area,
+  CASE WHEN fa > lo + 1e-9 THEN a ELSE mid + (lo - low) / slope END AS px0, CASE WHEN fb > lo + 1e-9 THEN b ELSE mid - (lo - low) / slope END AS px1, lo AS py0, least(hi, greatest(fa, fb)) AS py1 FROM pieces)"""
+
+
+def _q(lat: str) -> str:
+    """The authalic q of a latitude in degrees."""
+    s = f"sin(radians({lat}))"
+    return f"((1 - {_E} * {_E}) * ({s} / (1 - {_E} * {_E} * {s} * {s}) - ln((1 - {_E} * {s}) / (1 + {_E} * {s})) / (2 * {_E})))"
+
+
+_K0 = f"(cos(radians(30.0)) / sqrt(1 - {_E} * {_E} * sin(radians(30.0)) * sin(radians(30.0))))"
+PLACED = """placed AS (SELECT raster_id, epsg, x AS xmin, y AS ymin, x + z AS xmax, y + z AS ymax FROM (SELECT vec_id AS raster_id, [4326, 3857, 6933][vec_id % 3 + 1] AS epsg,
+  CAST(CASE WHEN vec_id % 3 = 0 THEN (vec_id * 7919 % 3400) / 10 - 170 ELSE vec_id * 1000 - 200000 END AS DOUBLE) AS x, CAST(CASE WHEN vec_id % 3 = 0 THEN (vec_id * 104729 % 1200) / 10 - 60 ELSE vec_id * 700 - 100000 END AS DOUBLE) AS y,
+  CAST(CASE WHEN vec_id % 3 = 0 THEN 0.0008 ELSE 80 END AS DOUBLE) AS z FROM embeddings))"""
+
+
+def _local_y(y: str) -> str:
+    """Metres north in the local equal-area projection of an ordinate of placed."""
+    return f"(CASE epsg WHEN 4326 THEN {_A} * {_q(y)} / 2 WHEN 3857 THEN {_A} * {_q(f'(degrees(2 * atan(exp({y} / {_A}))) - 90)')} / 2 ELSE {y} * {_K0} END)"
+
+
 SQL: dict[str, str] = {
     "filter_area": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice <= 1000",
     "raster_global_threshold": f"WITH {PX} SELECT raster_id, CAST(sum(CASE WHEN v > 0.15 * m THEN 1 ELSE 0 END) AS BIGINT) AS n_set FROM (SELECT *, max(v) OVER (PARTITION BY raster_id) AS m FROM px) GROUP BY raster_id",
@@ -65,13 +108,13 @@ SELECT row, col, v FROM mosaic, d WHERE col + 0.5 BETWEEN 10 AND 30 AND h - row
     "minmax_normalize": f"WITH {PX} SELECT raster_id, row, col, round(CASE WHEN b > a THEN (v - a) / (b - a) * 255 ELSE 0 END, 6) AS v255 FROM (SELECT *, min(v) OVER (PARTITION BY raster_id) AS a, max(v) OVER (PARTITION BY raster_id) AS b FROM px)",
     "rgb_to_gray": f"WITH {BANDS} SELECT vec_id, CAST(floor(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b + 0.5) AS INT) AS gray FROM bands",
     "band_normalize": f"WITH {BANDS} SELECT vec_id, round((r / 255 - 0.420) / 0.213, 6) AS r, round((g / 255 - 0.411) / 0.156, 6) AS g, round((b / 255 - 0.296) / 0.143, 6) AS b FROM bands",
-    "bin_expectation": """WITH w AS (SELECT vec_id, i, greatest(CAST(embedding[i + 1] AS DOUBLE), 0) + 0.1 AS w FROM embeddings, range(0, 64) AS r(i))
-SELECT vec_id, round(10 * sum(w * (0.001 + 9.999 * i / 63)) / sum(w), 6) AS height FROM w GROUP BY vec_id""",
+    "bin_expectation": """WITH w AS (SELECT vec_id, i, greatest(CAST(embedding[i % 64 + 1] AS DOUBLE), 0) + 0.1 AS w FROM embeddings, range(0, 256) AS r(i))
+SELECT vec_id, round(10 * sum(w * (0.001 + 9.999 * i / 255)) / sum(w), 6) AS height FROM w GROUP BY vec_id""",
     "raster_resample": f"WITH {PX} SELECT raster_id, CAST(row // 2 AS INT) AS row, CAST(col // 2 AS INT) AS col, round(avg(v), 6) AS v FROM px GROUP BY ALL",
     "mae": "SELECT round(avg(abs(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))), 6) AS mae FROM embeddings",
     "zonal_max": f"WITH {PX} SELECT zone, max(v) AS v_max, round(avg(v), 6) AS v_mean, count(v) AS n FROM px GROUP BY zone",
     "pos_to_coords": f"WITH {BOX} SELECT box_id, round(100 + xmin / 256 * 512, 6) AS x, round(50 + (1 - ymin / 256) * 256, 6) AS y FROM box",
-    "coords_to_pos": f"WITH {BOX} SELECT box_id, round(xmin, 6) AS col, round(ymin, 6) AS row FROM box",
+    "coords_to_pos": f"WITH {BOX} SELECT box_id, round(xmin / 512 * 256, 6) AS col, round((1 - ymin / 256) * 256, 6) AS row FROM box",
     "pixel_resolution": f"WITH {BOX} SELECT box_id, round((xmax - xmin) / 256, 3) AS resolution FROM box",
     "equiv_diameter": f"WITH {BOX} SELECT box_id, round(sqrt((xmax - xmin) * (ymax - ymin) * 4 / pi()), 6) AS a_diam_m FROM box",
     "box_measures": f"""WITH {BOX} SELECT row_number() OVER (ORDER BY image_id, box_id) - 1 AS id, box_id, 'Tree' AS class, 'Tree' AS label, (xmax - xmin) * (ymax - ymin) AS area_m2,
@@ -124,13 +167,7 @@ last AS (SELECT image_id, arg_max(kept, k) AS kept FROM steps GROUP BY image_id)
 lab AS (SELECT raster_id, row, col, min(r * 8 + c) AS l FROM reach GROUP BY ALL) SELECT raster_id, CAST(l // 8 AS INT) AS lrow, CAST(l % 8 AS INT) AS lcol, count(*) AS n FROM lab GROUP BY raster_id, l""",
     "fill_holes": f"WITH RECURSIVE {FILLED} SELECT raster_id, count(*) AS n FROM filled GROUP BY raster_id",
     "polygonize_measures": f"""WITH RECURSIVE {FILLED},
-cell AS (SELECT raster_id, r AS row, c AS col, CAST(sum(bit) AS INT) AS bits, count(*) AS n, avg(pr) AS my, avg(pc) AS mx FROM (
-  SELECT raster_id, row - dr AS r, col - dc AS c, bit, row AS pr, col AS pc FROM filled, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) AS o(dr, dc, bit)) GROUP BY ALL HAVING count(*) >= 3),
-link AS (SELECT a.raster_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM cell a JOIN cell b ON a.raster_id = b.raster_id AND ((b.row = a.row AND b.col = a.col + 1 AND a.bits & 10 = 10) OR (b.row = a.row + 1 AND b.col = a.col AND a.bits & 12 = 12))),
-twoway AS (SELECT * FROM link UNION ALL SELECT raster_id, r2, c2, r1, c1 FROM link),
-reach AS (SELECT raster_id, row, col, row AS r, col AS c FROM cell UNION SELECT x.raster_id, x.row, x.col, l.r2, l.c2 FROM reach x JOIN twoway l ON l.raster_id = x.raster_id AND l.r1 = x.r AND l.c1 = x.c),
-lab AS (SELECT raster_id, row, col, min(r * 8 + c) AS l FROM reach GROUP BY ALL),
-nl AS (SELECT raster_id, r1 AS row, c1 AS col, count(*) AS k FROM link GROUP BY ALL),
+{CELLS}
 m AS (SELECT raster_id, l, count(*) AS n_cells, sum(CASE WHEN n = 4 THEN 1.0 ELSE 0.5 END) AS area, sum(CASE WHEN n = 4 THEN 4 ELSE 2 END - 2 * coalesce(k, 0)) + sqrt(2.0) * count(*) FILTER (n = 3) AS per,
   min(col) AS xmin, min(row) AS ymin, max(col) + 1 AS xmax, max(row) + 1 AS ymax, CAST(sum(CASE WHEN n = 4 THEN 1.0 ELSE 0.5 END * mx) AS DOUBLE) AS sx, CAST(sum(CASE WHEN n = 4 THEN 1.0 ELSE 0.5 END * my) AS DOUBLE) AS sy
   FROM cell JOIN lab USING (raster_id, row, col) LEFT JOIN nl USING (raster_id, row, col) GROUP BY raster_id, l)
@@ -138,4 +175,53 @@ SELECT row_number() OVER (ORDER BY raster_id, ymin, xmin, ymax, xmax, area, sx /
     "regex_percent": "SELECT event_id, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS percent FROM events",
     "output_names": """WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_partkey AS s FROM part)
 SELECT p_partkey, s || '.shp' AS file, s AS stem, '/out/' || s || '_bb.shp' AS bb, CAST(p_partkey % 9000 AS INT) AS epsg, true AS is_vector FROM p""",
+    "raster_tile_threshold_mosaic": f"""WITH {MOSAIC}, t AS (SELECT CAST(row // 16 AS INT) AS tile_row, CAST(col // 16 AS INT) AS tile_col, greatest(v, 0) AS h FROM mosaic), m AS (SELECT *, max(h) OVER (PARTITION BY tile_row, tile_col) AS m FROM t)
+SELECT tile_row, tile_col, CAST(sum(CASE WHEN m > 0.05 AND h > 0.15 * m THEN 1 ELSE 0 END) AS BIGINT) AS n_set, max(h) AS tile_max FROM m GROUP BY ALL""",
+    "raster_resample_up": f"""WITH {PX}, n AS (SELECT CAST(i AS INT) AS i, greatest(0, least(7, (i + 0.5) / 1.5 - 0.5)) AS p FROM range(0, 12) AS r(i))
+SELECT raster_id, y.i AS row, x.i AS col, round(sum((1 - abs(y.p - row)) * (1 - abs(x.p - col)) * v), 6) AS v FROM px JOIN n y ON abs(y.p - row) < 1 JOIN n x ON abs(x.p - col) < 1 GROUP BY ALL""",
+    "band_conversions": f"WITH {BANDS} SELECT vec_id, b AS r, r AS b, round(g / 255, 6) AS g_unit, CAST(b = 255 AS INT) AS r_full FROM bands",
+    "raster_transpose": f"WITH {PX} SELECT raster_id, col AS row, row AS col, v FROM px",
+    "ring_measures_slanted": f"""WITH {BOX}, p AS (SELECT box_id, xmin, ymin, xmax, ymax, unnest([xmin, (xmin + xmax) / 2, (xmin + xmax) / 2, xmin]) AS x, unnest([ymin, ymin, ymin + (ymax - ymin) / 4, ymax]) AS y,
+  unnest([(xmin + xmax) / 2, (xmin + xmax) / 2, xmin, xmin]) AS u, unnest([ymin, ymin + (ymax - ymin) / 4, ymax, ymin]) AS w FROM box)
+SELECT box_id, round(abs(sum(x * w - u * y)) / 2 + 1e-9, 6) AS area_m2, round(sum(sqrt((u - x) * (u - x) + (w - y) * (w - y))) + 1e-9, 6) AS perim_m, round(sum((x + u) * (x * w - u * y)) / (3 * sum(x * w - u * y)) + 1e-9, 6) AS cx,
+  round(sum((y + w) * (x * w - u * y)) / (3 * sum(x * w - u * y)) + 1e-9, 6) AS cy, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM p GROUP BY box_id""",
+    "ring_clip_slanted": f"""WITH {BOX}, cut AS (SELECT box_id, xmin, xmax, ymin, ymax, greatest(xmin, 40.0) AS a, least((xmin + xmax) / 2, 160.0) AS b, greatest(ymin, 30.0) AS lo, 170.0 AS hi FROM box), {NOTCH},
+s AS (SELECT box_id, {_above('lo')} - {_above('hi')} AS area, CASE WHEN fb > lo THEN b ELSE mid - (lo - low) / slope END AS px1, least(hi, fa) AS py1 FROM pieces)
+SELECT box_id, round(area + 1e-9, 6) AS area_m2, round(px1 + 1e-9, 6) AS xmax, round(py1 + 1e-9, 6) AS ymax FROM s WHERE area > 1e-9""",
+    "project_cea_inverse": f"""WITH RECURSIVE c AS (SELECT c_custkey AS id, (c_custkey * 7919 % 34000) * 1000.0 - 17e6 AS x, 2 * {_K0} * ((c_custkey * 104729 % 14000) * 1000.0 - 7e6) / {_A} AS q FROM customer),
+newton AS (SELECT id, x, q, degrees(asin(q / 2)) AS lat, 0 AS k FROM c
+  UNION ALL SELECT id, x, q, lat + degrees(pow(1 - {_E} * {_E} * pow(sin(radians(lat)), 2), 2) / (2 * cos(radians(lat)) * (1 - {_E} * {_E})) * (q - {_q('lat')})), k + 1 FROM newton WHERE k < 8)
+SELECT id, round(degrees(x / ({_A} * {_K0})), 6) AS lon, round(lat, 6) AS lat FROM newton WHERE k = 8""",
+    "reproject_boxes": f"WITH {GEO} SELECT id AS raster_id, round({_A} * {_K0} * radians(lon), 3) AS xmin, round({_A} * {_q('lat')} / (2 * {_K0}), 3) AS ymin, round({_A} * {_K0} * radians(lon + 0.5), 3) AS xmax, round({_A} * {_q('(lat + 0.25)')} / (2 * {_K0}), 3) AS ymax FROM geo",
+    "reproject_rings": f"""WITH {BOX} SELECT box_id, round({_A} * {_A} * radians(xmax - xmin) * ({_q('ymax / 4')} - {_q('ymin / 4')}) / 2 / 1e6, 3) AS area_km2, round({_A} * {_K0} * radians(xmin), 3) AS xmin, round({_A} * {_q('ymax / 4')} / (2 * {_K0}), 3) AS ymax FROM box""",
+    "raster_crop_reprojected": f"""WITH {MOSAIC}, d AS (SELECT max(row) + 1 AS h FROM mosaic)
+SELECT row, col, v FROM mosaic, d WHERE (col + 0.5) * 10 BETWEEN {_A} * radians(0.001) AND {_A} * radians(0.004) AND (h - row - 0.5) * 10 BETWEEN {_A} * ln(tan(radians(45 + 0.001))) AND {_A} * ln(tan(radians(45 + 0.015)))""",
+    "tile_overlay_ring": f"{_tiled_notches()} SELECT tile_id, box_id, n_parts, round(area + 1e-9, 6) AS area, round(px0 + 1e-9, 6) AS xmin, round(py0 + 1e-9, 6) AS ymin, round(px1 + 1e-9, 6) AS xmax, round(py1 + 1e-9, 6) AS ymax FROM shaped",
+    "coco_annotations_ring": f"""{_tiled_notches()} SELECT row_number() OVER (ORDER BY tile_id, box_id) AS id, tile_id + 1 AS image_id, box_id AS feature_id, round((px0 - gx0) / (gx1 - gx0) * 256 + 1e-9, 6) AS left, round((1 - (py1 - gy0) / (gy1 - gy0)) * 256 + 1e-9, 6) AS top,
+  round((px1 - px0) / (gx1 - gx0) * 256 + 1e-9, 6) AS width, round((py1 - py0) / (gy1 - gy0) * 256 + 1e-9, 6) AS height, n_parts FROM shaped""",
+    "coco_mask": f"""WITH {BOX}, {GRID}, {PIECES}, {ANN.replace('256', '32')}, m AS (SELECT DISTINCT image_id, r AS row, c AS col FROM ann, range(0, 32) AS a(r), range(0, 32) AS d(c) WHERE r + 0.5 >= yb AND r + 0.5 < ya AND c + 0.5 >= xa AND c + 0.5 < xb)
+SELECT image_id, count(*) AS n, CAST(sum(row) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM m GROUP BY image_id""",
+    "coco_results": f"WITH {BOX}, {GRID}, {PIECES}, {ANN} SELECT ann.id, ann.image_id, feature_id, round(score, 6) AS score, round(xa, 6) AS xmin, round(yb, 6) AS ymin, round(xb, 6) AS xmax, round(ya, 6) AS ymax FROM ann JOIN box ON box_id = feature_id",
+    "layers_roundtrip": f"WITH {BOX} SELECT unnest(['trees_vector', 'trees_vector_bb', 'trees_vector_centroids']) AS layer, count(*) AS n, sum((xmax - xmin) * (ymax - ymin)) AS area_m2 FROM box",
+    "filtered_layer_roundtrip": f"WITH {BOX} SELECT box_id, (xmax - xmin) * (ymax - ymin) AS area_m2 FROM box WHERE (xmax - xmin) * (ymax - ymin) <= 400",
+    "raster_roundtrip": f"WITH {MOSAIC} SELECT row, col, v, (SELECT max(row) + 1 FROM mosaic) AS height, CAST(3857 AS INT) AS epsg FROM mosaic WHERE row BETWEEN 20 AND 130 AND col BETWEEN 10 AND 40",
+    "geotiff_roundtrip": f"""WITH {PX}, {PLACED} SELECT 'raster_' || raster_id || '.tif' AS file, CAST(8 AS INT) AS height, CAST(8 AS INT) AS width, CAST(1 AS INT) AS count, CAST(epsg AS INT) AS epsg, round(xmin, 5) AS xmin, round(ymin, 5) AS ymin, round(xmax, 5) AS xmax, round(ymax, 5) AS ymax,
+  count(v) AS n, max(v) AS v_max, round(sum(v * (row * 8 + col)), 6) AS placed FROM px JOIN placed USING (raster_id) GROUP BY raster_id, placed.epsg, placed.xmin, placed.ymin, placed.xmax, placed.ymax""",
+    "mask_folder_roundtrip": f"WITH {PX} SELECT 'mask_' || raster_id || '.tif' AS file, count(*) FILTER (v > 0) AS n_on FROM px GROUP BY raster_id",
+    "export_dataset": f"""{_tiled_notches().replace(GRID, GRID.replace('SELECT min(xmin) x0, min(ymin) y0, max(xmax) x1, max(ymax) y1 FROM box', 'SELECT 0.0 x0, 0.0 y0, 256.0 x1, 256.0 y1'))}, {MOSAIC}, d AS (SELECT max(row) + 1 AS h FROM mosaic),
+t AS (SELECT CAST(floor((row + 0.5) * 4 / h) * 4 + floor((col + 0.5) * 4 / 64) AS INT) AS tile_id, count(DISTINCT row) AS height, count(DISTINCT col) AS width, round(max(CAST(v AS FLOAT)::DOUBLE), 5) AS v_max FROM mosaic, d GROUP BY 1)
+SELECT tile_id + 1 AS image_id, 'tile_' || tile_id || '.tif' AS file_name, width, height, CAST(height AS INT) AS file_height, gx0 AS xmin, gy1 AS ymax, count(*) AS n_annotations, v_max FROM shaped JOIN t USING (tile_id) GROUP BY tile_id, width, height, gx0, gy1, v_max""",
+    "outputs_distinct": "SELECT DISTINCT '/out/' || p_brand AS path FROM part UNION SELECT '/out/' || lower(p_brand) FROM part",
+    "raster_to_vector": f"""WITH RECURSIVE {FILLED},
+{CELLS}
+{PLACED}, sized AS (SELECT cell.*, {_A} * radians(CASE epsg WHEN 4326 THEN (xmax - xmin) / 8 WHEN 3857 THEN degrees((xmax - xmin) / 8 / {_A}) ELSE degrees((xmax - xmin) / 8 / {_A} / {_K0}) END) AS w,
+  {_local_y('(ymin + (1 - row / 8) * (ymax - ymin))')} - {_local_y('(ymin + (1 - (row + 1) / 8) * (ymax - ymin))')} AS h, xmin, ymin, xmax, ymax FROM cell JOIN placed USING (raster_id)),
+sides AS (SELECT raster_id, r1 AS row, c1 AS col, count(*) FILTER (c2 > c1) AS rights, count(*) FILTER (r2 > r1) AS downs FROM link GROUP BY ALL),
+f AS (SELECT raster_id, l, count(*) AS n_cells, sum(CASE WHEN n = 4 THEN w * h ELSE w * h / 2 END) AS area, sum(CASE WHEN n = 4 THEN 2 * w + 2 * h ELSE w + h + sqrt(w * w + h * h) END - 2 * h * coalesce(rights, 0) - 2 * w * coalesce(downs, 0)) AS per,
+  min(xmin + col / 8 * (xmax - xmin)) AS x0, min(ymin + (1 - (row + 1) / 8) * (ymax - ymin)) AS y0, max(xmin + (col + 1) / 8 * (xmax - xmin)) AS x1, max(ymin + (1 - row / 8) * (ymax - ymin)) AS y1
+  FROM sized JOIN lab USING (raster_id, row, col) LEFT JOIN sides USING (raster_id, row, col) GROUP BY raster_id, l)
+SELECT raster_id, n_cells, round(area, 3) AS area_m2, round(per, 3) AS perim_m, round(sqrt(area * 4 / pi()), 3) AS a_diam_m, round(x0, 5) AS xmin, round(y0, 5) AS ymin, round(x1, 5) AS xmax, round(y1, 5) AS ymax FROM f""",
 }
+
+SQL["detections_layer"] = SQL["nms_boxes"].replace("FROM part))", "FROM part) WHERE score > 0.95)").rpartition(" SELECT b.image_id")[0] + """ SELECT box_id, 'Tree' AS class, round((xmax - xmin) * 2 * (ymax - ymin) / 2, 6) AS area_m2, round(b.image_id * 1000 + xmin * 2, 6) AS xmin, round(628 - ymax / 2, 6) AS ymin,
+  round(b.image_id * 1000 + xmax * 2, 6) AS xmax, round(628 - ymin / 2, 6) AS ymax, round(b.image_id * 1000 + xmin + xmax, 6) AS cx, round(628 - (ymin + ymax) / 4, 6) AS cy FROM box b JOIN last l ON l.image_id = b.image_id AND list_contains(l.kept, b.box_id)"""

@@ -56,8 +56,10 @@ def write_layers(features: DataFrame, path: str, prefix: str, kinds: tuple[str,
     return out
 
 
-def write_raster(px: DataFrame, path: str, side: int = 256) -> None:
-    """Pixels by tile, so that a later crop reads the tiles it needs."""
+def write_raster(px: DataFrame, path: str, side: int = 256, meta: DataFrame | None = None) -> None:
+    """Pixels by tile, so that a later crop reads the tiles it needs; meta (extent, size, epsg) goes to <path>_meta."""
+    if meta is not None:
+        meta.write.mode("errorifexists").parquet(f"{path}_meta")
     tiled = px.withColumns({"tile_row": F.floor(F.col("row") / side).cast("int"), "tile_col": F.floor(F.col("col") / side).cast("int")})
     tiled.repartition("raster_id", "tile_row", "tile_col").write.mode("errorifexists").partitionBy("tile_row", "tile_col").parquet(path)
 
@@ -73,3 +75,17 @@ def register(spark: SparkSession, paths: list[str]) -> list[str]:
     for n, p in zip(names, paths, strict=True):
         spark.read.parquet(p).createOrReplaceTempView(n)
     return names
+
+
+def read_raster(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, side: int = 256) -> DataFrame:
+    """The pixels of write_raster() whose row and column are in the ranges (first, last); other tiles aren't read."""
+    px = spark.read.parquet(path)
+    for name, within in (("row", rows), ("col", cols)):
+        if within is not None:
+            px = px.filter(F.col(f"tile_{name}").between(within[0] // side, within[1] // side) & F.col(name).between(*within))
+    return px.drop("tile_row", "tile_col")
+
+
+def append_outputs(outputs: DataFrame, more: DataFrame) -> DataFrame:
+    """Two lists of outputs as one, each path once."""
+    return outputs.unionByName(more).dropDuplicates(["path"])

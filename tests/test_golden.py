@@ -1,13 +1,17 @@
 import math
 import random
+import struct
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo, text
 from gridloom.functions.shared import components, dense_ids
 from gridloom.operators import coco, detect, metrics, polygons, raster, tiling, vector
-from gridloom.sources import files
+from gridloom.plans import flows
+from gridloom.sources import files, geotiff
 
 R2 = math.sqrt(2)
 
@@ -228,3 +232,123 @@ def test_bounds_without_a_side_hold_nothing(spark):
     assert tiling.overlay_boxes(point.limit(0), point, 3).count() == 0
     at = geo.to_pixel(F.lit(2.0), F.lit(3.0), *(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")), F.lit(10), F.lit(10))
     assert tuple(point.select(*at).first()) == (None, None)
+
+
+def star(r, x, y):
+    """A simple ring around (x, y), mostly concave."""
+    n = r.randint(4, 14)
+    at = [2 * math.pi * (i + r.uniform(0, 0.9)) / n for i in range(n)]
+    return [(x + d * math.cos(a), y + d * math.sin(a)) for a in at for d in (r.uniform(2, 30),)]
+
+
+def holds(ring, x, y):
+    hit = False
+    for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (b <= y) != (d <= y) and x < a + (y - b) / (d - b) * (c - a):
+            hit = not hit
+    return hit
+
+
+def test_clipped_parts_hold_what_ring_and_rectangle_hold():
+    r = random.Random(11)
+    several = 0
+    for _ in range(400):
+        ring = star(r, r.uniform(20, 80), r.uniform(20, 80)) if r.random() < 0.7 else [(a, b) for a, b in ((10, 10), (50, 10), (50, 60), (r.randint(25, 35), 40 - 10 * r.randint(0, 2)), (10, 60))]
+        x0, y0, x1, y1 = r.choice(((30, 30, 70, 70), (0, 40, 100, 100), (30, 0, 35, 100)))
+        parts = vector.clip(np.array(ring, dtype=float), x0, y0, x1, y1)
+        several += len(parts) > 1
+        for _ in range(60):
+            x, y = r.uniform(0, 100), r.uniform(0, 100)
+            want = holds(ring, x, y) and x0 < x < x1 and y0 < y < y1
+            assert sum(holds([tuple(p) for p in q], x, y) for q in parts) == want
+    assert several > 20
+
+
+def test_tiles_share_rings_out(spark):
+    r = random.Random(5)
+    rings = [(i, star(r, r.uniform(20, 80), r.uniform(20, 80))) for i in range(60)]
+    d = spark.createDataFrame([*rings, (100, None), (101, [(1.0, 1.0), (2.0, 2.0)])], "box_id long, ring array<struct<x:double,y:double>>").withColumn("xmin", F.lit("clash"))
+    b = spark.createDataFrame([(-20.0, -20.0, 120.0, 120.0)], "xmin double, ymin double, xmax double, ymax double")
+    got = {x.box_id: x.a for x in tiling.overlay_rings(d, b, 7).groupBy("box_id").agg(F.sum(vector.parts_area(F.col("parts"))).alias("a")).collect()}
+    want = {i: abs(vector.signed_area(np.array(p))) for i, p in rings}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    assert tiling.overlay_rings(d.limit(0), b, 7).count() == 0
+
+
+@pytest.mark.parametrize("dtype", ["uint8", "float32", "float64", "uint16"])
+@pytest.mark.parametrize("deflate", [True, False])
+def test_geotiff_codec(dtype, deflate):
+    r = np.random.default_rng(3)
+    for h, w, n in ((1, 1, 1), (5, 7, 1), (9, 4, 3)):
+        px = (r.random((h, w, n)) * 200).astype(dtype)
+        raw = geotiff.encode(px, (10.0, 20.0, 10.0 + w, 20.0 + 2 * h), 4326 if n == 1 else 6933, deflate) + b"\x00"
+        assert (geotiff.decode(raw) == px).all()
+        m = geotiff.describe("a", raw)
+        assert (m["height"], m["width"], m["count"], m["epsg"]) == (h, w, n, 4326 if n == 1 else 6933)
+        assert (m["xmin"], m["ymin"], m["xmax"], m["ymax"]) == (10.0, 20.0, 10.0 + w, 20.0 + 2 * h)
+
+
+def test_geotiff_of_other_writers():
+    """Big-endian, in tiles, with nodata: written out by hand."""
+    w, h = 5, 3
+    px = np.arange(w * h, dtype=">u2").reshape(h, w)
+    padded = np.zeros((4, 8), dtype=">u2")
+    padded[:h, :w] = px
+    tiles = [padded[r : r + 2, c : c + 4].tobytes() for r in (0, 2) for c in (0, 4)]
+    entries = [(256, 3, [w]), (257, 3, [h]), (258, 3, [16]), (259, 3, [1]), (277, 3, [1]), (322, 3, [4]), (323, 3, [2]), (324, 4, None), (325, 4, [16] * 4), (339, 3, [1]), (42113, 2, b"7\x00")]
+    after = 8 + 2 + 12 * len(entries) + 4
+    extra = b"".join(tiles)
+    place, sizes = after + len(extra), after + len(extra) + 16
+    at = [after + 16 * i for i in range(4)]
+    raw = b"MM\x00*" + struct.pack(">IH", 8, len(entries))
+    for tag, t, v in entries:
+        if tag == 324:
+            raw += struct.pack(">HHII", tag, t, 4, place)
+        elif tag == 325:
+            raw += struct.pack(">HHII", tag, t, 4, sizes)
+        elif t == 2:
+            raw += struct.pack(">HHI", tag, t, 2) + v + b"\x00\x00"
+        else:
+            raw += struct.pack(">HHIHH", tag, t, 1, v[0], 0)
+    raw += b"\x00" * 4 + extra + struct.pack(">4I", *at) + struct.pack(">4I", *[16] * 4)
+    assert (geotiff.decode(raw)[:, :, 0] == px).all()
+    m = geotiff.describe("a", raw)
+    assert m["nodata"] == 7 and m["epsg"] is None and m["xmin"] is None
+    with pytest.raises(ValueError):
+        geotiff.decode(b"GIF89a....")
+
+
+def test_geotiff_bands_and_missing_pixels(spark, tmp_path):
+    px = spark.createDataFrame([(1, 0, 0, 3.0, 4.0), (1, 1, 1, None, 5.0)], "raster_id long, row int, col int, a double, b double")
+    meta = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0, 2, 2, None)], "raster_id long, xmin double, ymin double, xmax double, ymax double, width int, height int, epsg int")
+    geotiff.write(geotiff.encode_rasters(px, meta, ("a", "b")), f"file://{tmp_path}/t")
+    got = {(r.row, r.col): (r.a, r.b, r.c) for r in geotiff.read(spark, f"file://{tmp_path}/t", ("a", "b", "c")).collect()}
+    assert got == {(0, 0): (3, 4, None), (0, 1): (0, 0, None), (1, 0): (0, 0, None), (1, 1): (0, 5, None)}
+    m = geotiff.metadata(spark, f"file://{tmp_path}/t").first()
+    assert (m.file, m.epsg, m["count"], m.dtype) == ("tile_1.tif", None, 2, "f4")
+
+
+def test_detection_flow(spark, tmp_path):
+    def model():
+        def predict(b):
+            return pd.DataFrame({"image_id": b["image_id"].astype("int32"), "box_id": b["image_id"].astype("int64"), "xmin": 8.0, "ymin": 8.0, "xmax": 24.0, "ymax": 40.0, "score": b["score"]})
+
+        return predict
+
+    tiles = spark.createDataFrame([(0, 0.99), (1, 0.5), (2, 1.0)], "image_id int, score double")
+    meta = spark.createDataFrame([(i, 0.0, 0.0, 128.0, 128.0, 64, 64) for i in (0, 1)], "image_id int, xmin double, ymin double, xmax double, ymax double, width int, height int")
+    out = flows.detect_objects(tiles, model, meta, f"file://{tmp_path}/d", "r")
+    assert [p.rpartition("/")[2] for p in out] == ["r_vector", "r_vector_bb", "r_vector_centroids"]
+    r = spark.read.parquet(out[1]).collect()
+    assert [(x.box_id, x.xmin, x.ymin, x.xmax, x.ymax, x.area_m2) for x in r] == [(0, 16.0, 48.0, 48.0, 112.0, 2048.0)]
+
+
+def test_georeferenced_measures_near_the_equator(spark):
+    """A block of 2 x 2 cells of a thousandth of a degree, measured on the ellipsoid's equator."""
+    px = spark.createDataFrame([(7, r, c, 1 <= r <= 3 and 1 <= c <= 3) for r in range(5) for c in range(5)], "raster_id long, row int, col int, on boolean")
+    meta = spark.createDataFrame([(7, 10.0, -0.0025, 10.005, 0.0025, 5, 5, 4326)], "raster_id long, xmin double, ymin double, xmax double, ymax double, width int, height int, epsg int")
+    m = polygons.measure_georeferenced(px, meta).first()
+    side, up = 111.3194908, 110.5742758  # metres of a thousandth of a degree east and north at the equator
+    assert math.isclose(m.area_m2, 4 * side * up, rel_tol=1e-6) and math.isclose(m.perim_m, 4 * (side + up), rel_tol=1e-6)
+    assert (round(m.xmin, 6), round(m.xmax, 6), round(m.ymax, 6), round(m.ymin, 6)) == (10.001, 10.003, 0.0015, -0.0005)
+    assert polygons.measure_georeferenced(px, meta.withColumn("epsg", F.lit(27700))).first().area_m2 is None
