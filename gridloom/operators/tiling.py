@@ -40,7 +40,7 @@ def overlay_rings(rings: DataFrame, bounds: DataFrame, n: int, ring: str = "ring
     """The pieces of simple rings in each tile: all columns of the ring's row, tile_id, the tile's box, parts, xmin .. ymax.
 
     parts holds the rings of a piece, several where a concave ring comes into a tile more than once.
-    Rings wholly in a tile stay on the JVM; only those on a border are clipped, in Arrow batches.
+    Only rings on a tile's border are clipped, in Arrow batches; of the others no point leaves the JVM.
     Null rings and those of fewer than three points have no piece.
     """
     names = ("xmin", "ymin", "xmax", "ymax")
@@ -49,10 +49,9 @@ def overlay_rings(rings: DataFrame, bounds: DataFrame, n: int, ring: str = "ring
     o = overlay_boxes(e, bounds, n)
     tile = [F.col(f"tile_{c}") for c in names]
     within = (F.col("gl_box.xmin") >= tile[0]) & (F.col("gl_box.ymin") >= tile[1]) & (F.col("gl_box.xmax") <= tile[2]) & (F.col("gl_box.ymax") <= tile[3])
-    whole = o.filter(within).withColumn("parts", F.array(F.col(ring).cast(vector.POINTS)))
-    cut = o.filter(~within).withColumn("parts", vector.clip_parts(F.col(ring), *tile))
-    both = whole.unionByName(cut).filter((F.size("parts") > 0) & (vector.parts_area(F.col("parts")) > vector.LEAST_PIECE))
-    return both.withColumns(dict(zip(names, vector.envelope(F.flatten("parts")), strict=True))).drop("gl_box")
+    parts = F.when(within, F.array(F.col(ring).cast(vector.POINTS))).otherwise(vector.clip_parts(F.when(~within, F.col(ring)), *tile))
+    some = o.withColumn("parts", parts).filter((F.size("parts") > 0) & (vector.parts_area(F.col("parts")) > vector.LEAST_PIECE))
+    return some.withColumns(dict(zip(names, vector.envelope(F.flatten("parts")), strict=True))).drop("gl_box")
 
 
 def clip_pixels(px: DataFrame, height: int, width: int, n: int) -> DataFrame:

@@ -30,9 +30,14 @@ def _cross(s: Column) -> Column:
     return s["0"]["x"] * s["1"]["y"] - s["1"]["x"] * s["0"]["y"]
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
+
+
 def ring_steps(ring: Column) -> Column:
     """Each point of a ring with its successor, the last with the first."""
-    following = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    following = F.concat(F.slice(ring, 2, F.greatest(F.lit(0), F.size(ring) - 1)), F.slice(ring, 1, 1))
     return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("0"), q.alias("1")))
 
 
@@ -92,10 +97,10 @@ def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Colu
             keep = F.when(inside(p), F.array(point(p["x"], p["y"]))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
             return F.when(inside(p) != inside(q), F.concat(keep, F.array(met))).otherwise(keep)
 
-        return F.when(F.size(r) > 0, F.flatten(F.transform(ring_steps(r), cut))).otherwise(r)
+        return F.flatten(F.transform(ring_steps(r), cut))
 
     for axis, bound, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
-        ring = side(ring, axis, bound, above)
+        ring = _once(ring, lambda r, a=axis, b=bound, k=above: side(r, a, b, k))
     return ring
 
 
@@ -182,7 +187,8 @@ def _clip(xs: pd.Series, ys: pd.Series, xmin: pd.Series, ymin: pd.Series, xmax:
 
 def clip_parts(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """The parts of a simple ring in a rectangle, an array of rings; empty where they don't meet, null for null."""
-    flat = F.pandas_udf(_clip, "array<array<double>>")(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]), xmin, ymin, xmax, ymax)
+    # named nondeterministic so that no filter on the parts makes them a second time
+    flat = F.pandas_udf(_clip, "array<array<double>>").asNondeterministic()(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]), xmin, ymin, xmax, ymax)
     point = lambda r, i: F.struct(F.element_at(r, 2 * i + 1).alias("x"), F.element_at(r, 2 * i + 2).alias("y"))
     return F.transform(flat, lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda i: point(r, i)))
 

@@ -509,7 +509,7 @@ def nms_boxes(spark, sf):
 @query
 def detections_layer(spark, sf):
     meta = spark.range(20).select(F.col("id").cast("int").alias("image_id"), (F.col("id") * 1000.0).alias("xmin"), F.lit(500.0).alias("ymin"), (F.col("id") * 1000.0 + 512).alias("xmax"), F.lit(628.0).alias("ymax"), F.lit(256).alias("width"), F.lit(256).alias("height"))
-    d = detect.layer(boxes(spark, sf), meta, 0.95, 0.2)
+    d = detect.layer(boxes(spark, sf), meta, 0.905, 0.2)
     return d.select("box_id", "class", _r("area_m2"), *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")])
 
 

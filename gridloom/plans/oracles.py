@@ -223,5 +223,5 @@ f AS (SELECT raster_id, l, count(*) AS n_cells, sum(CASE WHEN n = 4 THEN w * h E
 SELECT raster_id, n_cells, round(area, 3) AS area_m2, round(per, 3) AS perim_m, round(sqrt(area * 4 / pi()), 3) AS a_diam_m, round(x0, 5) AS xmin, round(y0, 5) AS ymin, round(x1, 5) AS xmax, round(y1, 5) AS ymax FROM f""",
 }
 
-SQL["detections_layer"] = SQL["nms_boxes"].replace("FROM part))", "FROM part) WHERE score > 0.95)").rpartition(" SELECT b.image_id")[0] + """ SELECT box_id, 'Tree' AS class, round((xmax - xmin) * 2 * (ymax - ymin) / 2, 6) AS area_m2, round(b.image_id * 1000 + xmin * 2, 6) AS xmin, round(628 - ymax / 2, 6) AS ymin,
+SQL["detections_layer"] = SQL["nms_boxes"].replace("FROM part))", "FROM part) WHERE score > 0.905)").rpartition(" SELECT b.image_id")[0] + """ SELECT box_id, 'Tree' AS class, round((xmax - xmin) * 2 * (ymax - ymin) / 2, 6) AS area_m2, round(b.image_id * 1000 + xmin * 2, 6) AS xmin, round(628 - ymax / 2, 6) AS ymin,
   round(b.image_id * 1000 + xmax * 2, 6) AS xmax, round(628 - ymin / 2, 6) AS ymax, round(b.image_id * 1000 + xmin + xmax, 6) AS cx, round(628 - (ymin + ymax) / 4, 6) AS cy FROM box b JOIN last l ON l.image_id = b.image_id AND list_contains(l.kept, b.box_id)"""
