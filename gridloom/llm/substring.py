@@ -16,10 +16,13 @@ with the smallest hash is its anchor, and equal windows have equal anchors at eq
    node WINDOW - o words on. The smallest id of such a pair of nodes decides: these deep nodes are
    the maximal repeats, compared word by word, not by hash.
 
-Equal texts are collapsed before: all but the smallest id's copy lose every word.
+Equal texts are collapsed before: all but the smallest id's copy lose every word. So are, in the task
+that reads a text, its suffixes whose words before and on are all the same, and its equal windows: one
+row stands for them and carries their places. A line that a text says hundreds of times is a few rows.
 
-Scale: shuffled are a hash for each anchor (one word in twenty), contexts only of those that repeat,
-and the texts once or twice, by document. Groups have bounded rows, each of at most 92 words.
+Scale: shuffled are a hash for each different anchor (one word in twenty at most), contexts only of
+those that repeat, and the texts once or twice, by document. Groups have bounded rows, each of at most
+92 words and its places.
 
 Defined results: a null or wordless text has no words; texts of fewer than WINDOW words stay; ids
 that are null neither lose words nor make others lose them; rows with equal ids don't touch each
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,10 @@ from gridloom.llm import common as C
 WINDOW = 50
 #: Words of the prefix that anchors a window.
 PREFIX = 8
-#: Suffixes of one prefix that one task holds (12 MB of contexts), and suffixes that it works on at a time.
-GROUP_ROWS, CHUNK_ROWS = 20_000, 20_000
+_BASE = 0xA0761D6478BD642F
+_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Different suffixes of one prefix that one task holds (1.2 MB of contexts), and suffixes that it works on at a time.
+GROUP_ROWS, CHUNK_ROWS = 2_000, 20_000
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -70,13 +76,45 @@ def anchors(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.nda
     return at, g[at]
 
 
+def context_hashes(h: np.ndarray, at: np.ndarray, before: int, on: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the contexts of places at begin and end, and a hash of their words and of the place in them."""
+    lo, hi = np.maximum(at - before, 0), np.minimum(at + on, len(h))
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * C.powers(_BASE, len(h)), out=sums[1:])
+    return lo, hi, C.mix((sums[hi] - sums[lo]) * C.powers(_BASE_INV, len(h))[lo]) ^ C.mix((at - lo + 1).astype(np.uint64))
+
+
+def alike(words: list[bytes], at: np.ndarray, lo: np.ndarray, hi: np.ndarray, hashes: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+    """The places (at, lo, hi) in lists whose words are equal; hashes find them, the words decide."""
+    order = np.argsort(hashes, kind="stable")
+    edges = np.flatnonzero(np.diff(hashes[order])) + 1
+    places = list(zip(at[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True))
+    for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(places)], strict=True):
+        left = places[i:j]
+        while len(left) > 1:
+            p, a, b = left[0]
+            run = words[a:b]
+            same = [x for x in left if x[0] - x[1] == p - a and words[x[1] : x[2]] == run]
+            yield same
+            left = [x for x in left if x not in set(same)] if len(same) < len(left) else []
+        if left:
+            yield left
+
+
+def merged(first: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
+    """Spans of one length, by place, as the starts and ends of the stretches that they cover."""
+    gap = np.flatnonzero(first[1:] > end[:-1])
+    return first[np.concatenate(([0], gap + 1))].tolist(), end[np.concatenate((gap, [len(end) - 1]))].tolist()
+
+
 def _keys(docs: DataFrame, text: str, key: str) -> list:
     """doc_id; th and tl, by which equal texts are known; the text's bytes."""
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     return [F.col(key).cast("long").alias("doc_id"), F.xxhash64(raw).alias("th"), (F.shiftleft(F.octet_length(raw).cast("long"), 32) + F.hash(raw)).alias("tl"), raw.alias("raw")]
 
 
-_ROUTE = "prefix long, doc_id long, th long, pos int, left binary, right binary, w1 long, w2 long"
+#: at: the places of a suffix; of a window the stretches that its places cover, until ends.
+_ROUTE = "prefix long, doc_id long, th long, at array<int>, ends array<int>, left binary, right binary, w1 long, w2 long"
 
 
 def _contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -90,14 +128,19 @@ def _contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
         at, g = anchors(h, window, prefix)
         words = raw.split()
         cold = np.isin(g, small)
-        for p, k in zip(at[cold].tolist(), g[cold].view(np.int64).tolist(), strict=True):
-            yield k, doc, th, p, b" ".join(words[max(0, p - back) : p]), b" ".join(words[p : p + window]), None, None
+        if cold.any():
+            prefixes = dict(zip(at[cold].tolist(), g[cold].view(np.int64).tolist(), strict=True))
+            for same in alike(words, at[cold], *context_hashes(h, at[cold], back, window)):
+                p, lo, hi = same[0]
+                yield prefixes[p], doc, th, [x[0] for x in same], None, b" ".join(words[lo:p]), b" ".join(words[p:hi]), None, None
         hot = np.isin(g, large)
         if hot.any():
             starts = np.unique((at[hot][:, None] - np.arange(back + 1)).ravel())
-            for p in starts[(starts >= 0) & (starts + window <= len(h))].tolist():
-                x, y = struct.unpack("<qq", hashlib.blake2b(b" ".join(words[p : p + window]), digest_size=16).digest())
-                yield None, doc, th, p, None, None, x, y
+            starts = starts[(starts >= 0) & (starts + window <= len(h))]
+            for same in alike(words, starts, *context_hashes(h, starts, 0, window)):
+                p = np.array([x[0] for x in same])
+                x, y = struct.unpack("<qq", hashlib.blake2b(b" ".join(words[p[0] : p[0] + window]), digest_size=16).digest())
+                yield None, doc, th, *merged(p, p + window), None, None, x, y
 
     def run(batches):
         for b in batches:
@@ -157,7 +200,7 @@ def repeats(group: np.ndarray, doc: np.ndarray, left: list[bytes], right: list[b
     return most_back, most_on
 
 
-_SPAN = "doc_id long, th long, first int, end int"
+_SPAN = "doc_id long, th long, at array<int>, ends array<int>"
 
 
 def _subtrees(contexts: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -165,17 +208,18 @@ def _subtrees(contexts: DataFrame, window: int, prefix: int) -> DataFrame:
     arrow = C.arrow_schema(contexts.sparkSession, _SPAN)
 
     def work(parts: list[tuple]) -> pa.RecordBatch:
-        prefixes, doc, th, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        left, right = ([x for p in parts for x in p[i]] for i in (4, 5))
+        prefixes, doc, th = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        places, left, right = ([x for p in parts for x in p[i]] for i in (3, 4, 5))
         _, group = np.unique(prefixes, return_inverse=True)
         b, a = repeats(group, doc, left, right, window, prefix)
-        hit = a > 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(th[hit]), pa.array((pos - b)[hit].astype(np.int32)), pa.array((pos + a)[hit].astype(np.int32))], schema=arrow)
+        hit = np.flatnonzero(a)
+        spans = [merged(np.array(places[i]) - b[i], np.array(places[i]) + a[i]) for i in hit.tolist()]
+        return C.record_batch({"doc_id": pa.array(doc[hit]), "th": pa.array(th[hit]), "at": [x for x, _ in spans], "ends": [y for _, y in spans]}, arrow)
 
     def run(batches):
         parts, n = [], 0
         for batch in batches:
-            cols = [*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist(), batch.column(5).to_pylist()]
+            cols = [*(batch.column(i).to_numpy() for i in range(3)), *(batch.column(i).to_pylist() for i in (3, 4, 5))]
             parts.append(tuple(cols))
             n += batch.num_rows
             k = cols[0]
@@ -198,9 +242,15 @@ def repeated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, text:
     schema = "doc_id long, th long, tl long, prefixes array<long>"
     arrow = C.arrow_schema(spark, schema)
 
+    def different(raw):
+        """The prefixes of the anchors of a text, once for each different context."""
+        h = C.word_hashes(raw)
+        at, g = anchors(h, window, prefix)
+        return g[np.unique(context_hashes(h, at, window - prefix, window)[2], return_index=True)[1]] if len(at) else g
+
     def scan(batches):
         for b in batches:
-            found = [anchors(C.word_hashes(t), window, prefix)[1] for t in b.column(3).to_pylist()]
+            found = [different(t) for t in b.column(3).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], schema=arrow)
@@ -214,12 +264,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, text:
     mine = C.materialise(suffixes.join(counts, "prefix").groupBy("doc_id", "th", "tl").agg(of(False).alias("small"), of(True).alias("large")), "mine")
     routed = C.materialise(_contexts(keyed.join(mine, ["doc_id", "th", "tl"]), window, prefix), "contexts")
     C.discard(mine, counts)
-    contexts = routed.filter("right is not null").select("prefix", "doc_id", "th", "pos", "left", "right")
+    contexts = routed.filter("right is not null").select("prefix", "doc_id", "th", "at", "left", "right")
     spans = _subtrees(contexts.repartition("prefix").sortWithinPartitions("prefix"), window, prefix)
-    windows = routed.filter("right is null").select("doc_id", "th", "pos", "w1", "w2")
+    windows = routed.filter("right is null").select("doc_id", "th", "at", "ends", "w1", "w2")
     least = C.materialise(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "windows")
-    late = windows.join(least, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "th", F.col("pos").alias("first"), (F.col("pos") + window).alias("end"))
-    spans = spans.unionByName(late).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "end")).alias("spans")).withColumn("whole", F.lit(False))
+    late = windows.join(least, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "th", "at", "ends")
+    stretches = F.flatten(F.collect_list(F.arrays_zip("at", "ends"))).cast("array<struct<first:int,end:int>>")
+    spans = spans.unionByName(late).groupBy("doc_id", "th").agg(stretches.alias("spans")).withColumn("whole", F.lit(False))
     copies = scanned.select("doc_id", "th", "tl").join(texts.filter("least < most").select("th", "tl", "least"), ["th", "tl"]).filter("least < doc_id")
     copies = copies.select("doc_id", "th").distinct().select("doc_id", "th", F.lit(None).cast("array<struct<first:int,end:int>>").alias("spans"), F.lit(True).alias("whole"))
     out = C.materialise(spans.unionByName(copies), "repeats")

@@ -95,3 +95,30 @@ def test_hot_passages(spark):
         out = S.remove_repeats(d, 10, 3, group_rows=group_rows, joined=True)
         got = out.select("doc_id", F.col("gl_n_words"), F.col("gl_n_removed"), F.sha2("text", 256)).collect()
         assert sorted(map(tuple, got), key=str) == brute(docs, 10)
+
+
+def test_lines_said_hundreds_of_times(spark):
+    """Every text repeats one line, some with a slip in it: few different suffixes, many places."""
+    r = random.Random(5)
+    line = [f"l{i}" for i in range(7)]
+    docs = []
+    for i in range(30):
+        w = [f"f{r.randrange(10**6)}" for _ in range(r.randrange(9))] + line * r.randrange(20, 150)
+        if i % 2:
+            w[r.randrange(len(w))] = "slip"
+        docs.append((r.randrange(25), " ".join(w + [f"g{r.randrange(3)}"] * r.randrange(4))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for group_rows in (0, 40, 2000):
+        out = S.remove_repeats(d, 10, 3, group_rows=group_rows, joined=True)
+        got = out.select("doc_id", F.col("gl_n_words"), F.col("gl_n_removed"), F.sha2("text", 256)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(docs, 10)
+
+
+def test_equal_runs_are_found_by_words():
+    words = [b"a", b"b", b"a", b"b", b"c", b"a", b"b"]
+    at = np.array([0, 2, 5])
+    one = [[p for p, _, _ in same] for same in S.alike(words, at, at, at + 2, np.zeros(3, dtype=np.uint64))]
+    assert one == [[0, 2, 5]]
+    clash = [[p for p, _, _ in same] for same in S.alike(words, np.array([0, 3, 5]), np.array([0, 3, 5]), np.array([2, 5, 7]), np.zeros(3, dtype=np.uint64))]
+    assert clash == [[0, 5], [3]]
+    assert S.merged(np.array([1, 4, 20]), np.array([6, 9, 25])) == ([1, 20], [9, 25])
