@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with SQL where it can express them."""
+"""The thirteen operators as queries over whole tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, language, neighbours, score, shard, simhash, substring, warc
+from gridloom.llm import audit, bpe, chat, decontaminate, language, neighbours, records, score, shard, simhash, substring, variants, warc
 from gridloom.llm.common import load
 from gridloom.llm.oracles import SQL
 
@@ -61,8 +61,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(load(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(load(spark, sf_dir, "documents"))
+
+
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.digest(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_language, op4_chat, op5_simhash, op6_bpe, op7_score, op8_warc, op9_neighbours, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_language, op4_chat, op5_simhash, op6_bpe, op7_score, op8_warc, op9_neighbours, op10_shard, op11_audit, op12_variants, op13_records)}
 
 
 def oracle_sql() -> dict[str, str]:
