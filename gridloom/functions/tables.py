@@ -49,6 +49,26 @@ def slanted_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notched_rings(spark, sf_dir).select("box_id", F.array(r[0], F.struct(r[3]["x"].alias("x"), r[0]["y"].alias("y")), r[3], r[4]).alias("ring"))
 
 
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small boxes of 20 images that overlap here and there, as rings: box_id, image_id, ring."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    b, k = boxes(spark, sf_dir), F.col("box_id")
+    x0, y0 = F.col("xmin"), F.col("ymin")
+    x1, y1 = x0 + (1 + k % 13), y0 + (1 + k % 11)
+    return b.select("box_id", "image_id", F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1)).alias("ring"))
+
+
+def damaged_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as rings that are whole, cross themselves, have a spike or doubled points: box_id, ring."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1, k = F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("box_id") % 4
+    plain = F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1))
+    crossed = F.array(p(x0, y0), p(x1, y1), p(x1, y0), p(x0, y1))
+    spiked = F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x1 + 5, y1), p(x1, y1), p(x0, y1))
+    doubled = F.array(p(x0, y0), p(x0, y0), p(x1, y0), p(x1, y1), p(x1, y1), p(x0, y1), p(x0, y0))
+    return boxes(spark, sf_dir).select("box_id", F.when(k == 0, plain).when(k == 1, crossed).when(k == 2, spiked).otherwise(doubled).alias("ring"))
+
+
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extents of the 8x8 rasters in three systems: raster_id, xmin, ymin, xmax, ymax, width, height, epsg."""
     i = F.col("vec_id")

@@ -10,6 +10,8 @@ in numpy, and labels that meet across tile borders are united by rounds of joins
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +53,25 @@ def _label_tiles(tile: np.ndarray, r: np.ndarray, c: np.ndarray, right: np.ndarr
     return union(len(key), np.concatenate(a), np.concatenate(b))
 
 
+def whole_tiles(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[list[np.ndarray]]:
+    """The columns (raster_id, row, col, ...) of batches that are sorted by tile, whole tiles at a time."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+        n += batch.num_rows
+        if n >= CHUNK:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            raster, r, c = cols[:3]
+            last = (raster == raster[-1]) & (r // side == r[-1] // side) & (c // side == c[-1] // side)
+            cut = int(np.argmax(last))
+            if cut:
+                yield [x[:cut] for x in cols]
+            held, n = [[x[cut:] for x in cols]], len(r) - cut
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     """nodes (raster_id, row, col, bits, right, down: whether linked to that neighbour) with lrow, lcol.
 
@@ -67,21 +88,8 @@ def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, r[first], c[first])], names=[*names, "lrow", "lcol"])
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        n = 0
-        for batch in batches:
-            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
-            n += batch.num_rows
-            if n >= CHUNK:
-                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                raster, r, c = cols[:3]
-                last = (raster == raster[-1]) & (r // side == r[-1] // side) & (c // side == c[-1] // side)
-                cut = int(np.argmax(last))
-                if cut:
-                    yield work([x[:cut] for x in cols])
-                held, n = [[x[cut:] for x in cols]], len(r) - cut
-        if n:
-            yield work([np.concatenate(x) for x in zip(*held, strict=True)])
+        for cols in whole_tiles(batches, side):
+            yield work(cols)
 
     keyed = nodes.select(F.col("raster_id").cast("long").alias("raster_id"), "row", "col", "bits", "right", "down")
     tile = ["raster_id", F.floor(F.col("row") / side), F.floor(F.col("col") / side)]
@@ -128,20 +136,23 @@ def pixel_components(px: DataFrame, side: int = SIDE) -> DataFrame:
     return own.join(first, ["raster_id", "lrow", "lcol"]).select("raster_id", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), (F.col("m.row") / 2).cast("int").alias("lrow"), (F.col("m.col") / 2).cast("int").alias("lcol"))
 
 
-def dual_cells(filled: DataFrame) -> DataFrame:
+def dual_cells(filled: DataFrame, around: bool = False) -> DataFrame:
     """Cells of filled pixels: raster_id, row, col (of the upper left pixel), bits (1, 2 above, 4, 8 below), n, right, down.
 
     right and down: whether the cell there is one and shares a side of two filled pixels. For this the
-    pixels beyond are looked at as well, 16 and 32 to the right, 64 and 128 below.
+    pixels beyond are looked at as well, 16 and 32 to the right, 64 and 128 below; with around also left
+    and up, from 256 and 512 to the left, 1024 and 2048 above.
     """
-    places = ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8), (0, -2, 16), (-1, -2, 32), (-2, 0, 64), (-2, -1, 128))
+    places = [(0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8), (0, -2, 16), (-1, -2, 32), (-2, 0, 64), (-2, -1, 128)]
+    places += [(0, 1, 256), (-1, 1, 512), (1, 0, 1024), (1, -1, 2048)] if around else []
     spots = F.explode(F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c"), F.lit(bit).alias("bit")) for dr, dc, bit in places]))
     e = filled.withColumn("s", spots).select("raster_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), F.col("s.bit").alias("bit"))
     seen = e.groupBy("raster_id", "row", "col").agg(F.sum("bit").cast("int").alias("all"))
     within = lambda mask: F.col("all").bitwiseAND(F.lit(mask))
     beside = lambda shared, beyond: (within(shared) == shared) & (within(beyond) > 0)
-    cells = seen.withColumns({"bits": within(15), "n": F.bit_count(within(15)), "right": beside(2 | 8, 16 | 32), "down": beside(4 | 8, 64 | 128)})
-    return cells.filter("n >= 3").drop("all")
+    cells = {"bits": within(15), "n": F.bit_count(within(15)), "right": beside(2 | 8, 16 | 32), "down": beside(4 | 8, 64 | 128)}
+    cells |= {"left": beside(1 | 4, 256 | 512), "up": beside(1 | 2, 1024 | 2048)} if around else {}
+    return seen.withColumns(cells).filter("n >= 3").drop("all")
 
 
 def polygonize(px: DataFrame, side: int = SIDE) -> DataFrame:

@@ -41,8 +41,13 @@ def ring_steps(ring: Column) -> Column:
     return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("0"), q.alias("1")))
 
 
+def ring_signed_area(ring: Column) -> Column:
+    """Above zero where a ring runs counterclockwise with y up."""
+    return _sum(ring_steps(ring), _cross) / 2
+
+
 def ring_area(ring: Column) -> Column:
-    return F.abs(_sum(ring_steps(ring), _cross)) / 2
+    return F.abs(ring_signed_area(ring))
 
 
 def ring_perimeter(ring: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geo, text
 from gridloom.functions.shared import dense_ids, shared_dir
-from gridloom.functions.tables import boxes, load, mosaic, notched_rings, pixels, placed, points, slanted_rings
-from gridloom.operators import coco, detect, metrics, polygons, raster, tiling, vector
+from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notched_rings, pixels, placed, plots, points, slanted_rings
+from gridloom.operators import coco, detect, metrics, overlay, polygons, raster, rings, tiling, vector
 from gridloom.plans import flows
 from gridloom.plans.oracles import SQL
 from gridloom.sources import files, geotiff
@@ -543,6 +543,38 @@ def polygonize_measures(spark, sf):
     return f.select("id", "raster_id", "n_cells", "area_m2", _r("perim_m"), _r("a_diam_m"), "xmin", "ymin", "xmax", "ymax", _r("cx"), _r("cy"))
 
 
+def _told(r: DataFrame, *names: str) -> DataFrame:
+    ring = F.col("ring")
+    return r.select(*names, F.size(ring).alias("n_points"), vector.ring_area(ring).alias("area"), F.round(vector.ring_perimeter(ring), 6).alias("perimeter"), rings.wkt(ring).alias("wkt"))
+
+
+@query
+def polygonize_rings(spark, sf):
+    return _told(rings.polygonize_rings(_mask(spark, sf)), "raster_id")
+
+
+@query
+def polygonize_rings_mosaic(spark, sf):
+    on = raster.threshold_global(mosaic(spark, sf), PERCENT).select("raster_id", "row", "col", (F.col("mask") > 0).alias("on"))
+    return _told(rings.polygonize_rings(on, SIDE))
+
+
+@query
+def dissolve_boxes(spark, sf):
+    d = overlay.dissolve(plots(spark, sf).withColumnRenamed("image_id", "raster_id"))
+    x0, y0, x1, y1 = vector.envelope(F.col("ring"))
+    around = vector.ring_perimeter(F.col("ring")) + F.aggregate("holes", F.lit(0.0), lambda a, r: a + vector.ring_perimeter(r))
+    return d.select(F.col("raster_id").alias("image_id"), *[F.round(c, 3).alias(n) for n, c in (("area", F.col("area")), ("perimeter", around), ("xmin", x0), ("ymin", y0), ("xmax", x1), ("ymax", y1))])
+
+
+@query
+def repair_rings(spark, sf):
+    parts = overlay.repair_parts(F.col("ring"))
+    r = damaged_rings(spark, sf).withColumns({"parts": parts, "single": overlay.repair_parts(F.col("ring"), single_only=True)})
+    signed = F.aggregate("parts", F.lit(0.0), lambda a, p: a + vector.ring_signed_area(p))
+    return r.select("box_id", F.size("parts").alias("n_parts"), F.size("single").alias("n_single"), F.size(F.flatten("parts")).alias("n_points"), F.round(signed, 6).alias("area"))
+
+
 @query
 def raster_to_vector(spark, sf):
     f = flows.raster_to_vector(pixels(spark, sf), placed(spark, sf), PERCENT)

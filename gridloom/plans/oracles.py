@@ -56,6 +56,34 @@ reach AS (SELECT raster_id, row, col, row AS r, col AS c FROM cell UNION SELECT
 lab AS (SELECT raster_id, row, col, min(r * 8 + c) AS l FROM reach GROUP BY ALL),
 nl AS (SELECT raster_id, r1 AS row, c1 AS col, count(*) AS k FROM link GROUP BY ALL),"""
 
+
+
+def _rings(px: str, on: str, edge: str, result: str) -> str:
+    """Borders of filled masks, edge by edge: px with a mask on_px, the places that lie on a raster's edge, what is told of the rings."""
+    return f"""WITH RECURSIVE {px}, on_px AS ({on}), bg AS (SELECT raster_id, row, col FROM px ANTI JOIN on_px USING (raster_id, row, col)),
+four AS (FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS o(dr, dc)),
+outside AS (SELECT raster_id, row, col FROM bg WHERE {edge} UNION SELECT b.raster_id, b.row, b.col FROM (SELECT raster_id, row + dr AS row, col + dc AS col FROM outside, four) o JOIN bg b USING (raster_id, row, col)),
+filled AS (SELECT raster_id, row, col FROM px ANTI JOIN outside USING (raster_id, row, col)),
+cell AS (SELECT raster_id, row - dr AS row, col - dc AS col, CAST(sum(bit) AS INT) AS bits FROM filled, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) AS o(dr, dc, bit) GROUP BY ALL HAVING count(*) >= 3),
+side AS (FROM (VALUES (5, 0, -1, 0, 0, 6), (12, 1, 0, 0, 1, 0), (10, 0, 1, 1, 1, 2), (3, -1, 0, 1, 0, 4)) AS o(need, dr, dc, ox, oy, d)),
+slant AS (FROM (VALUES (14, 1, 0, 5), (13, 1, 1, 3), (11, 0, 0, 7), (7, 0, 1, 1)) AS o(bits, ox, oy, d)),
+e AS (SELECT c.raster_id, c.col + ox AS x, c.row + oy AS y, d FROM cell c JOIN side s ON c.bits & need = need ANTI JOIN cell n ON n.raster_id = c.raster_id AND n.row = c.row + dr AND n.col = c.col + dc
+  UNION ALL SELECT raster_id, col + ox, row + oy, d FROM cell JOIN slant USING (bits)),
+f AS (SELECT *, x + [1, 1, 0, -1, -1, -1, 0, 1][d + 1] AS ex, y + [0, -1, -1, -1, 0, 1, 1, 1][d + 1] AS ey FROM e),
+nxt AS (SELECT a.raster_id, a.x, a.y, a.d, a.ex, a.ey, min((a.d + 12 - b.d) % 8 * 10 + b.d) % 10 AS nd FROM f a JOIN e b ON a.raster_id = b.raster_id AND a.ex = b.x AND a.ey = b.y GROUP BY ALL),
+walk AS (SELECT raster_id, ex AS sx, ey AS sy, nd AS sd, ex AS x, ey AS y, nd AS d, d AS was, 0 AS k FROM nxt WHERE d IN (1, 2, 3, 4) AND nd IN (0, 5, 6, 7)
+  UNION ALL SELECT w.raster_id, sx, sy, sd, n.ex, n.ey, n.nd, n.d, k + 1 FROM walk w JOIN nxt n ON n.raster_id = w.raster_id AND n.x = w.x AND n.y = w.y AND n.d = w.d
+  WHERE (n.ey > sy OR n.ey = sy AND n.ex >= sx) AND NOT (n.ex = sx AND n.ey = sy AND n.nd = sd)),
+whole AS (SELECT raster_id, sx, sy, sd FROM walk w JOIN nxt n USING (raster_id, x, y, d) WHERE n.ex = sx AND n.ey = sy AND n.nd = sd),
+r AS (SELECT raster_id, sx, sy, list(x ORDER BY k) FILTER (d <> was) AS xs, list(y ORDER BY k) FILTER (d <> was) AS ys, count(*) FILTER (d % 2 = 0) + sqrt(2.0) * count(*) FILTER (d % 2 = 1) AS per,
+  sum(x * (y + [0, -1, -1, -1, 0, 1, 1, 1][d + 1]) - (x + [1, 1, 0, -1, -1, -1, 0, 1][d + 1]) * y) / -2.0 AS area FROM walk JOIN whole USING (raster_id, sx, sy, sd) GROUP BY raster_id, sx, sy, sd)
+{result}"""
+
+
+_POINTS = "'POLYGON ((' || array_to_string(list_transform(range(1, len(xs) + 1), lambda i: CAST(xs[i] AS VARCHAR) || '.0 ' || CAST(ys[i] AS VARCHAR) || '.0'), ', ') || ', ' || xs[1] || '.0 ' || ys[1] || '.0))'"
+_MOSAIC_PX = MOSAIC + ", px AS (SELECT 0 AS raster_id, row, col, v FROM mosaic)"
+_MOSAIC_ON = "SELECT raster_id, row, col FROM px WHERE v > 0.15 * (SELECT max(v) FROM px)"
+
 #: The part of a notched box (box b) over [a, b] x [lo, hi]: its upper side is a V from ymax down to low at mid.
 NOTCH = """n AS (SELECT *, (xmin + xmax) / 2 AS mid, ymin + (ymax - ymin) / 4 AS low, 1.5 * (ymax - ymin) / (xmax - xmin) AS slope FROM cut),
 v AS (SELECT *, low + slope * abs(a - mid) AS fa, low + slope * abs(b - mid) AS fb FROM n WHERE a < b AND lo < hi),
@@ -172,6 +200,17 @@ m AS (SELECT raster_id, l, count(*) AS n_cells, sum(CASE WHEN n = 4 THEN 1.0 ELS
   min(col) AS xmin, min(row) AS ymin, max(col) + 1 AS xmax, max(row) + 1 AS ymax, CAST(sum(CASE WHEN n = 4 THEN 1.0 ELSE 0.5 END * mx) AS DOUBLE) AS sx, CAST(sum(CASE WHEN n = 4 THEN 1.0 ELSE 0.5 END * my) AS DOUBLE) AS sy
   FROM cell JOIN lab USING (raster_id, row, col) LEFT JOIN nl USING (raster_id, row, col) GROUP BY raster_id, l)
 SELECT row_number() OVER (ORDER BY raster_id, ymin, xmin, ymax, xmax, area, sx / area, sy / area) - 1 AS id, raster_id, n_cells, CAST(area AS DOUBLE) AS area_m2, round(per, 6) AS perim_m, round(sqrt(area * 4 / pi()), 6) AS a_diam_m, xmin, ymin, xmax, ymax, round(sx / area, 6) AS cx, round(sy / area, 6) AS cy FROM m""",
+    "polygonize_rings": _rings(PX, "SELECT raster_id, row, col FROM (SELECT *, max(v) OVER (PARTITION BY raster_id) AS m FROM px) WHERE v > 0.15 * m", "row IN (0, 7) OR col IN (0, 7)", f"SELECT raster_id, CAST(len(xs) AS INT) AS n_points, CAST(area AS DOUBLE) AS area, round(per, 6) AS perimeter, {_POINTS} AS wkt FROM r"),
+    "polygonize_rings_mosaic": _rings(_MOSAIC_PX, _MOSAIC_ON, "row IN (0, (SELECT max(row) FROM px)) OR col IN (0, 63)", f"SELECT CAST(len(xs) AS INT) AS n_points, CAST(area AS DOUBLE) AS area, round(per, 6) AS perimeter, {_POINTS} AS wkt FROM r"),
+    "dissolve_boxes": f"""WITH RECURSIVE {BOX}, b AS (SELECT box_id AS i, image_id, xmin AS x0, ymin AS y0, xmin + 1 + box_id % 13 AS x1, ymin + 1 + box_id % 11 AS y1 FROM box),
+touch AS (SELECT a.i, b.i AS j FROM b a JOIN b ON a.image_id = b.image_id AND a.i <> b.i AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND (least(a.x1, b.x1) > greatest(a.x0, b.x0) OR least(a.y1, b.y1) > greatest(a.y0, b.y0))),
+reach AS (SELECT i, i AS j FROM b UNION SELECT r.i, t.j FROM reach r JOIN touch t ON t.i = r.j),
+lab AS (SELECT i, min(j) AS part FROM reach GROUP BY i),
+px AS (SELECT DISTINCT image_id, part, x, unnest(range(CAST(y0 AS INT), CAST(y1 AS INT))) AS y FROM (SELECT image_id, part, y0, y1, unnest(range(CAST(x0 AS INT), CAST(x1 AS INT))) AS x FROM b JOIN lab USING (i))),
+beside AS (SELECT part, count(*) AS n FROM px a JOIN (SELECT part, x + dx AS x, y + dy AS y FROM px, (VALUES (0, 1), (1, 0)) AS o(dx, dy)) b USING (part, x, y) GROUP BY part)
+SELECT image_id, CAST(count(*) AS DOUBLE) AS area, CAST(4 * count(*) - 2 * coalesce(any_value(n), 0) AS DOUBLE) AS perimeter, CAST(min(x) AS DOUBLE) AS xmin, CAST(min(y) AS DOUBLE) AS ymin, CAST(max(x) + 1 AS DOUBLE) AS xmax, CAST(max(y) + 1 AS DOUBLE) AS ymax FROM px LEFT JOIN beside USING (part) GROUP BY image_id, part""",
+    "repair_rings": f"""WITH {BOX} SELECT box_id, CAST(CASE box_id % 4 WHEN 1 THEN 2 ELSE 1 END AS INT) AS n_parts, CAST(CASE box_id % 4 WHEN 1 THEN 0 ELSE 1 END AS INT) AS n_single, CAST(CASE box_id % 4 WHEN 1 THEN 6 ELSE 4 END AS INT) AS n_points,
+round((xmax - xmin) * (ymax - ymin) / CASE box_id % 4 WHEN 1 THEN 2 ELSE 1 END, 6) AS area FROM box""",
     "regex_percent": "SELECT event_id, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS percent FROM events",
     "output_names": """WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_partkey AS s FROM part)
 SELECT p_partkey, s || '.shp' AS file, s AS stem, '/out/' || s || '_bb.shp' AS bb, CAST(p_partkey % 9000 AS INT) AS epsg, true AS is_vector FROM p""",
