@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo
-from gridloom.operators import vector
+from gridloom.functions.shared import settle
+from gridloom.operators import metrics, vector
 
 #: Least score of a detection that becomes a feature, and the overlap that suppresses (fixed values).
 LEAST_SCORE, OVERLAP = 0.98, 0.4
 
 
+def overlapping(boxes: DataFrame, threshold: float) -> DataFrame:
+    """better, worse: ids of boxes (id, image_id, xmin .. ymax, gl_rank) of an image with an IoU above threshold.
+
+    A box belongs to the level whose cells are at least as large as it and touches at most four of them.
+    It looks on its own level and on coarser ones, where its partner may live: IoU bounds how much longer
+    one side may be. The cell that the overlap begins in reports the pair, so each comes once.
+    """
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    b = boxes.filter((F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin"))).withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    known = sorted(r[0] for r in b.select("level").distinct().collect())  # powers of two, a few dozen
+    if not known:
+        return boxes.select(F.col("id").alias("better"), F.col("id").alias("worse")).filter("false")
+    up = known[-1] - known[0] if threshold <= 0 else math.ceil(math.log2(1 / threshold)) + 1
+    place = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("at"))).cast("long")
+    names = ["id", "image_id", "xmin", "ymin", "xmax", "ymax", "gl_rank"]
+
+    def cells(d: DataFrame) -> DataFrame:
+        d = d.withColumn("cx", F.explode(F.sequence(place(F.col("xmin")), place(F.col("xmax")))))
+        return d.withColumn("cy", F.explode(F.sequence(place(F.col("ymin")), place(F.col("ymax")))))
+
+    own = cells(b.withColumn("at", F.col("level"))).select("image_id", "at", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names if c != "image_id"])
+    levels = F.filter(F.array(*[F.lit(k) for k in known]), lambda k: (k >= F.col("level")) & (k <= F.col("level") + up))
+    seek = cells(b.withColumn("at", F.explode(levels))).select("level", "at", "cx", "cy", *names)
+    j = seek.join(own, ["image_id", "at", "cx", "cy"]).filter((F.col("id") < F.col("o_id")) | (F.col("level") < F.col("at")) & (F.col("id") != F.col("o_id")))
+    j = j.filter((F.col("cx") == place(F.greatest("xmin", "o_xmin"))) & (F.col("cy") == place(F.greatest("ymin", "o_ymin"))))
+    four = ("xmin", "ymin", "xmax", "ymax")
+    j = j.filter(metrics.box_iou([F.col(c) for c in four], [F.col(f"o_{c}") for c in four]) > threshold)
+    first = F.col("gl_rank") < F.col("o_gl_rank")
+    return j.select(F.when(first, F.col("id")).otherwise(F.col("o_id")).alias("better"), F.when(first, F.col("o_id")).otherwise(F.col("id")).alias("worse"))
+
+
 def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Non-maximum suppression by image: the best box stays, those above threshold IoU with a kept one go.
 
-    Ties in score go to the smaller box_id. An image's boxes are one group: its pixels bound them.
+    Rounds of joins settle the greedy order without bringing an image into one task: what no undecided
+    better box overlaps stays, what it overlaps goes, and only pairs of undecided boxes are looked at
+    again. There are as many rounds as the longest chain of boxes that wait for each other. Of equal boxes
+    only the best takes part, so copies make no pairs; otherwise the pairs are those that do overlap.
+
+    Ties in score go to the smaller box_id; a null score is lower than any, a null box_id is behind all.
+    Boxes without area or with a null coordinate overlap nothing and stay. An empty table stays empty.
     """
-    schema = boxes.schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], kind="stable")
-        x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("xmin", "ymin", "xmax", "ymax"))
-        area, alive, keep = (x1 - x0) * (y1 - y0), np.ones(len(pdf), dtype=bool), []
-        for i in range(len(pdf)):
-            if alive[i]:
-                keep.append(i)
-                w = np.maximum(0, np.minimum(x1[i], x1) - np.maximum(x0[i], x0))
-                h = np.maximum(0, np.minimum(y1[i], y1) - np.maximum(y0[i], y0))
-                union = area[i] + area - w * h
-                alive &= ~(np.divide(w * h, union, out=np.zeros_like(union), where=union > 0) > threshold)
-        return pdf.iloc[keep]
-
-    return boxes.groupBy("image_id").applyInPandas(one, schema)
+    names = boxes.columns
+    b = settle(boxes.withColumn("gl_id", F.monotonically_increasing_id()), "boxes")
+    score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+    rank = F.struct((-score).alias("s"), F.col("box_id").isNull().alias("n"), F.col("box_id").alias("b"), F.col("gl_id").alias("i"))
+    four = [F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    seen = b.select(F.col("gl_id").alias("id"), F.col("image_id"), *four, rank.alias("gl_rank")).filter("xmax > xmin and ymax > ymin")
+    sides = ["image_id", "xmin", "ymin", "xmax", "ymax"]
+    some = settle(seen.groupBy(*sides).agg(F.min_by("id", "gl_rank").alias("id"), F.min("gl_rank").alias("gl_rank")), "distinct-boxes") if threshold < 1 else seen
+    # null images are one group, as for any grouping
+    some = some.withColumn("image_id", F.struct(F.col("image_id").isNull().alias("none"), F.coalesce(F.col("image_id").cast("string"), F.lit("")).alias("name")))
+    pairs = settle(overlapping(some, threshold), "overlaps")
+    gone = []
+    while not pairs.isEmpty():
+        free = pairs.select("better").distinct().join(pairs.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        lost = settle(pairs.join(free, "better", "left_semi").select(F.col("worse").alias("gl_id")).distinct(), "suppressed")
+        gone.append(lost)
+        left = pairs.join(lost.withColumnRenamed("gl_id", "worse"), "worse", "left_anti").join(lost.withColumnRenamed("gl_id", "better"), "better", "left_anti")
+        pairs = settle(left, "overlaps")
+    lost = functools.reduce(DataFrame.unionByName, gone) if gone else b.select("gl_id").filter("false")
+    if threshold < 1:  # the copies that took no part
+        spare = seen.select("id").join(some.select("id"), "id", "left_anti").withColumnRenamed("id", "gl_id")
+        lost = lost.unionByName(spare)
+    return b.join(lost, "gl_id", "left_anti").select(*names)
 
 
 def infer(tiles: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
