@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geo, text
 from gridloom.functions.shared import dense_ids, shared_dir
 from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notched_rings, pixels, placed, plots, points, slanted_rings
-from gridloom.operators import coco, detect, metrics, overlay, polygons, raster, rings, tiling, vector
+from gridloom.operators import coco, detect, metrics, overlay, polygons, raster, rings, runs, tiling, vector
 from gridloom.plans import flows
 from gridloom.plans.oracles import SQL
 from gridloom.sources import files, geotiff
@@ -493,6 +493,58 @@ def segmentation_scores_pixels(spark, sf):
     return s.select("pred_set", "tp", "fp", "fn", *[_r(c) for c in ("dice", "precision_ref", "recall_ref", "accuracy_ref", "precision_textbook")])
 
 
+def _ring_masks(spark, sf):
+    """Targets and two sets of predictions, as rings in arrays: image_id, rings; the predictions with pred_set."""
+    t = slanted_rings(spark, sf).join(boxes(spark, sf).select("box_id", "image_id"), "box_id")
+    moved = lambda dx, dy: F.transform("ring", lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+    sets = F.explode(F.array(F.struct(F.lit("shifted").alias("s"), moved(F.col("box_id") % 5 - 2, 0.25).alias("r")), F.struct(F.lit("lowered").alias("s"), moved(0.0, 3.0).alias("r"))))
+    p = t.withColumn("m", sets).select("image_id", F.col("m.s").alias("pred_set"), F.array("m.r").alias("rings"))
+    return t.select("image_id", F.array("ring").alias("rings")), p
+
+
+@query
+def mask_scores_rings(spark, sf):
+    t, p = _ring_masks(spark, sf)
+    s = runs.run_scores(runs.ring_runs(t), runs.ring_runs(p))
+    return s.select("pred_set", "tp", "fp", "fn", *[_r(c) for c in ("dice", "precision_ref", "recall_ref", "accuracy_ref", "precision_textbook")])
+
+
+@query
+def mask_runs(spark, sf):
+    t = runs.ring_runs(_ring_masks(spark, sf)[0])
+    u, twice = (runs.combine(t, ["image_id", "row"], k).groupBy("image_id").agg(F.sum(F.col("b") - F.col("a")).alias(n), F.count("*").alias(f"{n}_runs")) for k, n in ((1, "any"), (2, "two")))
+    return u.join(twice, "image_id", "left").select("image_id", "any", "any_runs", F.coalesce("two", F.lit(0).cast("long")).alias("two"))
+
+
+@query
+def coco_rle_roundtrip(spark, sf):
+    t = runs.ring_runs(_ring_masks(spark, sf)[0], by="col")
+    sizes = t.select("image_id").distinct().withColumns({"height": F.lit(256), "width": F.lit(256)})
+    packed = runs.coco_counts(t, sizes, ["image_id"]).withColumn("packed", runs.pack_counts(F.col("counts"))).drop("counts")
+    back = runs.coco_runs(packed.withColumn("counts", runs.unpack_counts(F.col("packed"))))
+    each = back.groupBy("image_id").agg(F.sum(F.col("b") - F.col("a")).alias("n"), F.sum(F.col("col") * (F.col("b") - F.col("a"))).alias("cols"), F.sum((F.col("a") + F.col("b") - 1) * (F.col("b") - F.col("a")) / 2).cast("long").alias("rows"))
+    return each.select("image_id", "n", "rows", "cols")
+
+
+def _zones(spark, sf):
+    """Frames with a gap on the mosaic, from boxes: raster_id, zone_id, rings."""
+    e, k = boxes(spark, sf), F.col("box_id")
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w = k * 7 % 50, k * 31 % 480, 6 + k % 9
+    ring = lambda d: F.array(p(x + d, y + d), p(x + w - d, y + d), p(x + w - d, y + w - d), p(x + d, y + w - d))
+    return e.select(F.lit(0).cast("long").alias("raster_id"), k.alias("zone_id"), F.array(ring(0), ring(2)).alias("rings"))
+
+
+@query
+def zonal_polygons(spark, sf):
+    return runs.zonal_polygons(mosaic(spark, sf), _zones(spark, sf)).select("zone_id", "n", "v_min", "v_max", _r("v_mean"))
+
+
+@query
+def raster_crop_polygon(spark, sf):
+    return runs.raster_crop_polygon(mosaic(spark, sf), _zones(spark, sf).filter("zone_id % 10 = 1")).select("row", "col", "v")
+
+
 @query
 def box_iou(spark, sf):
     a, b = boxes(spark, sf), boxes(spark, sf, True).withColumnsRenamed({c: f"p_{c}" for c in ("image_id", "xmin", "ymin", "xmax", "ymax", "score")})

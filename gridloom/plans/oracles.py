@@ -57,6 +57,15 @@ lab AS (SELECT raster_id, row, col, min(r * 8 + c) AS l FROM reach GROUP BY ALL)
 nl AS (SELECT raster_id, r1 AS row, c1 AS col, count(*) AS k FROM link GROUP BY ALL),"""
 
 
+#: Pixels whose centre lies inside the left half of a notched box (moved by dx, dy): a quadrilateral, its upper side falling to a quarter of the height.
+SLANT = f"""{BOX}, q AS (SELECT box_id, image_id, xmin AS x0, (xmin + xmax) / 2 AS x1, ymin AS y0, ymax AS y1, ymin + (ymax - ymin) / 4 AS y2 FROM box),
+s AS (SELECT 't' AS s, 0.0 AS dx, 0.0 AS dy, * FROM q UNION ALL SELECT 'shifted', box_id % 5 - 2, 0.25, * FROM q UNION ALL SELECT 'lowered', 0, 3, * FROM q),
+m AS (SELECT s, image_id, r AS row, c AS col, count(*) AS n FROM (SELECT *, unnest(range(CAST(floor(y0 + dy) AS INT), CAST(ceil(y1 + dy) AS INT) + 1)) AS r FROM (SELECT *, unnest(range(CAST(floor(x0 + dx) AS INT), CAST(ceil(x1 + dx) AS INT) + 1)) AS c FROM s)) p
+  WHERE c + 0.5 >= x0 + dx AND c + 0.5 < x1 + dx AND r + 0.5 >= y0 + dy AND r + 0.5 < y1 + dy AND (r + 0.5 <= y2 + dy OR c + 0.5 < x1 + dx + (r + 0.5 - y2 - dy) / (y1 - y2) * (x0 - x1)) GROUP BY ALL)"""
+_RATIOS = "round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS dice, round(tp / nullif(tp + fn, 0), 6) AS precision_ref, round(tp / nullif(tp + fn, 0), 6) AS recall_ref, round(tp / nullif(tp + fn, 0), 6) AS accuracy_ref, round(tp / nullif(tp + fp, 0), 6) AS precision_textbook"
+ZONES = f"""{MOSAIC}, z AS (SELECT p_partkey AS zone_id, 7 * p_partkey % 50 AS x, 31 * p_partkey % 480 AS y, 6 + p_partkey % 9 AS w FROM part),
+zp AS (SELECT zone_id, row, col, v FROM z JOIN mosaic ON row >= y AND row < y + w AND col >= x AND col < x + w AND NOT (row >= y + 2 AND row < y + w - 2 AND col >= x + 2 AND col < x + w - 2))"""
+
 
 def _rings(px: str, on: str, edge: str, result: str) -> str:
     """Borders of filled masks, edge by edge: px with a mask on_px, the places that lie on a raster's edge, what is told of the rings."""
@@ -211,6 +220,15 @@ beside AS (SELECT part, count(*) AS n FROM px a JOIN (SELECT part, x + dx AS x,
 SELECT image_id, CAST(count(*) AS DOUBLE) AS area, CAST(4 * count(*) - 2 * coalesce(any_value(n), 0) AS DOUBLE) AS perimeter, CAST(min(x) AS DOUBLE) AS xmin, CAST(min(y) AS DOUBLE) AS ymin, CAST(max(x) + 1 AS DOUBLE) AS xmax, CAST(max(y) + 1 AS DOUBLE) AS ymax FROM px LEFT JOIN beside USING (part) GROUP BY image_id, part""",
     "repair_rings": f"""WITH {BOX} SELECT box_id, CAST(CASE box_id % 4 WHEN 1 THEN 2 ELSE 1 END AS INT) AS n_parts, CAST(CASE box_id % 4 WHEN 1 THEN 0 ELSE 1 END AS INT) AS n_single, CAST(CASE box_id % 4 WHEN 1 THEN 6 ELSE 4 END AS INT) AS n_points,
 round((xmax - xmin) * (ymax - ymin) / CASE box_id % 4 WHEN 1 THEN 2 ELSE 1 END, 6) AS area FROM box""",
+    "mask_scores_rings": f"""WITH {SLANT}, k AS (SELECT DISTINCT s AS pred_set, image_id FROM m WHERE s <> 't'), u AS (SELECT pred_set, image_id, row, col, 1 AS t, 0 AS p FROM m JOIN k USING (image_id) WHERE s = 't'
+  UNION ALL SELECT s, image_id, row, col, 0, 1 FROM m WHERE s <> 't' AND image_id IN (SELECT image_id FROM m WHERE s = 't')),
+g AS (SELECT pred_set, max(t) AS t, max(p) AS p FROM u GROUP BY pred_set, image_id, row, col), n AS (SELECT pred_set, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0) AS fp, count(*) FILTER (p = 0) AS fn FROM g GROUP BY pred_set)
+SELECT pred_set, tp, fp, fn, {_RATIOS} FROM n""",
+    "mask_runs": f"""WITH {SLANT}, o AS (SELECT image_id, row, col, n, lag(col) OVER (PARTITION BY image_id, row ORDER BY col) AS l FROM m WHERE s = 't')
+SELECT image_id, count(*) AS "any", count(*) FILTER (l IS NULL OR l <> col - 1) AS any_runs, count(*) FILTER (n > 1) AS two FROM o GROUP BY image_id""",
+    "coco_rle_roundtrip": f"WITH {SLANT} SELECT image_id, count(*) AS n, CAST(sum(row) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM m WHERE s = 't' GROUP BY image_id",
+    "zonal_polygons": f"WITH {ZONES} SELECT zone_id, count(v) AS n, min(v) AS v_min, max(v) AS v_max, round(avg(v), 6) AS v_mean FROM z LEFT JOIN zp USING (zone_id) GROUP BY zone_id",
+    "raster_crop_polygon": f"WITH {ZONES} SELECT DISTINCT row, col, v FROM zp WHERE zone_id % 10 = 1",
     "regex_percent": "SELECT event_id, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS percent FROM events",
     "output_names": """WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_partkey AS s FROM part)
 SELECT p_partkey, s || '.shp' AS file, s AS stem, '/out/' || s || '_bb.shp' AS bb, CAST(p_partkey % 9000 AS INT) AS epsg, true AS is_vector FROM p""",
