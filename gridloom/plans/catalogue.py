@@ -447,6 +447,25 @@ def mask_folder_roundtrip(spark, sf):
     return m.groupBy("file").agg(F.sum("on").alias("n_on"))
 
 
+@query
+def raster_window_read(spark, sf):
+    path, px = _scratch(spark, "window"), mosaic(spark, sf)
+    meta = _mosaic_meta(px).withColumn("epsg", F.lit(3857))
+    geotiff.write(geotiff.encode_rasters(px.withColumn("v", F.floor(F.col("v") * 1000)), meta, dtype="int16", how=geotiff.LZW, predictor=geotiff.HORIZONTAL), path)
+    w = geotiff.read(spark, path, rows=(100, 399), cols=(5, 40))
+    return w.select("row", "col", F.col("v").cast("int").alias("v"))
+
+
+@query
+def png_folder_roundtrip(spark, sf):
+    path = _scratch(spark, "png")
+    three = pixels(spark, sf).withColumns({"r": F.abs(F.floor("v")) * 40 % 256, "g": F.floor(F.abs("v") * 100) % 256, "b": F.col("col") * 30})
+    geotiff.write(geotiff.encode_png(three, ("r", "g", "b")), path, "image_", ".png")
+    g = geotiff.read(spark, path, ("r", "g", "b"), ".png")
+    s = [F.sum(F.col(c) * (F.col("row") * 8 + F.col("col"))).cast("long").alias(c) for c in "rgb"]
+    return geotiff.metadata(spark, path).select("file", "height", "width", "count").join(g.groupBy("file").agg(*s), "file")
+
+
 @query
 def export_dataset(spark, sf):
     path, px = _scratch(spark, "export"), mosaic(spark, sf)

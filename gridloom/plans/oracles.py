@@ -229,6 +229,8 @@ SELECT image_id, count(*) AS "any", count(*) FILTER (l IS NULL OR l <> col - 1)
     "coco_rle_roundtrip": f"WITH {SLANT} SELECT image_id, count(*) AS n, CAST(sum(row) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM m WHERE s = 't' GROUP BY image_id",
     "zonal_polygons": f"WITH {ZONES} SELECT zone_id, count(v) AS n, min(v) AS v_min, max(v) AS v_max, round(avg(v), 6) AS v_mean FROM z LEFT JOIN zp USING (zone_id) GROUP BY zone_id",
     "raster_crop_polygon": f"WITH {ZONES} SELECT DISTINCT row, col, v FROM zp WHERE zone_id % 10 = 1",
+    "raster_window_read": f"WITH {MOSAIC} SELECT row, col, CAST(floor(v * 1000) AS INT) AS v FROM mosaic WHERE row BETWEEN 100 AND 399 AND col BETWEEN 5 AND 40",
+    "png_folder_roundtrip": f"WITH {PX} SELECT 'image_' || raster_id || '.png' AS file, 8 AS height, 8 AS width, 3 AS count, " + ", ".join(f"CAST(sum(({e}) * (row * 8 + col)) AS BIGINT) AS {c}" for c, e in (("r", "abs(floor(v)) * 40 % 256"), ("g", "floor(abs(v) * 100) % 256"), ("b", "col * 30"))) + " FROM px GROUP BY raster_id",
     "regex_percent": "SELECT event_id, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS percent FROM events",
     "output_names": """WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_partkey AS s FROM part)
 SELECT p_partkey, s || '.shp' AS file, s AS stem, '/out/' || s || '_bb.shp' AS bb, CAST(p_partkey % 9000 AS INT) AS epsg, true AS is_vector FROM p""",

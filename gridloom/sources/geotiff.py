@@ -1,11 +1,13 @@
-"""GeoTIFF rasters as pixel tables and back: baseline files, plain or deflated, in strips or tiles.
+"""GeoTIFF rasters as pixel tables and back: baseline files, plain, deflated or LZW, in strips or tiles.
 
-A file is decoded by one task as a whole, so it should be a tile or a scene of at most 2 GB (the bound
-of Spark's binary reader); larger rasters are to be stored as many tiles.
+Files are read and written by the source of ``rasters``, which deals the strips and tiles of a large file
+to many tasks. Where only Spark can open a store, a file is decoded by one task as a whole (up to 2 GB).
 """
 
 from __future__ import annotations
 
+import dataclasses
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources import codecs, rasters
+
 # tags, field types and keys of the file format (fixed values)
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT, PIXEL_SCALE, TIEPOINT, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
 MODEL_KEY, GEOGRAPHIC_KEY, PROJECTED_KEY = 1024, 2048, 3072
-PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
+PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+HORIZONTAL = 2
 KINDS = {1: "u", 2: "i", 3: "f"}
 
 META = "file string, height int, width int, count int, dtype string, epsg int, xmin double, ymin double, xmax double, ymax double, nodata double"
@@ -29,29 +34,35 @@ META = "file string, height int, width int, count int, dtype string, epsg int, x
 BATCH = 1 << 16
 
 
-def tags(content: bytes) -> tuple[str, dict[int, tuple]]:
-    """The byte order and the first directory's values."""
+def tags(content) -> tuple[str, dict[int, tuple]]:
+    """The byte order and the first directory's values; content is bytes, or anything that gives slices of them."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
-    if order is None or struct.unpack_from(order + "H", content, 2)[0] != 42:
+    unpack = lambda form, at: struct.unpack(form, content[at : at + struct.calcsize(form)])
+    if order is None or unpack(order + "H", 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    out = {}
-    for i in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", content, at + 2 + 12 * i)
+    at = unpack(order + "I", 4)[0]
+    n = unpack(order + "H", at)[0]
+    entries, out = content[at + 2 : at + 2 + 12 * n], {}
+    for i in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * i)
         if kind in TYPES:
-            form = f"{order}{n}{TYPES[kind]}"
-            place = at + 10 + 12 * i
+            form = f"{order}{count}{TYPES[kind]}"
             if struct.calcsize(form) > 4:
-                place = struct.unpack_from(order + "I", content, place)[0]
-            out[tag] = struct.unpack_from(form, content, place)
+                out[tag] = unpack(form, struct.unpack_from(order + "I", entries, 12 * i + 8)[0])
+            else:
+                out[tag] = struct.unpack_from(form, entries, 12 * i + 8)
     return order, out
 
 
-def describe(name: str, content: bytes) -> dict:
+def describe(name: str, content) -> dict:
     """A row of META: the extent and system are null where the file has none."""
+    row = dict.fromkeys(f.split()[0] for f in META.split(", ")) | {"file": name}
+    if bytes(content[:8]) == codecs.SIGNATURE:
+        h, w, depth, colour, _ = codecs.png_head(content)
+        return row | {"height": h, "width": w, "count": 3 if colour == codecs.PALETTE else codecs.SAMPLES[colour], "dtype": "u2" if depth == 16 else "u1"}
     _, t = tags(content)
     h, w = t[HEIGHT][0], t[WIDTH][0]
-    row = {"file": name, "height": h, "width": w, "count": t.get(SAMPLES, (1,))[0], "dtype": KINDS[t.get(FORMAT, (1,))[0]] + str(t.get(BITS, (1,))[0] // 8), "epsg": None, "xmin": None, "ymin": None, "xmax": None, "ymax": None, "nodata": None}
+    row |= {"height": h, "width": w, "count": t.get(SAMPLES, (1,))[0], "dtype": KINDS[t.get(FORMAT, (1,))[0]] + str(t.get(BITS, (1,))[0] // 8)}
     if PIXEL_SCALE in t and TIEPOINT in t:
         (sx, sy, *_), (i, j, _, x, y, *_) = t[PIXEL_SCALE], t[TIEPOINT]
         x, y = x - i * sx, y + j * sy
@@ -64,61 +75,121 @@ def describe(name: str, content: bytes) -> dict:
     return row
 
 
-def decode(content: bytes) -> np.ndarray:
-    """Pixels, height x width x bands."""
+@dataclasses.dataclass
+class Layout:
+    """Where a file's blocks (strips or tiles, row by row) are and how they are made."""
+
+    height: int
+    width: int
+    bands: int
+    block_height: int
+    block_width: int
+    at: tuple
+    size: tuple
+    dtype: np.dtype
+    how: int
+    predictor: int
+
+    def place(self, k: int) -> tuple[int, int]:
+        """The first row and column of block k."""
+        across = -(-self.width // self.block_width)
+        return k // across * self.block_height, k % across * self.block_width
+
+    def decode(self, k: int, raw: bytes) -> np.ndarray:
+        """The pixels of block k that lie in the raster, height x width x bands."""
+        data = raw if self.how == PLAIN else codecs.lzw_decode(raw) if self.how == LZW else zlib.decompress(raw)
+        block = np.frombuffer(data, dtype=self.dtype)
+        line = self.block_width * self.bands
+        block = block[: len(block) // line * line].reshape(-1, self.block_width, self.bands).astype(self.dtype.newbyteorder("="))  # the last strip may be shorter
+        if self.predictor == HORIZONTAL:
+            block = codecs.add_up(block)
+        r, c = self.place(k)
+        return block[: self.height - r, : self.width - c]
+
+
+def layout(content) -> Layout:
     order, t = tags(content)
     h, w, n = t[HEIGHT][0], t[WIDTH][0], t.get(SAMPLES, (1,))[0]
-    how = t.get(COMPRESSION, (PLAIN,))[0]
-    if how not in (PLAIN, DEFLATE, OLD_DEFLATE) or t.get(PREDICTOR, (1,))[0] != 1 or t.get(PLANAR, (1,))[0] != 1 or t.get(BITS, (1,))[0] % 8:
-        raise ValueError("only plain or deflated pixels of whole bytes, band by band within a pixel, are read")
-    dtype = np.dtype(f"{order}{KINDS[t.get(FORMAT, (1,))[0]]}{t[BITS][0] // 8}")
+    how, predictor, kind = t.get(COMPRESSION, (PLAIN,))[0], t.get(PREDICTOR, (1,))[0], KINDS[t.get(FORMAT, (1,))[0]]
+    if how not in (PLAIN, LZW, DEFLATE, OLD_DEFLATE) or predictor not in (1, HORIZONTAL) or predictor == HORIZONTAL and kind == "f" or t.get(PLANAR, (1,))[0] != 1 or t.get(BITS, (1,))[0] % 8:
+        raise ValueError("only plain, deflated or LZW pixels of whole bytes, band by band within a pixel, are read")
+    dtype = np.dtype(f"{order}{kind}{t[BITS][0] // 8}")
     if TILES in t:
-        bh, bw, at, size = t[TILE_HEIGHT][0], t[TILE_WIDTH][0], t[TILES], t[TILE_BYTES]
-    else:
-        bh, bw, at, size = min(t.get(STRIP_ROWS, (h,))[0], h), w, t[STRIPS], t[STRIP_BYTES]
-    out = np.zeros((h, w, n), dtype=dtype.newbyteorder("="))
-    across = -(-w // bw)
-    for k, (a, s) in enumerate(zip(at, size, strict=True)):
-        raw = content[a : a + s]
-        block = np.frombuffer(raw if how == PLAIN else zlib.decompress(raw), dtype=dtype)
-        block = block[: len(block) // (bw * n) * bw * n].reshape(-1, bw, n)  # the last strip may be shorter
-        r, c = k // across * bh, k % across * bw
-        part = out[r : r + bh, c : c + bw]
-        part[...] = block[: part.shape[0], : part.shape[1]]
+        return Layout(h, w, n, t[TILE_HEIGHT][0], t[TILE_WIDTH][0], t[TILES], t[TILE_BYTES], dtype, how, predictor)
+    return Layout(h, w, n, min(t.get(STRIP_ROWS, (h,))[0], h), w, t[STRIPS], t[STRIP_BYTES], dtype, how, predictor)
+
+
+def decode(content: bytes) -> np.ndarray:
+    """Pixels, height x width x bands, of a TIFF or PNG file."""
+    if content[:8] == codecs.SIGNATURE:
+        return codecs.png_decode(content)
+    y = layout(content)
+    out = np.zeros((y.height, y.width, y.bands), dtype=y.dtype.newbyteorder("="))
+    for k, (a, s) in enumerate(zip(y.at, y.size, strict=True)):
+        part, (r, c) = y.decode(k, content[a : a + s]), y.place(k)
+        out[r : r + part.shape[0], c : c + part.shape[1]] = part
     return out
 
 
-def encode(pixels: np.ndarray, extent: tuple[float, float, float, float], epsg: int | None, deflate: bool = True) -> bytes:
-    """A file of pixels (height x width x bands, unsigned bytes or floats) in one strip."""
+#: Bytes of pixels in a strip.
+STRIP = 1 << 16
+
+
+def encode(pixels: np.ndarray, extent: tuple[float, float, float, float], epsg: int | None, deflate: bool = True, how: int | None = None, predictor: int = 1, strip: int = STRIP) -> bytes:
+    """A file of pixels (height x width x bands) in strips of about so many bytes.
+
+    how is PLAIN, LZW or DEFLATE (by default what deflate says); predictor HORIZONTAL stores whole numbers
+    as differences to the pixel on the left.
+    """
     h, w, n = pixels.shape
     kind = {"u": 1, "i": 2, "f": 3}[pixels.dtype.kind]
-    data = pixels.astype(pixels.dtype.newbyteorder("<")).tobytes()
-    data = zlib.compress(data) if deflate else data
+    how = (DEFLATE if deflate else PLAIN) if how is None else how
+    if predictor == HORIZONTAL and kind == 3:
+        raise ValueError("differences are stored of whole numbers only")
+    rows = max(1, min(h, strip // max(1, w * n * pixels.dtype.itemsize)))
+    little = pixels.astype(pixels.dtype.newbyteorder("<"))
+    blocks = []
+    for r in range(0, h, rows):
+        part = little[r : r + rows]
+        raw = (codecs.differences(part) if predictor == HORIZONTAL else part).tobytes()
+        blocks.append(zlib.compress(raw) if how == DEFLATE else codecs.lzw_encode(raw) if how == LZW else raw)
+    sizes = [len(x) for x in blocks]
+    ahead = [0, *itertools.accumulate(sizes[:-1])]
     xmin, ymin, xmax, ymax = extent
-    fields = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (pixels.dtype.itemsize * 8,) * n), (COMPRESSION, 3, (DEFLATE if deflate else PLAIN,)), (PHOTOMETRIC, 3, (2 if n == 3 else 1,)), (STRIPS, 4, (0,)), (SAMPLES, 3, (n,)), (STRIP_ROWS, 4, (h,)), (STRIP_BYTES, 4, (len(data),)), (PLANAR, 3, (1,)), (FORMAT, 3, (kind,) * n), (PIXEL_SCALE, 12, ((xmax - xmin) / w, (ymax - ymin) / h, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, xmin, ymax, 0.0))]
-    if epsg is not None:
-        flat = epsg == 4326
-        fields.append((GEO_KEYS, 3, (1, 1, 0, 2, MODEL_KEY, 0, 1, 2 if flat else 1, GEOGRAPHIC_KEY if flat else PROJECTED_KEY, 0, 1, epsg)))
-    body, entries, after = b"", [], 8 + 2 + 12 * len(fields) + 4
-    for tag, t, values in fields:
-        raw = struct.pack(f"<{len(values)}{TYPES[t]}", *values)
-        if len(raw) > 4:
-            entries.append([tag, t, len(values), struct.pack("<I", after + len(body))])
-            body += raw + b"\x00" * (len(raw) % 2)
-        else:
-            entries.append([tag, t, len(values), raw.ljust(4, b"\x00")])
-    next(e for e in entries if e[0] == STRIPS)[3] = struct.pack("<I", after + len(body))
-    return b"II*\x00" + struct.pack("<IH", 8, len(fields)) + b"".join(struct.pack("<HHI", *e[:3]) + e[3] for e in entries) + b"\x00" * 4 + body + data
+
+    def directory(start: int) -> bytes:
+        """Everything before the blocks, which begin at start."""
+        fields = [
+            (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (pixels.dtype.itemsize * 8,) * n), (COMPRESSION, 3, (how,)), (PHOTOMETRIC, 3, (2 if n == 3 else 1,)),
+            (STRIPS, 4, [start + x for x in ahead]), (SAMPLES, 3, (n,)), (STRIP_ROWS, 4, (rows,)), (STRIP_BYTES, 4, sizes), (PLANAR, 3, (1,)), (PREDICTOR, 3, (predictor,)),
+            (FORMAT, 3, (kind,) * n), (PIXEL_SCALE, 12, ((xmax - xmin) / w, (ymax - ymin) / h, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, xmin, ymax, 0.0)),
+        ]
+        if epsg is not None:
+            flat = epsg == 4326
+            fields.append((GEO_KEYS, 3, (1, 1, 0, 2, MODEL_KEY, 0, 1, 2 if flat else 1, GEOGRAPHIC_KEY if flat else PROJECTED_KEY, 0, 1, epsg)))
+        body, entries, after = b"", b"", 8 + 2 + 12 * len(fields) + 4
+        for tag, t, values in fields:
+            raw = struct.pack(f"<{len(values)}{TYPES[t]}", *values)
+            entries += struct.pack("<HHI", tag, t, len(values))
+            if len(raw) > 4:
+                entries += struct.pack("<I", after + len(body))
+                body += raw + b"\x00" * (len(raw) % 2)
+            else:
+                entries += raw.ljust(4, b"\x00")
+        return b"II*\x00" + struct.pack("<IH", 8, len(fields)) + entries + b"\x00" * 4 + body
+
+    return b"".join((directory(len(directory(0))), *blocks))
 
 
 def _files(spark: SparkSession, path: str, ending: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", "true").load(path)
-    in_folder = F.regexp_extract("path", r"file=([^/]+)/[^/]*$", 1)
-    return found.select(F.when(in_folder != "", in_folder).otherwise(F.substring_index("path", "/", -1)).alias("file"), "content")
+    return found.select(F.substring_index("path", "/", -1).alias("file"), "content")
 
 
 def metadata(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
-    """A row of META for each file of a folder."""
+    """A row of META for each file of a folder; only the heads of the files are read."""
+    if rasters.opens(path):
+        return rasters.load(spark, path, ending=ending, heads=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,8 +199,13 @@ def metadata(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
     return _files(spark, path, ending).mapInArrow(run, META)
 
 
-def read(spark: SparkSession, path: str, bands: tuple[str, ...] = ("v",), ending: str = "") -> DataFrame:
-    """file, row, col and the first bands of the files of a folder; a band that a file lacks is null, nodata are null."""
+def read(spark: SparkSession, path: str, bands: tuple[str, ...] = ("v",), ending: str = "", rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """file, row, col and the first bands of the files of a folder; a band that a file lacks is null, nodata are null.
+
+    rows and cols (first, last) make a window; strips and tiles outside it are not read.
+    """
+    if rasters.opens(path):
+        return rasters.load(spark, path, bands, ending, rows, cols)
     names = list(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,28 +221,55 @@ def read(spark: SparkSession, path: str, bands: tuple[str, ...] = ("v",), ending
                     values = [pa.array(part[:, i], mask=part[:, i] == nodata) if i < n else pa.array(np.zeros(len(part)), mask=none) for i in range(len(names))]
                     yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(part)), pa.array((at // w).astype(np.int32)), pa.array((at % w).astype(np.int32)), *values], names=["file", "row", "col", *names])
 
-    return _files(spark, path, ending).mapInArrow(run, "file string, row int, col int, " + ", ".join(f"{c} double" for c in names))
+    px = _files(spark, path, ending).mapInArrow(run, "file string, row int, col int, " + ", ".join(f"{c} double" for c in names))
+    for name, within in (("row", rows), ("col", cols)):
+        px = px if within is None else px.filter(F.col(name).between(*within))
+    return px
 
 
-def encode_rasters(px: DataFrame, meta: DataFrame, bands: tuple[str, ...] = ("v",), dtype: str = "float32") -> DataFrame:
+def encode_rasters(px: DataFrame, meta: DataFrame, bands: tuple[str, ...] = ("v",), dtype: str = "float32", how: int = DEFLATE, predictor: int = 1) -> DataFrame:
     """raster_id, content: a file of each raster of px (raster_id, row, col, bands), which has to fit a task.
 
-    meta: raster_id, xmin, ymin, xmax, ymax, width, height, epsg. Pixels that px lacks or that are null are 0.
+    meta: raster_id, xmin, ymin, xmax, ymax, width, height, epsg. Pixels that px lacks or that are null are 0;
+    whole-number types cut decimals off. A pixel outside the raster, or a value that the type can't
+    hold, stops it. how and predictor are those of encode().
     """
     whole = px.select("raster_id", "row", "col", *bands).join(meta.select("raster_id", "xmin", "ymin", "xmax", "ymax", "width", "height", "epsg"), "raster_id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.iloc[0]
-        out = np.zeros((int(m["height"]), int(m["width"]), len(bands)), dtype=dtype)
-        out[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = np.nan_to_num(pdf[list(bands)].to_numpy(dtype=np.float64))
+        h, w = int(m["height"]), int(m["width"])
+        out = np.zeros((h, w, len(bands)), dtype=dtype)
+        r, c, v = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf[list(bands)].to_numpy(dtype=np.float64)
+        if not ((r >= 0) & (r < h) & (c >= 0) & (c < w)).all():
+            raise ValueError(f"raster {m['raster_id']} has pixels outside its {h} x {w}")
+        v = np.where(np.isnan(v), 0, v)
+        if out.dtype.kind != "f" and ((v <= np.iinfo(dtype).min - 1) | (v >= np.iinfo(dtype).max + 1)).any():
+            raise ValueError(f"raster {m['raster_id']} has values that are none of {dtype}")
+        out[r, c] = v
         epsg = None if pd.isna(m["epsg"]) else int(m["epsg"])
-        return pd.DataFrame({"raster_id": pdf["raster_id"].iloc[:1], "content": [encode(out, (m["xmin"], m["ymin"], m["xmax"], m["ymax"]), epsg)]})
+        return pd.DataFrame({"raster_id": pdf["raster_id"].iloc[:1], "content": [encode(out, (m["xmin"], m["ymin"], m["xmax"], m["ymax"]), epsg, how=how, predictor=predictor)]})
 
     kind = px.schema["raster_id"].dataType.simpleString()
     return whole.groupBy("raster_id").applyInPandas(one, f"raster_id {kind}, content binary")
 
 
-def write(rasters: DataFrame, path: str, prefix: str = "tile_") -> None:
-    """Encoded rasters as files, each in a folder file=<prefix><raster_id>.tif; a null byte follows the file's own end."""
-    named = rasters.select(F.concat(F.lit(prefix), F.col("raster_id").cast("string"), F.lit(".tif")).alias("file"), F.col("content").cast("string").alias("value"))
-    named.write.partitionBy("file").option("lineSep", "\x00").mode("errorifexists").text(path)
+def encode_png(px: DataFrame, bands: tuple[str, ...] = ("v",)) -> DataFrame:
+    """raster_id, content: a PNG file of 8 bits of each raster of px (raster_id, row, col, bands), which has to fit a task; null is 0."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, v = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf[list(bands)].to_numpy(dtype=np.float64)
+        v = np.where(np.isnan(v), 0, v)
+        if (r < 0).any() or (c < 0).any() or (v <= -1).any() or (v >= 256).any():
+            raise ValueError(f"raster {pdf['raster_id'].iloc[0]} has places below 0 or values that 8 bits can't hold")
+        out = np.zeros((r.max() + 1, c.max() + 1, len(bands)), dtype=np.uint8)
+        out[r, c] = v
+        return pd.DataFrame({"raster_id": pdf["raster_id"].iloc[:1], "content": [codecs.png_encode(out)]})
+
+    kind = px.schema["raster_id"].dataType.simpleString()
+    return px.select("raster_id", "row", "col", *bands).groupBy("raster_id").applyInPandas(one, f"raster_id {kind}, content binary")
+
+
+def write(encoded: DataFrame, path: str, prefix: str = "tile_", ending: str = ".tif") -> None:
+    """Encoded rasters as files <prefix><raster_id><ending> of a folder; an existing one stops it, and then nothing is written."""
+    rasters.save(encoded.select(F.concat(F.lit(prefix), F.col("raster_id").cast("string"), F.lit(ending)).alias("file"), "content"), path)
