@@ -14,7 +14,7 @@ from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notche
 from gridloom.operators import coco, detect, metrics, overlay, polygons, raster, rings, runs, tiling, vector
 from gridloom.plans import flows
 from gridloom.plans.oracles import SQL
-from gridloom.sources import files, geotiff
+from gridloom.sources import files, geotiff, shapes
 
 #: Side of the mosaic's tiles in the queries, grid divisions, and pixels of an exported tile.
 SIDE, DIVISIONS, EXPORT = 16, 4, 256
@@ -447,6 +447,33 @@ def mask_folder_roundtrip(spark, sf):
     return m.groupBy("file").agg(F.sum("on").alias("n_on"))
 
 
+@query
+def shapefile_roundtrip(spark, sf):
+    path = _scratch(spark, "shapes")
+    f = vector.measure_rings(slanted_rings(spark, sf)).withColumn("odd", F.col("box_id") % 2 == 1)
+    for kind, ending in files.LAYERS.items():
+        shapes.write(f, path, f"trees{ending}", kind, 3857)
+    back = shapes.read(spark, path)
+    layer = F.regexp_extract("file", "_vector([a-z_]*?)(_[0-9]+)?[.]shp$", 1)
+    x0, y0, x1, y1 = vector.envelope(F.flatten("parts"))
+    return back.select(F.concat(F.lit("layer"), layer).alias("layer"), "box_id", "class", "odd", *[_n(F.col(c)).alias(c) for c in ("area_m2", "perim_m")], *[_n(c).alias(n) for n, c in (("xmin", x0), ("ymin", y0), ("xmax", x1), ("ymax", y1))], F.size(F.flatten("parts")).alias("n_points"))
+
+
+@query
+def polygon_layer(spark, sf):
+    path = _scratch(spark, "polygons")
+    r = rings.ring_features(rings.polygonize_rings(_mask(spark, sf)), _unit_meta(spark, sf))
+    shapes.write(r.select("id", "raster_id", "class", "ring"), path, "trees_vector", epsg=6933)
+    p = shapes.as_polygons(shapes.read(spark, path))
+    return p.select("raster_id", F.size("ring").alias("n_points"), _n(vector.ring_area(F.col("ring")), 3).alias("area"), _n(vector.ring_perimeter(F.col("ring")), 3).alias("perimeter"))
+
+
+def _unit_meta(spark, sf):
+    """Every raster as 8 x 8 units of an equal-area system."""
+    e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("raster_id"))
+    return e.select("raster_id", F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(8.0).alias("xmax"), F.lit(8.0).alias("ymax"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(6933).alias("epsg"))
+
+
 @query
 def raster_window_read(spark, sf):
     path, px = _scratch(spark, "window"), mosaic(spark, sf)

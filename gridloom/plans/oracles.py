@@ -231,6 +231,13 @@ SELECT image_id, count(*) AS "any", count(*) FILTER (l IS NULL OR l <> col - 1)
     "raster_crop_polygon": f"WITH {ZONES} SELECT DISTINCT row, col, v FROM zp WHERE zone_id % 10 = 1",
     "raster_window_read": f"WITH {MOSAIC} SELECT row, col, CAST(floor(v * 1000) AS INT) AS v FROM mosaic WHERE row BETWEEN 100 AND 399 AND col BETWEEN 5 AND 40",
     "png_folder_roundtrip": f"WITH {PX} SELECT 'image_' || raster_id || '.png' AS file, 8 AS height, 8 AS width, 3 AS count, " + ", ".join(f"CAST(sum(({e}) * (row * 8 + col)) AS BIGINT) AS {c}" for c, e in (("r", "abs(floor(v)) * 40 % 256"), ("g", "floor(abs(v) * 100) % 256"), ("b", "col * 30"))) + " FROM px GROUP BY raster_id",
+    "polygon_layer": _rings(PX, "SELECT raster_id, row, col FROM (SELECT *, max(v) OVER (PARTITION BY raster_id) AS m FROM px) WHERE v > 0.15 * m", "row IN (0, 7) OR col IN (0, 7)", "SELECT raster_id, CAST(len(xs) AS INT) AS n_points, round(CAST(area AS DOUBLE) + 1e-9, 3) AS area, round(per + 1e-9, 3) AS perimeter FROM r"),
+    "shapefile_roundtrip": f"""WITH {BOX}, p AS (SELECT box_id, xmin, (xmin + xmax) / 2 AS xm, xmax, ymin, ymax, ymin + (ymax - ymin) / 4 AS yn FROM box),
+m AS (SELECT *, (xm - xmin) * ((yn - ymin) + (ymax - ymin)) / 2 AS area, (xm - xmin) + (yn - ymin) + (ymax - ymin) + sqrt((xm - xmin) * (xm - xmin) + (ymax - yn) * (ymax - yn)) AS per,
+  (xm - xmin) * ((yn - ymin) + (ymax - ymin)) / 2 AS a, ymax - ymin AS h0, yn - ymin AS h1, xm - xmin AS w FROM p),
+c AS (SELECT *, xmin + w * (h0 + 2 * h1) / (3 * (h0 + h1)) AS cx, ymin + (h0 * h0 + h0 * h1 + h1 * h1) / (3 * (h0 + h1)) AS cy FROM m)
+SELECT layer, box_id, 'Tree' AS class, box_id % 2 = 1 AS odd, round(area + 1e-9, 6) AS area_m2, round(per + 1e-9, 6) AS perim_m, round(x0 + 1e-9, 6) AS xmin, round(y0 + 1e-9, 6) AS ymin, round(x1 + 1e-9, 6) AS xmax, round(y1 + 1e-9, 6) AS ymax, n AS n_points FROM (
+SELECT *, 'layer' AS layer, xmin AS x0, ymin AS y0, xm AS x1, ymax AS y1, 4 AS n FROM c UNION ALL SELECT *, 'layer_bb', xmin, ymin, xm, ymax, 4 FROM c UNION ALL SELECT *, 'layer_centroids', cx, cy, cx, cy, 1 FROM c)""",
     "regex_percent": "SELECT event_id, TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS percent FROM events",
     "output_names": """WITH p AS (SELECT p_partkey, replace(p_brand, '#', '_') || '_' || p_partkey AS s FROM part)
 SELECT p_partkey, s || '.shp' AS file, s AS stem, '/out/' || s || '_bb.shp' AS bb, CAST(p_partkey % 9000 AS INT) AS epsg, true AS is_vector FROM p""",
