@@ -103,6 +103,16 @@ def run_scores(target: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.withColumns(_ratios(F.col("tp").cast("double"), F.col("fp"), F.col("fn")))
 
 
+def boxed(runs: DataFrame, keys: list[str], margin: int = 1) -> DataFrame:
+    """keys, row, col, on: every pixel of the box around the runs of equal keys and margin pixels more."""
+    box = runs.filter("b > a").groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("a").alias("c0"), F.max("b").alias("c1"))
+    rows = F.explode(F.sequence(F.col("r0") - margin, F.col("r1") + margin))
+    cols = F.explode(F.sequence(F.col("c0") - margin, F.col("c1") - 1 + margin))
+    every = box.withColumn("row", rows).withColumn("col", cols).select(*keys, "row", "col")
+    on = pixels_of(combine(runs, [*keys, "row"])).withColumn("on", F.lit(True))
+    return every.join(on, [*keys, "row", "col"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+
+
 # --- COCO run lengths --------------------------------------------------------------------------
 
 

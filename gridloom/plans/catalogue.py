@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geo, text
 from gridloom.functions.shared import dense_ids, shared_dir
 from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notched_rings, pixels, placed, plots, points, slanted_rings
-from gridloom.operators import coco, detect, metrics, overlay, polygons, raster, rings, runs, tiling, vector
+from gridloom.operators import coco, detect, instances, metrics, overlay, polygons, raster, rings, runs, tiling, vector
 from gridloom.plans import flows
 from gridloom.plans.oracles import SQL
 from gridloom.sources import files, geotiff, shapes
@@ -611,6 +611,63 @@ def detections_layer(spark, sf):
     return d.select("box_id", "class", _r("area_m2"), *[_r(c) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")])
 
 
+def _segmenter():
+    """A stand-in for weights: every box of the image's row, with a last column that is too unlikely."""
+    import numpy as np
+
+    def find(row):
+        for b in row["boxes"]:
+            mask = np.zeros((300, 300), dtype=np.float32)
+            y0, y1, x0, x1 = int(b["ymin"]), int(b["ymax"]), int(b["xmin"]), int(b["xmax"])
+            mask[y0:y1, x0:x1] = 0.95
+            mask[y0:y1, x1] = 0.65
+            yield (b["xmin"], b["ymin"], b["xmax"], b["ymax"]), b["score"], mask
+
+    return find
+
+
+def _image_rows(spark, sf):
+    listed = F.array_sort(F.collect_list(F.struct("box_id", "xmin", "ymin", "xmax", "ymax", "score")))
+    return boxes(spark, sf).groupBy("image_id").agg(listed.alias("boxes"))
+
+
+def _image_meta(spark, sf):
+    x = F.col("image_id") * 1000.0
+    return boxes(spark, sf).select("image_id").distinct().select("image_id", x.alias("xmin"), F.lit(500.0).alias("ymin"), (x + 600).alias("xmax"), F.lit(1100.0).alias("ymax"), F.lit(300).alias("width"), F.lit(300).alias("height"), F.lit(6933).alias("epsg"))
+
+
+@query
+def instance_polygons(spark, sf):
+    found = instances.segment(_image_rows(spark, sf), _segmenter)
+    p = instances.polygons(found, _image_meta(spark, sf), 0.2)
+    return p.select("image_id", "instance", _r("score"), F.size("ring").alias("n_points"), *[_n(F.col(c), 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def _detector():
+    """A stand-in for weights: the boxes of the images' rows, their numbers above zero."""
+    import pandas as pd
+
+    names = ["image_id", "box_id", "xmin", "ymin", "xmax", "ymax", "score"]
+    return lambda b: pd.DataFrame([(i, *(x[c] for c in names[1:])) for i, found in zip(b["image_id"], b["boxes"], strict=True) for x in found], columns=names)
+
+
+@query
+def detect_objects(spark, sf):
+    path = _scratch(spark, "detected")
+    written = flows.detect_objects(_image_rows(spark, sf), _detector, _image_meta(spark, sf), path, "crowns", ("bounding_boxes", "centroids"), 0.905)
+    b, c = (spark.read.parquet(p) for p in written)
+    return b.join(c.select("box_id", "cx", "cy"), "box_id").select("box_id", "class", _r("area_m2"), *[_r(x) for x in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")])
+
+
+@query
+def binary_rasters(spark, sf):
+    path = _scratch(spark, "binary")
+    flows.binary_rasters(pixels(spark, sf), placed(spark, sf), path, PERCENT)
+    listed = files.read_mask_list(spark, path, ".tif").select("id", "file_name")
+    n = geotiff.read(spark, path, ending=".tif").groupBy("file").agg(F.sum((F.col("v") == 255).cast("long")).alias("n_set"), F.count("*").alias("n"))
+    return listed.join(n, listed["file_name"] == n["file"]).select("id", "file_name", "n_set", "n")
+
+
 @query
 def probability_cut(spark, sf):
     m = pixels(spark, sf).select(F.col("zone").alias("image_id"), "row", "col", (F.abs("v") * 2).alias("prob"))

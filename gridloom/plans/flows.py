@@ -18,6 +18,15 @@ def raster_to_vector(px: DataFrame, meta: DataFrame, percent: float = 15.0, side
     return polygons.measure_georeferenced(on, meta, side)
 
 
+def binary_rasters(px: DataFrame, meta: DataFrame, path: str, percent: float = 15.0, prefix: str = "mask_") -> None:
+    """Rasters (raster_id, row, col, v) as files of 0 and 255, set where v exceeds percent % of the raster's maximum.
+
+    meta: raster_id, xmin, ymin, xmax, ymax, width, height, epsg; a raster without it has no file.
+    """
+    m = raster.threshold_global(px, percent).select("raster_id", "row", "col", F.col("mask").alias("v"))
+    geotiff.write(geotiff.encode_rasters(m, meta, dtype="uint8"), path, prefix)
+
+
 def export_dataset(path: str, px: DataFrame, meta: DataFrame, rings: DataFrame, n: int, bands: tuple[str, ...] = ("v",)) -> None:
     """One raster and the features over it as n x n tiles: <path>/images holds a GeoTIFF a tile, <path>/annotations the lists.
 

@@ -291,3 +291,12 @@ SELECT raster_id, n_cells, round(area, 3) AS area_m2, round(per, 3) AS perim_m,
 
 SQL["detections_layer"] = SQL["nms_boxes"].replace("FROM part))", "FROM part) WHERE score > 0.905)").rpartition(" SELECT b.image_id")[0] + """ SELECT box_id, 'Tree' AS class, round((xmax - xmin) * 2 * (ymax - ymin) / 2, 6) AS area_m2, round(b.image_id * 1000 + xmin * 2, 6) AS xmin, round(628 - ymax / 2, 6) AS ymin,
   round(b.image_id * 1000 + xmax * 2, 6) AS xmax, round(628 - ymin / 2, 6) AS ymax, round(b.image_id * 1000 + xmin + xmax, 6) AS cx, round(628 - (ymin + ymax) / 4, 6) AS cy FROM box b JOIN last l ON l.image_id = b.image_id AND list_contains(l.kept, b.box_id)"""
+
+_KEPT = "FROM box b JOIN last l ON l.image_id = b.image_id AND list_contains(l.kept, b.box_id)"
+SQL["instance_polygons"] = SQL["nms_boxes"].rpartition(" SELECT b.image_id")[0] + f""", nth AS (SELECT box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY box_id) - 1 AS INT) AS instance FROM box)
+SELECT image_id, instance, round(score, 6) AS score, 4 AS n_points, round(image_id * 1000 + 2 * xmin + 1e-9, 3) AS xmin, round(1102 - 2 * ymax + 1e-9, 3) AS ymin, round(image_id * 1000 + 2 * xmax - 2 + 1e-9, 3) AS xmax, round(1100 - 2 * ymin + 1e-9, 3) AS ymax
+FROM (SELECT b.* {_KEPT}) k JOIN nth USING (box_id) WHERE xmax - xmin > 1 AND ymax - ymin > 1"""
+SQL["detect_objects"] = SQL["nms_boxes"].replace("FROM part))", "FROM part) WHERE score > 0.905)").replace("> 0.2 *", "> 0.4 *").rpartition(" SELECT b.image_id")[0] + f""" SELECT box_id, 'Tree' AS class, round(4 * (xmax - xmin) * (ymax - ymin), 6) AS area_m2, round(b.image_id * 1000 + 2 * xmin, 6) AS xmin, round(1100 - 2 * ymax, 6) AS ymin,
+  round(b.image_id * 1000 + 2 * xmax, 6) AS xmax, round(1100 - 2 * ymin, 6) AS ymax, round(b.image_id * 1000 + xmin + xmax, 6) AS cx, round(1100 - ymin - ymax, 6) AS cy {_KEPT}"""
+SQL["binary_rasters"] = f"""WITH {MASK}, f AS (SELECT raster_id, 'mask_' || raster_id || '.tif' AS file_name, count(*) AS n FROM px GROUP BY raster_id), s AS (SELECT raster_id, count(*) AS k FROM on_px GROUP BY raster_id)
+SELECT row_number() OVER (ORDER BY file_name) - 1 AS id, file_name, CAST(coalesce(k, 0) AS BIGINT) AS n_set, n FROM f LEFT JOIN s USING (raster_id)"""
