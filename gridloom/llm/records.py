@@ -16,9 +16,10 @@ length is always zero; it is the line end of Spark's text sink, which writes and
 any store.
 
 Encoding: the tokenizer splits texts before it merges, and a single space between two other characters
-always begins a new piece. So the library encodes each different piece once and a worker keeps what it
-got, up to ``KEPT`` pieces; pieces that touch other white space are joined to their neighbours first, and
-a tokenizer that doesn't split in this way gets whole texts.
+always begins a new piece. So each different piece is encoded once by the library and a worker keeps
+what it got, up to ``KEPT`` pieces. Lines, Latin words and the marks behind them are pieces of their own;
+pieces that touch other white space are joined to their neighbours first. A tokenizer that doesn't split
+in this way gets whole texts.
 
 Scale: the texts are dealt out by ranges of doc_id into files of about ``FILE_BYTES`` of text, one
 shuffle of the input; equal ids of different texts are told apart by a checksum, so a repeated id is no
@@ -32,28 +33,34 @@ gives no records.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.shared import dense_ids
 from gridloom.llm import common as C
+from gridloom.llm.bpe import byte_alphabet
 
 FILE = "byte_bpe_50k.json"
 #: The id after each document, and the bytes of text that make a file.
-END, FILE_BYTES = 2, 32 << 20
+END, FILE_BYTES = 2, 16 << 20
 #: Encoded pieces that a worker keeps before it starts anew.
-KEPT = 200_000
-#: Code points of a piece that is kept.
-LONGEST = 64
+KEPT = 400_000
+#: Code points of a piece that is kept, and pieces that the library is asked for at a time.
+LONGEST, ASKED = 64, 5_000
+#: Marks that may follow a word, and the last letter of the Latin ones.
+MARKS, LATIN = string.punctuation, "\u024f"
 # turn and constant of a masked checksum (fixed values)
 TURN, ADDED = 15, 0xA282EAD8
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<q?B")
@@ -87,59 +94,138 @@ class Encoder:
         self.in_pieces = said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and plain
         self.width = 2 if max(end, self.tokenizer.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
         self.end = self.pack([end])
-        self.known: dict[str, bytes] = {}  # of pieces behind a space
-        self.first: dict[str, bytes] = {}  # of those at the start of a text
+        self.shown = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
+        self.space = self.shown[32]
+        #: What is kept of pieces at the start of a text, and of those behind a space.
+        self.tables: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.line = None
+        if self.in_pieces:
+            self._look_up(False, list(MARKS))
+            ends = self._ask(["\n"])[0]
+            self.line = ends if len(ends) == self.width else None
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _ask(self, pieces: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(pieces), ASKED):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + ASKED], add_special_tokens=False)]
+            ends = [0, *itertools.accumulate(self.width * len(i) for i in found)]
+            flat = self.pack(list(itertools.chain.from_iterable(found)))
+            out += [flat[a:z] for a, z in itertools.pairwise(ends)]
+        return out
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """text cut in front of every single space that has no white space beside it."""
-        out = [""]
-        open_end = False
-        for k, p in enumerate(text.split(" ")):
+    def pieces(parts: list[str]) -> list[str]:
+        """The parts between single spaces, those that have white space at an end joined to what it touches."""
+        out, open_end = [""], False
+        for k, p in enumerate(parts):
             if k and open_end and p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] += " " * bool(k) + p
             open_end = bool(p) and not p[-1].isspace()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text, the end id behind them."""
+    def _word(self, behind: bool, word: str) -> bytes:
+        """The ids of Latin letters alone, which no splitting rule cuts: the library's merges at once."""
+        # the merges work on a printable character for each byte, which ASCII letters are themselves
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        ids = self.pack([t.id for t in self.tokenizer.model.tokenize(self.space + shown if behind else shown)])
+        if len(word) <= LONGEST:
+            self.tables[behind][word] = ids
+        return ids
+
+    def _made(self, behind: bool, piece: str) -> bytes | None:
+        """The ids of a piece from those of its lines, words and marks; None if it has something else."""
+        if (ids := self.tables[behind].get(piece)) is not None:
+            return ids
+        word = piece.rstrip(MARKS)
+        if word.isalpha() and max(word) <= LATIN:
+            ids = self.tables[behind].get(word) or self._word(behind, word)
+            if len(word) == len(piece):
+                return ids
+            marks = self._made(False, piece[len(word) :])
+            return None if marks is None else ids + marks
+        if self.line is not None and "\n" in piece:
+            parts = piece.split("\n")
+            if all(parts):
+                lines = [self._made(behind and not n, x) for n, x in enumerate(parts)]
+                return None if None in lines else self.line.join(lines)
+        return None
+
+    def _look_up(self, behind: bool, pieces: list[str]) -> list[bytes]:
+        """The packed ids of pieces, with or without a space before each; those that aren't made of known parts are asked for."""
+        out = list(map(self.tables[behind].get, pieces))
+        odd = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                out[k] = self._made(behind, pieces[k])
+                if out[k] is None:
+                    odd.append(k)
+        if odd:
+            table = self.tables[behind]
+            for k, ids in zip(odd, self._ask([" " * behind + pieces[k] for k in odd]), strict=True):
+                out[k] = ids
+                if len(pieces[k]) <= LONGEST and pieces[k].split() == [pieces[k]]:
+                    table[pieces[k]] = ids
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of each of texts (strings, none null), the end id behind them."""
         if not self.in_pieces:
-            return [x + self.end for x in self._ask(texts)]
-        if len(self.known) + len(self.first) > KEPT:
-            self.known, self.first = {}, {}
-        split, missing = [], {}
-        for t in texts:
-            p = t.split(" ")
-            # what is kept has no white space at its ends, so these pieces are those that pieces() would give
-            if p[0] not in self.first or None in map(self.known.get, p[1:]):
-                p = self.pieces(t)
-                p[1:] = [x[1:] for x in p[1:]]
-                missing |= dict.fromkeys((True, x) for x in p[1:] if x not in self.known)
-                if p[0] not in self.first:
-                    missing[False, p[0]] = None
-            split.append(p)
-        odd: dict[tuple[bool, str], bytes] = {}
-        for (behind, piece), ids in zip(missing, self._ask([" " * b + p for b, p in missing]), strict=True):
-            if piece and len(piece) <= LONGEST and piece == piece.strip():
-                (self.known if behind else self.first)[piece] = ids
-            else:
-                odd[behind, piece] = ids
-        out = []
-        for p in split:
-            start = self.first[p[0]] if p[0] in self.first else odd[False, p[0]]
-            rest = [odd[True, x] if i is None else i for x, i in zip(p[1:], map(self.known.get, p[1:]), strict=True)]
-            out.append(b"".join((start, *rest, self.end)))
+            return [x + self.end for x in self._ask(texts.to_pylist())]
+        if sum(map(len, self.tables)) > KEPT:
+            self.tables = ({}, {})
+            self._look_up(False, list(MARKS))
+        split = pc.split_pattern(texts, " ")
+        coded = split.values.dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        bounds = split.offsets.to_numpy()
+        # texts with pieces that have white space at an end are cut one by one; any other piece stands for itself
+        loose = np.array([not x or x[0].isspace() or x[-1].isspace() for x in names], dtype=bool)
+        slow = np.flatnonzero(np.logical_or.reduceat(loose[at], bounds[:-1])).tolist() if len(names) else []
+        heads = [names[k] for k in at[bounds[:-1]].tolist()]  # a piece at the start has no space before it
+        cut = [self.pieces(heads[k : k + 1] + [names[j] for j in at[bounds[k] + 1 : bounds[k + 1]].tolist()]) for k in slow]
+        # what to look up: names behind a space, heads, and the cut ones of both kinds; what isn't used stays empty
+        inner = [(n > 0, x) for p in cut for n, x in enumerate(p)]
+        found = [b""] * (len(names) + len(heads) + len(inner))
+        tight = np.ones(len(heads), dtype=bool)
+        tight[slow] = False
+        whole = np.flatnonzero(~loose).tolist()
+        first_at = (np.flatnonzero(tight) + len(names)).tolist()
+        inner_at = range(len(names) + len(heads), len(found))
+        for behind, places, some in (
+            (True, whole, [names[k] for k in whole]),
+            (False, first_at, [heads[k - len(names)] for k in first_at]),
+            *((b, [k for k, (c, _) in zip(inner_at, inner, strict=True) if c == b], [x for c, x in inner if c == b]) for b in (True, False)),
+        ):
+            for k, ids in zip(places, self._look_up(behind, some), strict=True):
+                found[k] = ids
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
+        flat = np.frombuffer(b"".join(found), dtype=f"<u{self.width}")
+        first = np.cumsum(size) - size
+        order = at.astype(np.int64)
+        order[bounds[:-1]] = len(names) + np.arange(len(heads))
+        count = size[order]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = flat[np.repeat(first[order] - total[:-1], count) + np.arange(total[-1])].tobytes()
+        ends = (total[bounds] * self.width).tolist()
+        out = [ids[a:z] + self.end for a, z in itertools.pairwise(ends)]
+        place = len(names) + len(heads)
+        for k, p in zip(slow, cut, strict=True):
+            out[k] = b"".join(found[place : place + len(p)]) + self.end
+            place += len(p)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(content: str, end: int) -> Encoder:
+    """A worker's encoder, with what it has kept from task to task."""
+    return Encoder(content, end)
+
+
 def frame(payload: bytes) -> bytes:
     n = _LENGTH.pack(len(payload))
     return b"".join((n, _SUM.pack(masked(n)), payload, _SUM.pack(masked(payload)), n))
@@ -175,14 +261,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     spark = docs.sparkSession
     with open(tokenizer or default_path(), encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col("doc_id").cast("long"), C.as_bytes(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(content.value, end)
+        e = encoder(content.value, end)
         for b in batches:
-            ids = e.encode([t.as_py().decode("utf-8", "replace") for t in b.column(1)])
+            ids = e.encode(b.column(1))
             lines = [frame(serialise(d, i, e.width))[:-1] for d, i in zip(b.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lines, type=pa.binary())], names=["value"])
 
