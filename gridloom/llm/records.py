@@ -56,7 +56,7 @@ FILE = "byte_bpe_50k.json"
 #: The id after each document, and the bytes of text that make a file.
 END, FILE_BYTES = 2, 16 << 20
 #: Encoded pieces that a worker keeps before it starts anew.
-KEPT = 400_000
+KEPT = 600_000
 #: Code points of a piece that is kept, and pieces that the library is asked for at a time.
 LONGEST, ASKED = 64, 5_000
 #: Marks that may follow a word, and the last letter of the Latin ones.
