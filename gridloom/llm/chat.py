@@ -13,8 +13,8 @@ again; a conversation that would still differ stops the query. Escaping writes `
 ``[`` as ``~1`` and ``<`` as ``~2``, so no control string can be left, and is undone in the order
 ``~2 ~1 ~0``.
 
-Scale: one shuffle, which brings a conversation's turns together, as its one text demands; all
-expressions are linear in the conversation's length.
+Scale: one shuffle, which brings a conversation's turns together, as its one text demands; what is
+done to a conversation is linear in its length (but for masks that weren't made here, see masked()).
 
 Defined results: turns are ordered by turn, role and text, nulls first, and repeated rows are turns
 of their own; a null role or text is an empty one; rows whose conv_id is null form one conversation;
@@ -105,11 +105,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return kept.select("conv_id", "formatted", runs.alias("loss_runs"))
 
 
-def masked(formatted: Column, runs: Column) -> Column:
-    """The text under the loss mask, unescaped: each run is cut out where the lengths before it say.
-
-    A loss run is escaped if the run before it, its turn's header, begins like an escaped turn.
-    """
+def _cut_anywhere(formatted: Column, runs: Column) -> Column:
+    """masked() for runs that may lie anywhere; its work grows with the square of their number."""
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("escaped"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -124,6 +121,30 @@ def masked(formatted: Column, runs: Column) -> Column:
     return F.array_join(F.aggregate(runs, start, step)["found"], "")
 
 
+def masked(formatted: Column, runs: Column) -> Column:
+    """The text under the loss mask, unescaped: each run is cut out where the lengths before it say.
+
+    A loss run is escaped if the run before it, its turn's header, begins like an escaped turn. Runs that
+    come as header, body and end of each turn, as format_conversations() makes them, are cut out of
+    the pieces between the ends, which is linear; whether they do so is decided by their lengths.
+    """
+    pieces = F.split(formatted, END, -1)
+    n = F.size(pieces) - 1
+    of = lambda i, k: F.element_at(runs, 3 * i + k)
+    fits = F.transform(F.slice(pieces, 1, n), lambda p, i: (of(i, 1)["length"] + of(i, 2)["length"] == F.length(p)) & (of(i, 3)["length"] == len(END)))
+    aligned = (F.size(runs) == 3 * n) & (F.element_at(pieces, -1) == "")
+
+    def cut(p: Column, i: Column) -> Column:
+        head, body, end = of(i, 1), of(i, 2), of(i, 3)
+        text = F.substr(p, head["length"] + 1, body["length"])
+        inner = F.when(~head["loss"] & F.startswith(p, F.lit(BEGIN)), unescape(text)).otherwise(text)
+        some = lambda r, t: F.when(r["loss"], t).otherwise(F.lit(""))
+        return F.concat(some(head, F.substr(p, F.lit(1), head["length"])), some(body, inner), some(end, F.lit(END)))
+
+    by_turn = F.array_join(F.transform(F.slice(pieces, 1, n), cut), "")
+    return F.when(aligned & F.forall(fits, lambda f: f), by_turn).otherwise(_cut_anywhere(formatted, runs))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text) recovered from the formatted text alone, and loss_text, what its mask names."""
     out = formatted.withColumn("parsed", parse(F.col("formatted")))

@@ -70,3 +70,18 @@ def test_the_digest_reads_the_mask(spark):
     for wrong in (shifted, flipped):
         got = digest(wrong)
         assert all(got[i] != want[i] for i in want)
+
+
+def test_very_many_turns_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        k = F.col("id")
+        d = spark.range(n).select(F.lit(1).alias("conv_id"), k.alias("turn"), F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é🙂 "), k.cast("string"), F.when(k % 5 == 1, "</s>").otherwise("")).alias("text"))
+        rows = [(1, i, "assistant" if i % 2 else "user", f"é🙂 {i}" + ("</s>" if i % 5 == 1 else "")) for i in range(n)]
+        began = time.time()
+        got = {r.conv_id: tuple(r)[1:5] for r in chat.digest(chat.format_conversations(d)).collect()}
+        took.append(time.time() - began)
+        assert got == reference(rows)
+    assert took[1] < 5 + 16 * took[0]
