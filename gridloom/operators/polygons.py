@@ -41,11 +41,14 @@ def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 CHUNK = 100_000
 
 
-def _label_tiles(tile: np.ndarray, r: np.ndarray, c: np.ndarray, right: np.ndarray, down: np.ndarray, side: int) -> np.ndarray:
+def _label_tiles(tile: np.ndarray, r: np.ndarray, c: np.ndarray, right: np.ndarray, down: np.ndarray, side: int, diagonal: bool) -> np.ndarray:
     """For nodes sorted by tile, row and column the place of the first node of each one's component in its tile."""
     key = (tile * side + r % side) * side + c % side
     a, b = [], []
-    for at, step in ((np.flatnonzero(right & ((c + 1) % side != 0)), 1), (np.flatnonzero(down & ((r + 1) % side != 0)), side)):
+    low, end = (r + 1) % side != 0, (c + 1) % side != 0
+    ways = [(right & end, 1), (down & low, side)]
+    ways += [(low & end, side + 1), (low & (c % side != 0), side - 1)] if diagonal else []
+    for at, step in ((np.flatnonzero(some), step) for some, step in ways):
         to = np.minimum(np.searchsorted(key, key[at] + step), len(key) - 1)
         there = key[to] == key[at] + step
         a.append(at[there])
@@ -72,11 +75,12 @@ def whole_tiles(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[list[n
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
+def label(nodes: DataFrame, side: int = SIDE, diagonal: bool = False) -> DataFrame:
     """nodes (raster_id, row, col, bits, right, down: whether linked to that neighbour) with lrow, lcol.
 
-    (lrow, lcol) names the component: one of its nodes, the same for all. A link to a neighbour that
-    isn't a node is none; bits are carried along.
+    (lrow, lcol) names the component: its first node by row and column. A link to a neighbour that
+    isn't a node is none; bits are carried along. With diagonal all nodes are linked to those diagonally
+    below them, too.
     """
     schema = "raster_id long, row int, col int, bits int, right boolean, down boolean, lrow int, lcol int"
     names = ["raster_id", "row", "col", "bits", "right", "down"]
@@ -84,7 +88,7 @@ def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
         raster, r, c, _, right, down = cols
         new = (np.diff(raster) != 0) | (np.diff(r // side) != 0) | (np.diff(c // side) != 0)
-        first = _label_tiles(np.concatenate(([0], np.cumsum(new))), r, c, right, down, side)
+        first = _label_tiles(np.concatenate(([0], np.cumsum(new))), r, c, right, down, side, diagonal)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, r[first], c[first])], names=[*names, "lrow", "lcol"])
 
     def run(batches):
@@ -97,9 +101,15 @@ def label(nodes: DataFrame, side: int = SIDE) -> DataFrame:
     me = F.struct("raster_id", "lrow", "lcol")
     ends = local.filter(F.col("right") & ((F.col("col") + 1) % side == 0)).select(me.alias("a"), "raster_id", "row", (F.col("col") + 1).alias("col"))
     ends = ends.unionByName(local.filter(F.col("down") & ((F.col("row") + 1) % side == 0)).select(me.alias("a"), "raster_id", (F.col("row") + 1).alias("row"), "col"))
+    on_edge = (F.col("row") % side == 0) | (F.col("col") % side == 0)
+    if diagonal:
+        for step in (1, -1):
+            beyond = ((F.col("row") + 1) % side == 0) | ((F.col("col") + int(step > 0)) % side == 0)
+            ends = ends.unionByName(local.filter(beyond).select(me.alias("a"), "raster_id", (F.col("row") + 1).alias("row"), (F.col("col") + step).alias("col")))
+        on_edge |= (F.col("col") + 1) % side == 0
     if ends.isEmpty():
         return local
-    edge = local.filter((F.col("row") % side == 0) | (F.col("col") % side == 0)).select("raster_id", "row", "col", me.alias("b"))
+    edge = local.filter(on_edge).select("raster_id", "row", "col", me.alias("b"))
     links = ends.join(edge, ["raster_id", "row", "col"]).select("a", "b")
     merged = components(links).select(F.col("node.raster_id").alias("raster_id"), F.col("node.lrow").alias("lrow"), F.col("node.lcol").alias("lcol"), F.col("label.lrow").alias("mrow"), F.col("label.lcol").alias("mcol"))
     out = local.join(merged, ["raster_id", "lrow", "lcol"], "left")
@@ -122,18 +132,8 @@ def fill_holes(px: DataFrame, side: int = SIDE) -> DataFrame:
 
 
 def pixel_components(px: DataFrame, side: int = SIDE) -> DataFrame:
-    """Eight-connected components of set pixels (raster_id, row, col): each pixel with lrow, lcol.
-
-    A diagonal step goes by way of a virtual node at the corner that four pixels share: pixels are at
-    even places of a doubled lattice, and what lies between two set pixels links them.
-    """
-    p = px.select(F.col("raster_id").cast("long").alias("raster_id"), (F.col("row") * 2).alias("row"), (F.col("col") * 2).alias("col"))
-    near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
-    lattice = p.withColumn("n", near).select("raster_id", (F.col("row") + F.col("n.r")).alias("row"), (F.col("col") + F.col("n.c")).alias("col")).distinct()
-    lab = label(_linked(lattice), side)
-    own = lab.join(p, ["raster_id", "row", "col"], "left_semi")
-    first = own.groupBy("raster_id", "lrow", "lcol").agg(F.min(F.struct("row", "col")).alias("m"))
-    return own.join(first, ["raster_id", "lrow", "lcol"]).select("raster_id", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), (F.col("m.row") / 2).cast("int").alias("lrow"), (F.col("m.col") / 2).cast("int").alias("lcol"))
+    """Eight-connected components of set pixels (raster_id, row, col): each pixel with lrow, lcol, its component's first pixel."""
+    return label(_linked(px), side, diagonal=True).select("raster_id", "row", "col", "lrow", "lcol")
 
 
 def dual_cells(filled: DataFrame, around: bool = False) -> DataFrame:

@@ -173,3 +173,23 @@ def test_dissolve_chain_over_many_cells(spark):
     q = np.column_stack((np.linspace(0.01, 903.9, 2000), np.full(2000, 0.95)))
     covered = np.max([parity(np.array(p, dtype=float), q) for _, p in chain], axis=0)
     assert (parity(np.array([(p.x, p.y) for p in got[0].ring]), q) == covered).all()
+
+
+@pytest.mark.parametrize("side", [256, 4, 3])
+def test_components_by_eight_neighbours(spark, side):
+    shapes = {s: blob(s, 11, 14, p) for s, p in enumerate((0.25, 0.4, 0.5, 0.6))}
+    px = mask(spark, shapes).filter("on").drop("on")
+    want = {}
+    for i, rows in shapes.items():
+        left = {(r, c) for r, line in enumerate(rows) for c, v in enumerate(line) if v == "#"}
+        while left:
+            part, edge = set(), [min(left)]
+            while edge:
+                r, c = edge.pop()
+                if (r, c) in left:
+                    left.discard((r, c))
+                    part.add((r, c))
+                    edge += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            want |= {(i, *p): min(part) for p in part}
+    got = {(x.raster_id, x.row, x.col): (x.lrow, x.lcol) for x in polygons.pixel_components(px, side).collect()}
+    assert got == want
