@@ -93,19 +93,20 @@ class Encoder:
         plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in said["added_tokens"])
         self.in_pieces = said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and plain
         self.width = 2 if max(end, self.tokenizer.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
-        self.end = self.pack([end])
         self.shown = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.space = self.shown[32]
+        self.merge = self.tokenizer.model.tokenize
+        self.packers = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(33)]
+        self.end = self.pack([end])
         #: What is kept of pieces at the start of a text, and of those behind a space.
         self.tables: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.line = None
         if self.in_pieces:
-            self._look_up(False, list(MARKS))
             ends = self._ask(["\n"])[0]
             self.line = ends if len(ends) == self.width else None
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        return self.packers[len(ids)](*ids) if len(ids) < 33 else np.array(ids, dtype=f"<u{self.width}").tobytes()
 
     def _ask(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -132,22 +133,26 @@ class Encoder:
         """The ids of Latin letters alone, which no splitting rule cuts: the library's merges at once."""
         # the merges work on a printable character for each byte, which ASCII letters are themselves
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        ids = self.pack([t.id for t in self.tokenizer.model.tokenize(self.space + shown if behind else shown)])
+        ids = self.pack([t.id for t in self.merge(self.space + shown if behind else shown)])
         if len(word) <= LONGEST:
             self.tables[behind][word] = ids
         return ids
 
     def _made(self, behind: bool, piece: str) -> bytes | None:
         """The ids of a piece from those of its lines, words and marks; None if it has something else."""
-        if (ids := self.tables[behind].get(piece)) is not None:
+        table = self.tables[behind]
+        if (ids := table.get(piece)) is not None:
             return ids
         word = piece.rstrip(MARKS)
-        if word.isalpha() and max(word) <= LATIN:
-            ids = self.tables[behind].get(word) or self._word(behind, word)
+        if word.isalpha() and (word.isascii() or max(word) <= LATIN):
+            ids = table.get(word) or self._word(behind, word)
             if len(word) == len(piece):
                 return ids
-            marks = self._made(False, piece[len(word) :])
-            return None if marks is None else ids + marks
+            end = piece[len(word) :]
+            marks = self.tables[False].get(end)
+            if marks is None:
+                marks = self.tables[False][end] = self._ask([end])[0]
+            return ids + marks
         if self.line is not None and "\n" in piece:
             parts = piece.split("\n")
             if all(parts):
@@ -157,19 +162,21 @@ class Encoder:
 
     def _look_up(self, behind: bool, pieces: list[str]) -> list[bytes]:
         """The packed ids of pieces, with or without a space before each; those that aren't made of known parts are asked for."""
-        out = list(map(self.tables[behind].get, pieces))
+        table = self.tables[behind]
+        out = list(map(table.get, pieces))
+        if None not in out:
+            return out
         odd = []
+        made = self._made
         for k, ids in enumerate(out):
-            if ids is None:
-                out[k] = self._made(behind, pieces[k])
-                if out[k] is None:
-                    odd.append(k)
-        if odd:
-            table = self.tables[behind]
-            for k, ids in zip(odd, self._ask([" " * behind + pieces[k] for k in odd]), strict=True):
+            if ids is None and (ids := made(behind, pieces[k])) is not None:
                 out[k] = ids
-                if len(pieces[k]) <= LONGEST and pieces[k].split() == [pieces[k]]:
-                    table[pieces[k]] = ids
+            elif ids is None:
+                odd.append(k)
+        for k, ids in zip(odd, self._ask([" " * behind + pieces[k] for k in odd]), strict=True):
+            out[k] = ids
+            if len(pieces[k]) <= LONGEST and pieces[k].split() == [pieces[k]]:
+                table[pieces[k]] = ids
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -178,31 +185,29 @@ class Encoder:
             return [x + self.end for x in self._ask(texts.to_pylist())]
         if sum(map(len, self.tables)) > KEPT:
             self.tables = ({}, {})
-            self._look_up(False, list(MARKS))
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
         names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         bounds = split.offsets.to_numpy()
         # texts with pieces that have white space at an end are cut one by one; any other piece stands for itself
-        loose = np.array([not x or x[0].isspace() or x[-1].isspace() for x in names], dtype=bool)
+        loose = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary), pc.equal(coded.dictionary, "")).to_numpy(zero_copy_only=False)
         slow = np.flatnonzero(np.logical_or.reduceat(loose[at], bounds[:-1])).tolist() if len(names) else []
         heads = [names[k] for k in at[bounds[:-1]].tolist()]  # a piece at the start has no space before it
         cut = [self.pieces(heads[k : k + 1] + [names[j] for j in at[bounds[k] + 1 : bounds[k + 1]].tolist()]) for k in slow]
         # what to look up: names behind a space, heads, and the cut ones of both kinds; what isn't used stays empty
-        inner = [(n > 0, x) for p in cut for n, x in enumerate(p)]
-        found = [b""] * (len(names) + len(heads) + len(inner))
-        tight = np.ones(len(heads), dtype=bool)
-        tight[slow] = False
-        whole = np.flatnonzero(~loose).tolist()
-        first_at = (np.flatnonzero(tight) + len(names)).tolist()
-        inner_at = range(len(names) + len(heads), len(found))
-        for behind, places, some in (
-            (True, whole, [names[k] for k in whole]),
-            (False, first_at, [heads[k - len(names)] for k in first_at]),
-            *((b, [k for k, (c, _) in zip(inner_at, inner, strict=True) if c == b], [x for c, x in inner if c == b]) for b in (True, False)),
-        ):
-            for k, ids in zip(places, self._look_up(behind, some), strict=True):
-                found[k] = ids
+        if not slow:
+            found = self._look_up(True, names) + self._look_up(False, heads)
+        else:
+            inner = [(n > 0, x) for p in cut for n, x in enumerate(p)]
+            found = [b""] * (len(names) + len(heads) + len(inner))
+            tight = np.ones(len(heads), dtype=bool)
+            tight[slow] = False
+            inner_at = range(len(names) + len(heads), len(found))
+            wanted = [(True, k, names[k]) for k in np.flatnonzero(~loose).tolist()] + [(False, k + len(names), heads[k]) for k in np.flatnonzero(tight).tolist()] + [(c, k, x) for k, (c, x) in zip(inner_at, inner, strict=True)]
+            for behind in (True, False):
+                some = [w for w in wanted if w[0] == behind]
+                for (_, k, _), ids in zip(some, self._look_up(behind, [x for _, _, x in some]), strict=True):
+                    found[k] = ids
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
         flat = np.frombuffer(b"".join(found), dtype=f"<u{self.width}")
         first = np.cumsum(size) - size
