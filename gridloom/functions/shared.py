@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own below the shared one, deleted with all that is in it when the block ends, however it ends."""
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        store, root = fs.FileSystem.from_uri(path)
+        if store.get_file_info(root).type != fs.FileType.NotFound:
+            store.delete_dir(root)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/gridloom/{name}-{uuid.uuid4().hex}"

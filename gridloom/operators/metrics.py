@@ -51,7 +51,10 @@ def _ratios(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 
 def scores(pixels: DataFrame, by: list[str], target: str = "target", predicted: str = "predicted") -> DataFrame:
-    """TP, FP, FN and ratios by group of a table with two binary columns; ratios of nothing are null."""
+    """TP, FP, FN and ratios by group of a table with two binary columns; ratios of nothing are null.
+
+    A null or any value but 1 counts as unset; null groups are a group, an empty table gives no row.
+    """
     t, p = F.coalesce(F.col(target), F.lit(0)) == 1, F.coalesce(F.col(predicted), F.lit(0)) == 1
     n = lambda c: F.sum(c.cast("long"))
     return pixels.groupBy(*by).agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn")).withColumns(_ratios(F.col("tp").cast("double"), F.col("fp"), F.col("fn")))

@@ -32,7 +32,11 @@ def with_maximum(px: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 
 def threshold_global(px: DataFrame, percent: float = 15.0, value: str = "v") -> DataFrame:
-    """mask: 255 where the value exceeds percent % of its raster's maximum, else 0."""
+    """mask: 255 where the value exceeds percent % of its raster's maximum, else 0.
+
+    A null value is 0 and takes no part in the maximum; repeated pixels count each, null raster_ids have
+    no raster and are left out, an empty table stays empty.
+    """
     seen = with_maximum(px, ["raster_id"], value, "gl_max")
     return seen.withColumn("mask", F.when(F.col(value) > percent / 100 * F.col("gl_max"), 255).otherwise(0)).drop("gl_max")
 
@@ -114,7 +118,11 @@ def bounding_boxes(meta: DataFrame, epsg: int) -> DataFrame:
 
 
 def stretch(px: DataFrame, value: str = "v") -> DataFrame:
-    """v255: the value from its raster's range to 0 .. 255; 0 in a raster of one value."""
+    """v255: the value from its raster's range to 0 .. 255; 0 in a raster of one value.
+
+    A null value stays null where the raster has a range, and is 0 where it has none; a null raster_id is
+    left out, an empty table stays empty.
+    """
     r = px.groupBy("raster_id").agg(F.min(value).alias("gl_lo"), F.max(value).alias("gl_hi"))
     j = px.join(r, "raster_id")
     span = F.col("gl_hi") - F.col("gl_lo")
@@ -174,7 +182,11 @@ def zonal_maximum(px: DataFrame, value: str = "v", zone: str = "zone") -> DataFr
 
 
 def resample(px: DataFrame, dims: DataFrame, scale: float, value: str = "v") -> DataFrame:
-    """Bilinear resampling: each new pixel from the four old ones around its centre, edges repeated."""
+    """Bilinear resampling: each new pixel from the four old ones around its centre, edges repeated.
+
+    Null or missing old pixels add nothing (their share is lost, and a new pixel of none is null or
+    missing); a raster that shrinks to nothing, one without dims and an empty table give no row.
+    """
     d = dims.select("raster_id", "height", "width", F.floor(F.col("height") * scale).cast("int").alias("gl_h"), F.floor(F.col("width") * scale).cast("int").alias("gl_w"))
     new = d.filter("gl_h > 0 and gl_w > 0").withColumn("r", F.explode(F.expr("sequence(0, gl_h - 1)"))).withColumn("c", F.explode(F.expr("sequence(0, gl_w - 1)")))
     at = lambda i, n: F.greatest(F.lit(0.0), F.least((i + 0.5) / scale - 0.5, n - 1.0))

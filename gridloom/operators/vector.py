@@ -87,7 +87,10 @@ def total_bounds(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def clip_ring(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """A convex ring clipped to a rectangle, side by side; an empty ring where they don't meet."""
+    """A convex ring clipped to a rectangle, side by side; an empty ring where they don't meet.
+
+    Column expressions only, and right for convex rings only: clip_parts() takes any simple ring.
+    """
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
 
     def side(r: Column, axis: str, bound: Column, keep_above: bool) -> Column:

@@ -132,3 +132,21 @@ def test_encoding_checks_places_and_range(spark):
 
 def test_empty_folder(spark, tmp_path):
     assert rasters.load(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_scratch_folder_is_removed(spark):
+    from pyarrow import fs
+
+    from gridloom.functions.shared import scratch_folder
+
+    there = lambda p: fs.FileSystem.from_uri(p)[0].get_file_info(fs.FileSystem.from_uri(p)[1]).type != fs.FileType.NotFound
+    with scratch_folder(spark, "raster") as path:
+        rasters.save(spark.createDataFrame([("a.tif", geotiff.encode(np.ones((2, 2, 1), dtype=np.uint8), AT, None))], "file string, content binary"), path)
+        assert there(path) and geotiff.read(spark, path).count() == 4
+    assert not there(path)
+    with pytest.raises(KeyError), scratch_folder(spark, "raster") as path:
+        spark.range(3).write.parquet(path)
+        raise KeyError
+    assert not there(path)
+    with scratch_folder(spark, "unused"):
+        pass
