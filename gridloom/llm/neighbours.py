@@ -9,10 +9,12 @@ What the trees propose is scored again in double precision, component by compone
 vectors, which also decides ties.
 
 Scale: a tree holds at most about ``SHARD_ROWS`` vectors, is built once and written to the shared
-folder, and so are the queries, in blocks of about ``QUERY_BLOCK``; a task searches one tree for one
-block, and neither vectors nor trees come to the driver. Each search returns k rows a query, which are
-merged by query. Equal vectors are one entry of a tree, with their k + 1 smallest ids, which is all
-that an answer can need. Where an id has several vectors, a search takes as many times more entries.
+folder, and so are the queries, in blocks of about ``QUERY_BLOCK``; a task takes one tree and reads the
+blocks one by one from that folder, so neither is shuffled for their pairs, and neither comes to the
+driver. (Where Arrow can't open the folder, trees and blocks meet in a join, which copies them.) Each
+search returns k rows a query, which are merged by query. Equal vectors are one entry of a tree, with
+their k + 1 smallest ids, which is all that an answer can need. Where an id has several vectors, a
+search takes as many times more entries.
 
 Defined results: vectors that are null, empty, zero or hold a null or a non-finite component take no
 part; of vectors of different lengths only equal lengths are compared; null ids take no part; equal rows
@@ -23,10 +25,13 @@ of a pair counts, and never is an id its own neighbour; an empty table gives no
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -205,6 +210,26 @@ def blocks(queries: DataFrame, query_block: int) -> DataFrame:
     return dealt.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(one, schema)
 
 
+def opens(path: str) -> bool:
+    """Whether tasks can read a folder by Arrow's file systems."""
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def stored_blocks(path: str, dim: int) -> Iterator[tuple[list[int], bytes]]:
+    """The written query blocks of one vector length, one at a time and in one order for all tasks."""
+    store, root = fs.FileSystem.from_uri(path)
+    for f in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+        if f.is_file and f.base_name.startswith("part-"):
+            with store.open_input_file(f.path) as opened:
+                for b in pq.ParquetFile(opened).iter_batches(batch_size=1, columns=["dim", "ids", "v"]):
+                    if b.column(0)[0].as_py() == dim:
+                        yield b.column(1)[0].values.to_numpy(), b.column(2)[0].as_py()
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors but its own."""
     spark = vectors.sparkSession
@@ -215,17 +240,38 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, factor: float =
     schema = "query_id long, vec_id long, score double"
     arrow = C.arrow_schema(spark, schema)
 
-    def run(batches):
+    stored = asked._gridloom_path
+
+    def searched(tree: bytes | Tree, dim: int, ids: list[int] | np.ndarray, v: bytes) -> pa.RecordBatch:
+        own = np.array(ids, dtype=np.int64)
+        i, found, s = top(tree if isinstance(tree, Tree) else pickle.loads(tree), own, np.frombuffer(v).reshape(-1, dim), k, factor, per_id)
+        return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(found), pa.array(s)], schema=arrow)
+
+    def fetched(batches):
+        """A tree with each of its share of the blocks, which are read here one at a time."""
+        for batch in batches:
+            for dim, packed, share, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = pickle.loads(packed)
+                for n, block in enumerate(stored_blocks(stored, dim)):
+                    if n % shares == share:
+                        yield searched(tree, dim, *block)
+
+    def moved(batches):
         for batch in batches:
             for dim, tree, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.array(ids, dtype=np.int64)
-                i, found, s = top(pickle.loads(tree), ids, np.frombuffer(v).reshape(-1, dim), k, factor, per_id)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(found), pa.array(s)], schema=arrow)
-
-    # one row for each tree and block of one vector length
-    pairs = trees.select("dim", "shard").join(asked.select("dim", "block"), "dim")
-    n = max(1, min(10_000, pairs.count()))
-    both = pairs.join(trees, ["dim", "shard"]).join(asked, ["dim", "block"]).select("dim", "tree", "ids", "v").repartition(n)
-    found = both.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                yield searched(tree, dim, ids, v)
+
+    if opens(stored):
+        # trees stay whole and blocks are read where they are needed; few trees are dealt out several times, each time for some of the blocks
+        n_trees, n_blocks = max(1, trees.count()), max(1, asked.count())
+        shares = max(1, min(n_blocks, -(-spark.sparkContext.defaultParallelism // n_trees)))
+        dealt = trees.select("dim", "tree", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(shares).alias("shares"))
+        each = (dealt.repartition(n_trees * shares, "share", "tree") if shares > 1 else dealt).mapInArrow(fetched, schema)
+    else:
+        # one row for each tree and block of one vector length
+        pairs = trees.select("dim", "shard").join(asked.select("dim", "block"), "dim")
+        n = max(1, min(10_000, pairs.count()))
+        each = pairs.join(trees, ["dim", "shard"]).join(asked, ["dim", "block"]).select("dim", "tree", "ids", "v").repartition(n).mapInArrow(moved, schema)
+    found = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -78,3 +78,17 @@ def test_ids_with_several_vectors(spark):
         best[i, j] = max(s, best.get((i, j), -2))
     want = {i: sorted(((-s, j) for (q, j), s in best.items() if q == i))[:5] for i in (0, 50)}
     assert {i: sorted((-r.score, r.vec_id) for r in got if r.query_id == i) for i in want} == want
+
+
+def test_blocks_fetched_or_moved_alike(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(r.choice([3, 3, 5]))]) for i in range(600)]
+    d = frame(spark, rows)
+    q = d.filter("vec_id % 10 = 0")
+    find = lambda: N.nearest(q, d, 4, shard_rows=100, query_block=9)
+    out = find()
+    fetched = set(map(tuple, out.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # trees and blocks aren't paired by a shuffle
+    monkeypatch.setattr(N, "opens", lambda path: False)
+    assert fetched == set(map(tuple, find().collect())) == brute([x for x in rows if x[0] % 10 == 0], rows, 4)
