@@ -50,11 +50,11 @@ def slanted_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small boxes of 20 images that overlap here and there, as rings: box_id, image_id, ring."""
+    """Boxes of 20 images that overlap in many places, as rings: box_id, image_id, ring."""
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     b, k = boxes(spark, sf_dir), F.col("box_id")
     x0, y0 = F.col("xmin"), F.col("ymin")
-    x1, y1 = x0 + (1 + k % 13), y0 + (1 + k % 11)
+    x1, y1 = x0 + (3 + k % 29), y0 + (3 + k % 17)
     return b.select("box_id", "image_id", F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1)).alias("ring"))
 
 

@@ -211,7 +211,7 @@ m AS (SELECT raster_id, l, count(*) AS n_cells, sum(CASE WHEN n = 4 THEN 1.0 ELS
 SELECT row_number() OVER (ORDER BY raster_id, ymin, xmin, ymax, xmax, area, sx / area, sy / area) - 1 AS id, raster_id, n_cells, CAST(area AS DOUBLE) AS area_m2, round(per, 6) AS perim_m, round(sqrt(area * 4 / pi()), 6) AS a_diam_m, xmin, ymin, xmax, ymax, round(sx / area, 6) AS cx, round(sy / area, 6) AS cy FROM m""",
     "polygonize_rings": _rings(PX, "SELECT raster_id, row, col FROM (SELECT *, max(v) OVER (PARTITION BY raster_id) AS m FROM px) WHERE v > 0.15 * m", "row IN (0, 7) OR col IN (0, 7)", f"SELECT raster_id, CAST(len(xs) AS INT) AS n_points, CAST(area AS DOUBLE) AS area, round(per, 6) AS perimeter, {_POINTS} AS wkt FROM r"),
     "polygonize_rings_mosaic": _rings(_MOSAIC_PX, _MOSAIC_ON, "row IN (0, (SELECT max(row) FROM px)) OR col IN (0, 63)", f"SELECT CAST(len(xs) AS INT) AS n_points, CAST(area AS DOUBLE) AS area, round(per, 6) AS perimeter, {_POINTS} AS wkt FROM r"),
-    "dissolve_boxes": f"""WITH RECURSIVE {BOX}, b AS (SELECT box_id AS i, image_id, xmin AS x0, ymin AS y0, xmin + 1 + box_id % 13 AS x1, ymin + 1 + box_id % 11 AS y1 FROM box),
+    "dissolve_boxes": f"""WITH RECURSIVE {BOX}, b AS (SELECT box_id AS i, image_id, xmin AS x0, ymin AS y0, xmin + 3 + box_id % 29 AS x1, ymin + 3 + box_id % 17 AS y1 FROM box),
 touch AS (SELECT a.i, b.i AS j FROM b a JOIN b ON a.image_id = b.image_id AND a.i <> b.i AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND (least(a.x1, b.x1) > greatest(a.x0, b.x0) OR least(a.y1, b.y1) > greatest(a.y0, b.y0))),
 reach AS (SELECT i, i AS j FROM b UNION SELECT r.i, t.j FROM reach r JOIN touch t ON t.i = r.j),
 lab AS (SELECT i, min(j) AS part FROM reach GROUP BY i),
