@@ -73,11 +73,13 @@ def suppress(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     pairs = settle(overlapping(some, threshold), "overlaps")
     gone = []
     while not pairs.isEmpty():
-        free = pairs.select("better").distinct().join(pairs.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
-        lost = settle(pairs.join(free, "better", "left_semi").select(F.col("worse").alias("gl_id")).distinct(), "suppressed")
-        gone.append(lost)
-        left = pairs.join(lost.withColumnRenamed("gl_id", "worse"), "worse", "left_anti").join(lost.withColumnRenamed("gl_id", "better"), "better", "left_anti")
-        pairs = settle(left, "overlaps")
+        beaten = pairs.select(F.col("worse").alias("better")).distinct().withColumn("beaten", F.lit(True))
+        r = pairs.join(beaten, "better", "left").withColumn("free", F.col("beaten").isNull()).drop("beaten")
+        lost = r.filter("free").select("worse").distinct()
+        known = r.join(lost.withColumn("worse_gone", F.lit(True)), "worse", "left").join(lost.select(F.col("worse").alias("better"), F.lit(True).alias("better_gone")), "better", "left")
+        known = settle(known, "overlaps")  # one table a round: who goes, and what is still open
+        gone.append(known.filter("free").select(F.col("worse").alias("gl_id")).distinct())
+        pairs = known.filter("worse_gone is null and better_gone is null").select("better", "worse")
     lost = functools.reduce(DataFrame.unionByName, gone) if gone else b.select("gl_id").filter("false")
     if threshold < 1:  # the copies that took no part
         spare = seen.select("id").join(some.select("id"), "id", "left_anti").withColumnRenamed("id", "gl_id")
