@@ -352,7 +352,10 @@ def mask_union(spark, sf):
 
 @query
 def coco_images(spark, sf):
-    return coco.images(tiling.grid(_box_bounds(boxes(spark, sf)), DIVISIONS), EXPORT, EXPORT)
+    i = coco.images(tiling.grid(_box_bounds(boxes(spark, sf)), DIVISIONS), EXPORT, EXPORT)
+    n = _pieces(spark, sf).groupBy((F.col("tile_id") + 1).alias("id")).agg(F.count("*").alias("n_features"), F.countDistinct("image_id").alias("n_sources"))
+    none = F.lit(0).cast("long")
+    return i.join(n, "id", "left").select(*i.columns, F.coalesce("n_features", none).alias("n_features"), F.coalesce("n_sources", none).alias("n_sources"))
 
 
 def _annotations(spark, sf):

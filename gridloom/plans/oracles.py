@@ -177,7 +177,8 @@ c AS (SELECT *, r + 0.5 AS y FROM t, range(0, 25) AS a(r)),
 e AS (SELECT k, r, c AS col, (CASE WHEN (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) <= c + 0.5 THEN 1 ELSE 0 END + CASE WHEN (y2 <= y) <> (y3 <= y) AND x2 + (y - y2) / (y3 - y2) * (x3 - x2) <= c + 0.5 THEN 1 ELSE 0 END
   + CASE WHEN (y3 <= y) <> (y1 <= y) AND x3 + (y - y3) / (y1 - y3) * (x1 - x3) <= c + 0.5 THEN 1 ELSE 0 END) % 2 AS inside FROM c, range(0, 30) AS b(c))
 SELECT k AS box_id, count(*) AS n, CAST(sum(r) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM e WHERE inside = 1 GROUP BY k""",
-    "coco_images": "SELECT CAST(t + 1 AS INT) AS id, 'tile_' || t || '.tif' AS file_name, CAST(256 AS INT) AS width, CAST(256 AS INT) AS height FROM range(0, 16) AS r(t)",
+    "coco_images": f"""WITH {BOX}, {GRID}, {PIECES} SELECT CAST(tile_id + 1 AS INT) AS id, 'tile_' || tile_id || '.tif' AS file_name, CAST(256 AS INT) AS width, CAST(256 AS INT) AS height,
+  count(box_id) AS n_features, count(DISTINCT image_id) AS n_sources FROM grid LEFT JOIN pieces USING (tile_id) GROUP BY tile_id""",
     "coco_annotations": f"""WITH {BOX}, {GRID}, {PIECES}, {ANN} SELECT id, image_id, feature_id, category_id, round(xa, 6) AS left, round(yb, 6) AS top, round(abs(xb - xa), 6) AS width, round(abs(yb - ya), 6) AS height, CAST(10 AS INT) AS n_numbers,
   round(xa + yb + xb + yb + xb + ya + xa + ya + xa + yb, 6) AS ring_sum FROM ann""",
     "coco_json_roundtrip": f"WITH {BOX}, {GRID}, {PIECES}, {ANN} SELECT id, image_id, 'tile_' || (image_id - 1) || '.tif' AS file_name, category_id, round(xa, 6) AS left, round(yb, 6) AS top, round(abs(xb - xa), 6) AS width, round(abs(yb - ya), 6) AS height FROM ann",
