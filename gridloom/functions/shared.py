@@ -46,6 +46,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to spark.sql.shuffle.partitions tasks: files of few bytes are one task, however much is made of their rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without bringing all rows into one task.
 

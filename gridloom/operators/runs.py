@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.shared import settle, spread
 from gridloom.operators import vector
 from gridloom.operators.metrics import _ratios
 
@@ -200,7 +201,7 @@ def under(px: DataFrame, runs: DataFrame, keep: list[str], how: str = "inner") -
     r = _pieces(runs.filter("b > a")).select("raster_id", "row", "piece", F.col("a").alias("gl_a"), F.col("b").alias("gl_b"), *keep)
     p = px.withColumn("piece", F.floor(F.col("col") / PIECE))
     on = (p["raster_id"] == r["raster_id"]) & (p["row"] == r["row"]) & (p["piece"] == r["piece"]) & (p["col"] >= r["gl_a"]) & (p["col"] < r["gl_b"])
-    j = p.join(r, on, how)
+    j = p.join(r.hint("merge"), on, how)  # what is made of runs is far more than Spark reckons, too much to broadcast
     return j.select(*[p[c] for c in px.columns], *[r[c] for c in keep]) if how == "inner" else j.select(*px.columns)
 
 
@@ -217,9 +218,18 @@ def zonal_polygons(px: DataFrame, zones: DataFrame, zone: str = "zone_id", rings
     and a zone over no pixel has a row with n 0 and nulls.
     """
     named = zones.select("raster_id", F.col(zone).alias(zone), F.col(rings).alias("rings"))
-    runs = combine(ring_runs(named), ["raster_id", zone, "row"])
-    s = under(px.select("raster_id", "row", "col", "v"), runs, [zone]).groupBy("raster_id", zone).agg(F.count("v").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"))
-    return named.select("raster_id", zone).distinct().join(s, ["raster_id", zone], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    keys = ["raster_id", zone]
+    counted = spread(named.filter(F.col("raster_id").isNotNull() & F.col(zone).isNotNull())).withColumn("gl_n", F.count("*").over(Window.partitionBy(*keys)))
+    own = ring_runs(counted.filter("gl_n = 1")).select(*keys, "row", "a", "b")  # those of one row don't overlap
+    runs = own.unionByName(combine(ring_runs(counted.filter("gl_n > 1")), [*keys, "row"]))
+    pieces = _pieces(runs).withColumns({"a": F.greatest(F.col("a"), F.col("piece") * PIECE).cast("int"), "b": F.least(F.col("b"), (F.col("piece") + 1) * PIECE).cast("int")})
+    pieces = settle(pieces.select(*keys, "row", "a", "b"), "zone-runs")
+    # equal stretches are told once, so pixels meet no more of them than a piece has, however many zones lie there
+    place = ["raster_id", "row", "a", "b"]
+    each = under(px.select("raster_id", "row", "col", "v"), pieces.select(*place).distinct(), ["a", "b"])
+    each = each.groupBy(*place).agg(F.count("v").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.sum("v").alias("gl_sum"))
+    s = pieces.join(each.hint("merge"), place).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.try_divide(F.sum("gl_sum"), F.sum("n")).alias("v_mean"))
+    return named.select(*keys).distinct().join(s.hint("merge"), keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def to_pixels(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: Column, height: Column) -> Column:
