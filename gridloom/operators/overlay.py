@@ -178,8 +178,79 @@ def _as_given(parts: list[np.ndarray], points: np.ndarray, quantum: float) -> li
     return parts
 
 
+#: Points up to which rings are looked at many at a time, and rings of one go.
+SHORT, MANY = 12, 4096
+
+
+def _plain(p: np.ndarray) -> np.ndarray:
+    """Which of rings (n x k x 2 whole numbers) are simple without a straight angle, so that repair leaves them as they are."""
+    k = p.shape[1]
+    q = np.roll(p, -1, axis=1)
+    turn = lambda a, b, c: _turn(a[..., 0], a[..., 1], b[..., 0], b[..., 1], c[..., 0], c[..., 1])
+    fine = (turn(np.roll(p, 1, axis=1), p, q) != 0).all(axis=1)
+    for i in range(k):
+        for j in range(i + 2, k - (i == 0)):
+            a, b, c, d = p[:, i], q[:, i], p[:, j], q[:, j]
+            # sides whose boxes are apart, or one of which lies on one side of the other's line, don't meet
+            apart = ((np.maximum(a, b) < np.minimum(c, d)) | (np.maximum(c, d) < np.minimum(a, b))).any(axis=1)
+            apart |= np.sign(turn(a, b, c)) * np.sign(turn(a, b, d)) > 0
+            apart |= np.sign(turn(c, d, a)) * np.sign(turn(c, d, b)) > 0
+            fine &= apart
+    return fine
+
+
+def repair_many(rings_: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """repair() of each ring; short ones that turn out to be simple are settled many at a time."""
+    out: list[list[np.ndarray] | None] = [None] * len(rings_)
+    by_size: dict[int, list[int]] = {}
+    cleaned: dict[int, np.ndarray] = {}
+    boxes: dict[int, tuple[np.ndarray, float]] = {}
+    for i, p in enumerate(rings_):
+        if len(p) <= SHORT and np.isfinite(p).all():
+            rest = _without_returns(p)
+            if len(rest) > 2:
+                cleaned[i] = rest
+                boxes[i] = (p.min(axis=0), float((p - p.min(axis=0)).max()))  # snapped as repair() does
+                by_size.setdefault(len(rest), []).append(i)
+    for at in by_size.values():
+        for k in range(0, len(at), MANY):
+            some = at[k : k + MANY]
+            given = np.stack([cleaned[i] for i in some])
+            zero = np.stack([boxes[i][0] for i in some])[:, None]
+            quantum = np.array([boxes[i][1] for i in some]) / (1 << 26)
+            p = 2 * np.rint((given - zero) / quantum[:, None, None]).astype(np.int64)
+            nxt = np.roll(p, -1, axis=1)
+            # in halves: a difference of two products fits 64 bits
+            left = (p[..., 0] * (nxt[..., 1] // 2) - (nxt[..., 0] // 2) * p[..., 1]).sum(axis=1) > 0
+            for i, fine, ccw, ring, snap in zip(some, _plain(p).tolist(), left.tolist(), given, p, strict=True):
+                if fine:
+                    first = int(np.lexsort((snap[:, 0], snap[:, 1]))[0])
+                    turned = np.roll(ring, -first, axis=0)
+                    out[i] = [turned if ccw else np.roll(turned[::-1], 1, axis=0)]
+    return [repair(p) if o is None else o for o, p in zip(out, rings_, strict=True)]
+
+
+def _without_returns(p: np.ndarray) -> np.ndarray:
+    """A ring without doubled points and spikes to a point and straight back; nothing else is left out."""
+    way: list[tuple[float, float]] = []
+    for v in map(tuple, p.tolist()):
+        if way and v == way[-1]:
+            continue
+        if len(way) > 1 and v == way[-2]:
+            way.pop()
+            continue
+        way.append(v)
+    while len(way) > 1 and way[0] == way[-1]:
+        way.pop()
+    return np.array(way).reshape(-1, 2)
+
+
 def _repair(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else [p.ravel() for p in repair(np.column_stack((x, y)).astype(np.float64))] for x, y in zip(xs, ys, strict=True)], dtype=object)
+    known = [k for k, x in enumerate(xs) if x is not None]
+    out: list[list[np.ndarray] | None] = [None] * len(xs)
+    for k, parts in zip(known, repair_many([np.column_stack((xs.iloc[k], ys.iloc[k])).astype(np.float64) for k in known]), strict=True):
+        out[k] = [p.ravel() for p in parts]
+    return pd.Series(out, dtype=object)
 
 
 def repair_parts(ring: Column, single_only: bool = False) -> Column:
@@ -194,8 +265,11 @@ def repair_parts(ring: Column, single_only: bool = False) -> Column:
     flat = F.pandas_udf(_repair, "array<array<double>>").asNondeterministic()(F.transform(some, lambda p: p["x"]), F.transform(some, lambda p: p["y"]))
     point = lambda r, i: F.struct(F.element_at(r, 2 * i + 1).alias("x"), F.element_at(r, 2 * i + 2).alias("y"))
     parts = F.transform(flat, lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda i: point(r, i)))
-    if not single_only:
-        return parts
+    return single_parts(parts) if single_only else parts
+
+
+def single_parts(parts: Column) -> Column:
+    """repair_parts() of single_only, from the parts of a ring that has been repaired."""
     outer = F.size(F.filter(parts, lambda r: vector.ring_signed_area(r) > 0))
     return F.when(outer > 1, F.array().cast(f"array<{vector.POINTS}>")).otherwise(parts)
 

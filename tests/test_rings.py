@@ -100,6 +100,24 @@ def test_repair_keeps_the_even_odd_inside():
             assert all(len(overlay.repair(a)) == 1 for a in parts if abs(vector.signed_area(a)) > 1e-6)
 
 
+def test_many_rings_are_repaired_as_one_by_one():
+    r = np.random.default_rng(3)
+    given = [np.zeros((0, 2)), np.ones((4, 2)), np.array([[0.0, 0], [1, 0], [np.nan, 1], [1, 1]])]
+    for i in range(300):
+        p = r.integers(0, 7, (r.integers(3, 9), 2)) + r.integers(0, 100) * 0.37 if i % 2 else r.random((r.integers(3, 15), 2)) * 10
+        p = np.insert(p, 1, p[0], axis=0) if i % 7 == 0 else p
+        given.append(np.concatenate((p[:2], p[1:2] + 5, p[1:2], p[2:])) if i % 11 == 0 else p)
+    for p, parts in zip(given, overlay.repair_many(given), strict=True):
+        assert [x.tolist() for x in parts] == [x.tolist() for x in overlay.repair(p)]
+
+
+def test_a_small_file_of_rings_is_repaired_in_many_tasks(spark, tmp_path):
+    from gridloom.plans.catalogue import queries
+
+    spark.range(400).select(F.col("id").alias("p_partkey"), F.lit(5).alias("p_size"), F.lit(900.0).alias("p_retailprice")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert queries()["repair_rings"](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_repair_column(spark):
     bow = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]
     d = spark.createDataFrame([(1, bow), (2, None), (3, []), (4, [(0.0, 0.0), (None, 1.0), (1.0, 0.0), (0.0, 1.0)])], f"i int, ring {RING}")
