@@ -71,6 +71,16 @@ def to_lonlat(x: Column, y: Column, epsg: Column | int) -> tuple[Column, Column]
     return _by_crs(epsg, {4326: (x, y), 3857: unmercator(x, y), 6933: uncea(x, y)})
 
 
+def to_local(x: Column, y: Column, epsg: Column, lon0: Column) -> tuple[Column, Column]:
+    """local_cea() around lon0 of a point in EPSG:4326, 3857 or 6933; null for any other number.
+
+    6933 is an equal-area system itself and only scaled, so that places beyond its poles have measures as well.
+    """
+    lx, ly = local_cea(*to_lonlat(x, y, epsg), lon0)
+    s0 = math.sin(math.radians(30.0))
+    return lx, F.when(epsg == 6933, y * (math.cos(math.radians(30.0)) / math.sqrt(1 - E * E * s0 * s0))).otherwise(ly)
+
+
 def from_lonlat(lon: Column, lat: Column, epsg: Column | int) -> tuple[Column, Column]:
     """A longitude and latitude in EPSG:4326, 3857 or 6933."""
     return _by_crs(epsg, {4326: (lon, lat), 3857: mercator(lon, lat), 6933: cea(lon, lat)})

@@ -194,11 +194,10 @@ def measure_georeferenced(px: DataFrame, meta: DataFrame, side: int = SIDE) -> D
     j = lab.join(at, "raster_id")
     extent = [F.col(f"gl_{c}") for c in ("xmin", "ymin", "xmax", "ymax", "width", "height")]
     lon0 = geo.to_lonlat(extent[0], extent[1], F.col("gl_epsg"))[0]
-    # a pixel's place is its row and column, as everywhere here
-    metres = lambda col, row: geo.local_cea(*geo.to_lonlat(*geo.to_map(col, row, *extent), F.col("gl_epsg")), lon0)
-    j = j.withColumn("gl_a", F.struct(*[c.alias(n) for n, c in zip("xy", metres(F.col("col"), F.col("row")), strict=True)]))
-    j = j.withColumn("gl_b", F.struct(*[c.alias(n) for n, c in zip("xy", metres(F.col("col") + 1, F.col("row") + 1), strict=True)]))
-    j = j.withColumns({"w": F.col("gl_b.x") - F.col("gl_a.x"), "h": F.col("gl_a.y") - F.col("gl_b.y")})
+    # a pixel's place is its row and column, as everywhere here; its width is told by the extent's, not by two far longitudes
+    metres = lambda row: geo.to_local(*geo.to_map(F.lit(0), row, *extent), F.col("gl_epsg"), lon0)[1]
+    east = geo.to_local((extent[2] - extent[0]) / extent[4], F.lit(0.0), F.col("gl_epsg"), F.lit(0.0))[0]
+    j = j.withColumns({"w": east, "h": metres(F.col("row")) - metres(F.col("row") + 1)})
     w, h, square = F.col("w"), F.col("h"), F.col("bits") == 15
     around = F.when(square, 2 * w + 2 * h).otherwise(w + h + F.sqrt(w * w + h * h)) - F.when(F.col("right"), 2 * h).otherwise(0) - F.when(F.col("down"), 2 * w).otherwise(0)
     x, y = geo.to_map(F.col("col"), F.col("row"), *extent)

@@ -223,7 +223,7 @@ def ring_features(rings: DataFrame, meta: DataFrame) -> DataFrame:
     lon0 = geo.to_lonlat(extent[0], extent[1], F.col("gl_epsg"))[0]
     point = lambda xy: F.struct(xy[0].alias("x"), xy[1].alias("y"))
     j = j.withColumn("ring", F.transform("ring", lambda p: point(geo.to_map(p["x"], p["y"], *extent))))
-    j = j.withColumn("gl_m", F.transform("ring", lambda p: point(geo.local_cea(*geo.to_lonlat(p["x"], p["y"], F.col("gl_epsg")), lon0))))
+    j = j.withColumn("gl_m", F.transform("ring", lambda p: point(geo.to_local(p["x"], p["y"], F.col("gl_epsg"), lon0))))
     m = vector.measure_rings(j)
     area = vector.ring_area(F.col("gl_m"))
     m = m.withColumns({"area_m2": area, "perim_m": vector.ring_perimeter(F.col("gl_m")), "a_diam_m": geo.equivalent_diameter(area)})
