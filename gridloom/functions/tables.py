@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.shared import spread
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -12,13 +14,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8x8 rasters: raster_id, row, col, v, zone."""
-    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("p", "x"))
+    e = spread(load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).select("vec_id", "label", F.posexplode("embedding").alias("p", "x"))
     return e.select(F.col("vec_id").alias("raster_id"), F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).cast("int").alias("col"), F.col("x").cast("double").alias("v"), F.col("label").alias("zone"))
 
 
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as one raster of 64 columns."""
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
+    e = spread(load(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", F.posexplode("embedding").alias("p", "x"))
     return e.select(F.lit(0).cast("long").alias("raster_id"), F.col("vec_id").cast("int").alias("row"), F.col("p").cast("int").alias("col"), F.col("x").cast("double").alias("v"))
 
 
@@ -26,7 +28,7 @@ def boxes(spark: SparkSession, sf_dir: str, shift: bool = False) -> DataFrame:
     """Boxes of 20 images from parts: box_id, image_id, xmin, ymin, xmax, ymax, score."""
     k = F.col("p_partkey")
     moved = k % 5 - 2 if shift else F.lit(0)
-    b = load(spark, sf_dir, "part").select(k.alias("box_id"), (k % 20).cast("int").alias("image_id"), (k * 37 % 206 + moved).cast("double").alias("xmin"), (k * 91 % 206).cast("double").alias("ymin"), F.col("p_size").cast("double").alias("w"), (1 + k % 50).cast("double").alias("h"), (F.col("p_retailprice") / 1000).alias("score"))
+    b = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")).select(k.alias("box_id"), (k % 20).cast("int").alias("image_id"), (k * 37 % 206 + moved).cast("double").alias("xmin"), (k * 91 % 206).cast("double").alias("ymin"), F.col("p_size").cast("double").alias("w"), (1 + k % 50).cast("double").alias("h"), (F.col("p_retailprice") / 1000).alias("score"))
     return b.select("box_id", "image_id", "xmin", "ymin", (F.col("xmin") + F.col("w")).alias("xmax"), (F.col("ymin") + F.col("h")).alias("ymax"), "score")
 
 

@@ -187,11 +187,24 @@ def resample(px: DataFrame, dims: DataFrame, scale: float, value: str = "v") ->
     Null or missing old pixels add nothing (their share is lost, and a new pixel of none is null or
     missing); a raster that shrinks to nothing, one without dims and an empty table give no row.
     """
-    d = dims.select("raster_id", "height", "width", F.floor(F.col("height") * scale).cast("int").alias("gl_h"), F.floor(F.col("width") * scale).cast("int").alias("gl_w"))
-    new = d.filter("gl_h > 0 and gl_w > 0").withColumn("r", F.explode(F.expr("sequence(0, gl_h - 1)"))).withColumn("c", F.explode(F.expr("sequence(0, gl_w - 1)")))
-    at = lambda i, n: F.greatest(F.lit(0.0), F.least((i + 0.5) / scale - 0.5, n - 1.0))
-    new = new.withColumns({"y": at(F.col("r"), F.col("height")), "x": at(F.col("c"), F.col("width"))})
-    new = new.withColumns({"y0": F.floor("y").cast("int"), "x0": F.floor("x").cast("int")})
-    around = F.explode(F.array(*[F.struct(F.least(F.col("y0") + i, F.col("height") - 1).alias("row"), F.least(F.col("x0") + j, F.col("width") - 1).alias("col"), ((F.col("y") - F.col("y0") if i else 1 - F.col("y") + F.col("y0")) * (F.col("x") - F.col("x0") if j else 1 - F.col("x") + F.col("x0"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
-    four = new.select("raster_id", "r", "c", around.alias("n")).select("raster_id", "r", "c", F.col("n.row").alias("row"), F.col("n.col").alias("col"), F.col("n.w").alias("w"))
-    return four.join(px.select("raster_id", "row", "col", F.col(value).alias("gl_v")), ["raster_id", "row", "col"]).groupBy("raster_id", "r", "c").agg(F.sum(F.col("w") * F.col("gl_v")).alias(value)).withColumnsRenamed({"r": "row", "c": "col"})
+    d = dims.select("raster_id", "height", "width", F.floor(F.col("height") * scale).cast("int").alias("gl_h"), F.floor(F.col("width") * scale).cast("int").alias("gl_w")).filter("gl_h > 0 and gl_w > 0")
+
+    def fed(k: Column, n: Column, m: Column) -> Column:
+        """The new places (of m) that old place k (of n) has a share in, with their shares."""
+        lo = F.when(k == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((k - 0.5) * scale - 0.5).cast("int")))
+        hi = F.when(k == n - 1, m - 1).otherwise(F.least(m - 1, F.ceil((k + 1.5) * scale - 0.5).cast("int")))
+
+        def share(i: Column) -> Column:
+            y = F.greatest(F.lit(0.0), F.least((i + 0.5) / scale - 0.5, n - 1.0))
+            y0 = F.floor(y)
+            first, second = y0 == k, F.least(y0 + 1, n - 1) == k
+            return F.when(first | second, F.when(first, 1 - y + y0).otherwise(0.0) + F.when(second, y - y0).otherwise(0.0))
+
+        to = F.transform(F.when(lo <= hi, F.sequence(lo, hi)), lambda i: F.struct(i.alias("to"), share(i).alias("w")))
+        return F.filter(to, lambda s: s["w"].isNotNull())
+
+    # an old pixel names the few new ones around it, so pixels are neither multiplied before a join nor joined with their places
+    j = px.select("raster_id", "row", "col", F.col(value).alias("gl_v")).join(d, "raster_id")
+    j = j.withColumn("gl_r", F.explode(fed(F.col("row"), F.col("height"), F.col("gl_h")))).withColumn("gl_c", F.explode(fed(F.col("col"), F.col("width"), F.col("gl_w"))))
+    j = j.select("raster_id", F.col("gl_r.to").alias("row"), F.col("gl_c.to").alias("col"), (F.col("gl_r.w") * F.col("gl_c.w") * F.col("gl_v")).alias("gl_part"))
+    return j.groupBy("raster_id", "row", "col").agg(F.sum("gl_part").alias(value))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo, text
-from gridloom.functions.shared import dense_ids, shared_dir, spread
+from gridloom.functions.shared import dense_ids, shared_dir
 from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notched_rings, pixels, placed, plots, points, slanted_rings
 from gridloom.operators import coco, detect, instances, metrics, overlay, polygons, raster, rings, runs, tiling, vector
 from gridloom.plans import flows
@@ -727,7 +727,7 @@ def dissolve_boxes(spark, sf):
 
 @query
 def repair_rings(spark, sf):
-    r = spread(damaged_rings(spark, sf)).withColumn("parts", overlay.repair_parts(F.col("ring")))
+    r = damaged_rings(spark, sf).withColumn("parts", overlay.repair_parts(F.col("ring")))
     r = r.withColumn("single", overlay.single_parts(F.col("parts")))
     signed = F.aggregate("parts", F.lit(0.0), lambda a, p: a + vector.ring_signed_area(p))
     return r.select("box_id", F.size("parts").alias("n_parts"), F.size("single").alias("n_single"), F.size(F.flatten("parts")).alias("n_points"), F.round(signed, 6).alias("area"))
