@@ -191,7 +191,7 @@ def resample(px: DataFrame, dims: DataFrame, scale: float, value: str = "v") ->
 
     def fed(k: Column, n: Column, m: Column) -> Column:
         """The new places (of m) that old place k (of n) has a share in, with their shares."""
-        lo = F.when(k == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((k - 0.5) * scale - 0.5).cast("int")))
+        lo = F.when(k <= 1, 0).otherwise(F.greatest(F.lit(0), F.floor((k - 0.5) * scale - 0.5).cast("int")))
         hi = F.when(k == n - 1, m - 1).otherwise(F.least(m - 1, F.ceil((k + 1.5) * scale - 0.5).cast("int")))
 
         def share(i: Column) -> Column:

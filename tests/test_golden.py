@@ -385,7 +385,7 @@ def test_resampling_equals_brute_force(spark):
                                 want[i, a, b] = was if v is None else (was or 0.0) + wy * wx * v
         got = {(x.raster_id, x.row, x.col): x.v for x in raster.resample(px, raster.dimensions(px), scale).collect()}
         assert got.keys() == want.keys()
-        assert all((got[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(got[k], want[k], abs_tol=1e-12)) for k in want), scale
+        assert [(k, got[k], want[k]) for k in want if (got[k] is None) != (want[k] is None) or want[k] is not None and not math.isclose(got[k], want[k], abs_tol=1e-12)] == [], scale
 
 
 def test_small_files_are_dealt_to_many_tasks(spark, tmp_path):
