@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import to_pixel
-from gridloom.functions.shared import dense_ids
+from gridloom.functions.shared import dense_ids, settle
 from gridloom.operators import vector
 
 SCHEMA = "images array<struct<id:int,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:int,category_id:int,segmentation:array<array<double>>,bbox:array<double>>>, categories array<struct<id:int,name:string,supercategory:string>>"
@@ -40,6 +40,7 @@ def ring_annotations(pieces: DataFrame, width: int, height: int, feature: str =
     flat = lambda r: F.flatten(F.transform(F.concat(r, F.slice(r, 1, 1)), lambda q: F.array(*place(q["x"], q["y"]))))
     (x0, y0), (x1, y1) = place(F.col("xmin"), F.col("ymin")), place(F.col("xmax"), F.col("ymax"))
     p = pieces.select((F.col("tile_id") + 1).cast("int").alias("image_id"), F.col(feature).alias("feature_id"), F.transform("parts", flat).alias("segmentation"), F.array(x0, y1, F.abs(x1 - x0), F.abs(y1 - y0)).alias("bbox"))
+    p = settle(p, "pieces")  # else the ranges' sample would clip all rings a second time
     return dense_ids(p, ["image_id", "feature_id"], "id", 1).select("id", "image_id", "feature_id", F.lit(1).alias("category_id"), "segmentation", "bbox")
 
 
