@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,17 +189,123 @@ def clip(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: float) -
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def _clip(xs: pd.Series, ys: pd.Series, xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
-    rows = zip(xs, ys, xmin, ymin, xmax, ymax, strict=True)
-    return pd.Series([None if x is None else [p.ravel() for p in clip(np.column_stack((x, y)), *box)] if len(x) > 2 else [] for x, y, *box in rows], dtype=object)
+def _half_planes(points: np.ndarray, starts: np.ndarray, axis: int, bound: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """half_plane() of many rings at once: points, where the parts start (and the end), the ring of each part, rings to be done one by one.
+
+    Ring k is points[starts[k]:starts[k + 1]], none is empty; bound has a number for each.
+    """
+    n, size, other = len(starts) - 1, np.diff(starts), 1 - axis
+    ring = np.repeat(np.arange(n), size)
+    after = np.arange(1, len(points) + 1)
+    after[starts[1:] - 1] = starts[:-1]
+    line = bound[ring]
+    inside = sign * (points[:, axis] - line) >= 0
+    cut = inside != inside[after]
+    crossed = np.bincount(ring, cut, n) > 0
+    # what goes on: points inside, and behind a point the place where the line is met
+    count = inside.astype(np.int64) + cut
+    place = np.cumsum(count) - count
+    total = int(count.sum())
+    out, of, begin, end = np.empty((total, 2)), np.repeat(ring, count), np.zeros(total, dtype=bool), np.zeros(total, dtype=bool)
+    out[place[inside]] = points[inside]
+    at = np.flatnonzero(cut)
+    p, q = points[at], points[after[at]]
+    met = place[at] + inside[at]
+    out[met, axis] = line[at]
+    out[met, other] = p[:, other] + (line[at] - p[:, axis]) / (q[:, axis] - p[:, axis]) * (q[:, other] - p[:, other])
+    begin[met], end[met] = ~inside[at], inside[at]
+    first = np.ones(total, dtype=bool)
+    first[1:] = of[1:] != of[:-1]
+    opens = begin | (first & ~crossed[of])
+    chain = np.cumsum(opens) - 1
+    last = np.cumsum(np.bincount(of[opens], minlength=n).astype(np.int64)) - 1  # of each ring
+    early = chain <= np.where(of > 0, last[of - 1], -1)  # those before the ring's first beginning close its last chain
+    chain[early] = last[of[early]]
+    along = np.arange(total) + np.where(early, total, 0)
+    n_chains = int(opens.sum())
+    owner = of[opens]
+    follows = np.arange(n_chains)
+    alone = np.zeros(n, dtype=bool)
+    many = np.bincount(owner, minlength=n)[of] > 1
+    ends = np.flatnonzero((begin | end) & many)
+    if len(ends):
+        ends = ends[np.lexsort((chain[ends], begin[ends], out[ends, other], of[ends]))]
+        a, z = ends[::2], ends[1::2]  # along the line the inner side lies between every second end and the next
+        wrong = begin[a] == begin[z]
+        alone[of[a[wrong]]] = True
+        a, z = np.where(begin[a], z, a)[~wrong], np.where(begin[a], a, z)[~wrong]
+        follows[chain[a]] = chain[z]
+    stays = alone[owner]
+    follows[stays] = np.flatnonzero(stays)
+    label, turn = np.arange(n_chains), np.zeros(n_chains, dtype=np.int64)
+    now, walks = follows.copy(), np.flatnonzero(follows != np.arange(n_chains))
+    # each chain walks around its part: its label is the smallest chain met, its turn the steps from there on
+    step = 1
+    while len(walks):
+        lower = now[walks] < label[walks]
+        label[walks[lower]] = now[walks[lower]]
+        turn[walks[lower]] = step
+        now[walks] = follows[now[walks]]
+        step += 1
+        walks = walks[now[walks] != walks]
+    length = np.bincount(label, minlength=n_chains)
+    turn = np.where(turn > 0, length[label] - turn, 0)
+    order = np.lexsort((along, turn[chain], label[chain]))
+    part = label[chain][order]
+    new = np.flatnonzero(np.diff(part, prepend=-1))
+    return out[order], np.append(new, total), owner[part[new]], alone
+
+
+def clip_many(points: np.ndarray, starts: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """clip() of many rings of three points or more, each to its box (n x 4): points, where the parts start (and the end), the ring of each part.
+
+    Rings with null points, and those whose ends along a side are in disorder, are done one by one.
+    """
+    n = len(starts) - 1
+    alone = np.zeros(n, dtype=bool)
+    whole = np.repeat(np.arange(n), np.diff(starts))
+    alone[whole[~np.isfinite(points).all(axis=1)]] = True
+    alone |= ~np.isfinite(boxes).all(axis=1)
+    keep = ~alone[whole]
+    now, of = points[keep], np.flatnonzero(~alone)
+    at = np.concatenate(([0], np.cumsum(np.diff(starts)[of])))
+    for axis, column, sign in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
+        now, at, ring, odd = _half_planes(now, at, axis, boxes[of, column], sign)
+        alone[of[odd]] = True
+        of = of[ring]
+    if len(of):
+        size = np.diff(at)
+        near = now - np.repeat(now[at[:-1]], size, axis=0)
+        after = np.arange(1, len(now) + 1)
+        after[at[1:] - 1] = at[:-1]
+        area = np.add.reduceat(near[:, 0] * near[after, 1] - near[after, 0] * near[:, 1], at[:-1]) / 2
+        good = (np.abs(area) > LEAST_PIECE) & ~alone[of]
+        now, of, at = now[np.repeat(good, size)], of[good], np.concatenate(([0], np.cumsum(size[good])))
+    if alone.any():
+        found = [(k, p) for k in np.flatnonzero(alone) for p in clip(points[starts[k] : starts[k + 1]], *boxes[k])]
+        parts = [*(now[a:z] for a, z in zip(at, at[1:], strict=False)), *(p for _, p in found)]
+        of = np.array([*of.tolist(), *(k for k, _ in found)], dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        now, of = np.concatenate([np.zeros((0, 2)), *(parts[i] for i in order)]), of[order]
+        at = np.cumsum([0, *(len(parts[i]) for i in order)])
+    return now, at, of
+
+
+def _clip(xs: pa.Array, ys: pa.Array, xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(xs), 0).to_numpy().astype(np.int64)
+    points = np.column_stack([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (xs, ys)])
+    some = size > 2
+    boxes = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (xmin, ymin, xmax, ymax)])
+    now, at, of = clip_many(points[np.repeat(some, size)], np.concatenate(([0], np.cumsum(size[some]))), boxes[some])
+    rings = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(now[:, 0]), pa.array(now[:, 1])], names=["x", "y"]))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(np.flatnonzero(some)[of], minlength=len(size))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), rings, mask=pc.is_null(xs))
 
 
 def clip_parts(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """The parts of a simple ring in a rectangle, an array of rings; empty where they don't meet, null for null."""
     # named nondeterministic so that no filter on the parts makes them a second time
-    flat = F.pandas_udf(_clip, "array<array<double>>").asNondeterministic()(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]), xmin, ymin, xmax, ymax)
-    point = lambda r, i: F.struct(F.element_at(r, 2 * i + 1).alias("x"), F.element_at(r, 2 * i + 2).alias("y"))
-    return F.transform(flat, lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda i: point(r, i)))
+    return F.arrow_udf(_clip, f"array<{POINTS}>").asNondeterministic()(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]), xmin, ymin, xmax, ymax)
 
 
 def parts_area(parts: Column) -> Column:

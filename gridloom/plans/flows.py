@@ -41,7 +41,8 @@ def export_dataset(path: str, px: DataFrame, meta: DataFrame, rings: DataFrame,
     sized = tiles.withColumns({"height": first(r + 1, at["height"]) - first(r, at["height"]), "width": first(c + 1, at["width"]) - first(c, at["width"]), "epsg": F.lit(at["epsg"])})
     inside = tiling.clip_pixels(px, at["height"], at["width"], n).select(F.col("tile_id").alias("raster_id"), F.col("tile_row").alias("row"), F.col("tile_col").alias("col"), *bands)
     geotiff.write(geotiff.encode_rasters(inside, sized.withColumnRenamed("tile_id", "raster_id"), bands), f"{path}/images")
-    pieces = tiling.overlay_rings(rings, bounds, n).join(sized.select("tile_id", "height", "width"), "tile_id")
+    size = sized.select("tile_id", "height", "width")
+    pieces = tiling.overlay_rings(rings, bounds, n).join(F.broadcast(size) if n <= 100 else size, "tile_id")  # up to 10,000 tiles; else a task a tile
     images = sized.select((F.col("tile_id") + 1).cast("int").alias("id"), F.concat(F.lit("tile_"), F.col("tile_id"), F.lit(".tif")).alias("file_name"), "width", "height")
     coco.write_tables(f"{path}/annotations", images, coco.ring_annotations(pieces, F.col("width"), F.col("height")))
 

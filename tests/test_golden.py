@@ -413,3 +413,36 @@ def test_annotations_make_their_pieces_once(spark, tmp_path):
     assert sorted((x.id, x.feature_id) for x in a) == [(k + 1, k) for k in range(50)]
     with open(seen) as f:
         assert len(f.read()) == 50
+
+
+def test_rings_clipped_together_are_those_clipped_one_by_one():
+    r = random.Random(3)
+    notch = [(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)]
+    rings = [np.array(star(r, r.uniform(20, 80), r.uniform(20, 80)) if i % 2 else [(x + i % 60, y + i % 55) for x, y in notch], dtype=float) for i in range(600)]
+    rings[7][1, 0] = np.nan
+    boxes = np.array([r.choice(((30, 30, 70, 70), (0, 40, 100, 100), (30, 0, 35, 100), (5, 5, 5.5, 5.5))) for _ in rings], dtype=float)
+    points, at, of = vector.clip_many(np.concatenate(rings), np.cumsum([0, *map(len, rings)]), boxes)
+
+    def turned(p):
+        k = np.lexsort((p[:, 1], p[:, 0]))[0]
+        return np.roll(p, -k, axis=0).round(9).tolist()
+
+    got = [[] for _ in rings]
+    for k, a, z in zip(of, at, at[1:], strict=False):
+        got[k].append(turned(points[a:z]))
+    assert sum(len(g) > 1 for g in got) > 10
+    for k, (ring, box) in enumerate(zip(rings, boxes, strict=True)):
+        if k != 7:
+            assert sorted(got[k]) == sorted(map(turned, vector.clip(ring, *box))), k
+    assert [x.tolist() for x in vector.clip_many(np.zeros((0, 2)), np.array([0]), np.zeros((0, 4)))] == [[], [0], []]
+
+
+def test_overlay_clips_no_ring_by_itself(spark, monkeypatch):
+    """Concave rings over a tile's border are clipped a batch at a time."""
+    def stop(*a):
+        raise AssertionError("one by one")
+
+    monkeypatch.setattr(vector, "clip", stop)
+    rings = [np.array([(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)], dtype=float) + i for i in range(5)]
+    _, at, of = vector.clip_many(np.concatenate(rings), np.arange(0, 26, 5), np.tile([0.0, 6.0, 20.0, 20.0], (5, 1)))
+    assert np.bincount(of).tolist() == [2, 2, 2, 2, 2]
