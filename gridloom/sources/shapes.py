@@ -33,6 +33,8 @@ from gridloom.sources.rasters import STAGED
 NAME = "gridloom_shapes"
 #: Bytes of shapes that a partition reads, and of a file that is written.
 SPLIT, FILE_BYTES = 16 << 20, 256 << 20
+#: Numbers of a shape up to which it is packed without arrays.
+SMALL = 128
 # codes, versions and widths of the format (fixed values)
 FILE_CODE, VERSION, NULL, POINT, LINE, POLYGON = 9994, 1000, 0, 1, 3, 5
 WHOLE, REAL, TEXT, LONGEST_NAME = 18, 24, 80, 10
@@ -73,19 +75,46 @@ def pack_shape(kind: int, parts: list[np.ndarray] | None) -> tuple[bytes, list[f
     return struct.pack(f"<i4d2i{len(parts)}i", kind, *box, len(parts), len(points), *starts.tolist()) + points.astype("<f8").tobytes(), box
 
 
+def pack_small(kind: int, parts: list[list[float]]) -> tuple[bytes, list[float] | None]:
+    """pack_shape() of lines and polygons of few points, each part a list x, y, x, y ...; arrays would cost more than they save."""
+    parts = [p for p in parts if p]
+    if not parts:
+        return struct.pack("<i", NULL), None
+    if kind == POLYGON:
+        p = parts[0]
+        x0, y0 = p[0], p[1]
+        twice = sum((p[i - 2] - x0) * (p[i + 1] - y0) - (p[i] - x0) * (p[i - 1] - y0) for i in range(0, len(p), 2))
+        if not twice < 0:
+            parts = [[c for i in range(len(p) - 2, -1, -2) for c in p[i : i + 2]] for p in parts]
+        parts = [p if p[0] == p[-2] and p[1] == p[-1] else p + p[:2] for p in parts]
+    flat = [c for p in parts for c in p]
+    box = [min(flat[::2]), min(flat[1::2]), max(flat[::2]), max(flat[1::2])]
+    starts, n = [], 0
+    for p in parts:
+        starts.append(n)
+        n += len(p) // 2
+    return struct.pack(f"<i4d2i{len(parts)}i{len(flat)}d", kind, *box, len(parts), n, *starts, *flat), box
+
+
 def unpack_shape(content: bytes) -> list[np.ndarray] | None:
+    rings = unpack_raw(content)
+    return None if rings is None else [np.frombuffer(r, dtype="<f8").reshape(-1, 2) for r in rings]
+
+
+def unpack_raw(content: bytes) -> list[bytes] | None:
+    """The parts of a record as the bytes of their numbers, polygons without the repeated point."""
     kind = struct.unpack_from("<i", content)[0]
     if kind == NULL:
         return None
     if kind > 30 or kind % 10 not in (POINT, LINE, POLYGON):
         raise ValueError(f"shapes of kind {kind} aren't read")
     if kind % 10 == POINT:
-        return [np.array([struct.unpack_from("<2d", content, 4)])]
+        return [content[4:20]]
     n, m = struct.unpack_from("<2i", content, 36)
-    cuts = [*struct.unpack_from(f"<{n}i", content, 44), m]
-    points = np.frombuffer(content, dtype="<f8", count=2 * m, offset=44 + 4 * n).reshape(m, 2)
-    out = [points[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-    return [p[:-1] if kind % 10 == POLYGON and len(p) > 1 and (p[0] == p[-1]).all() else p for p in out]
+    cuts, zero = [*struct.unpack_from(f"<{n}i", content, 44), m], 44 + 4 * n
+    out = [content[zero + 16 * a : zero + 16 * z] for a, z in zip(cuts, cuts[1:], strict=False)]
+    twice = lambda r: len(r) > 16 and all(p == q for p, q in zip(struct.unpack_from("<2d", r), struct.unpack_from("<2d", r, len(r) - 16), strict=True))
+    return [r[:-16] if kind % 10 == POLYGON and twice(r) else r for r in out]
 
 
 @dataclasses.dataclass
@@ -171,8 +200,10 @@ class Layer:
         self.kind, self.fields, self.box = kind, fields, [math.inf, math.inf, -math.inf, -math.inf]
         self.shapes, self.index, self.rows, self.n = bytearray(), bytearray(), bytearray(), 0
 
-    def add(self, parts: list[np.ndarray] | None, values: list) -> None:
-        content, box = pack_shape(self.kind, parts)
+    def add(self, parts: list[list[float]] | None, values: list) -> None:
+        """A record of parts, each x, y, x, y ..., and attributes."""
+        small = parts is not None and self.kind != POINT and sum(map(len, parts)) <= SMALL and all(c is not None and c == c for p in parts for c in p)
+        content, box = pack_small(self.kind, parts) if small else pack_shape(self.kind, None if parts is None else [np.array(p, dtype=np.float64).reshape(-1, 2) for p in parts])
         self.n += 1
         self.index += struct.pack(">2i", (100 + len(self.shapes)) // 2, len(content) // 2)
         self.shapes += struct.pack(">2i", self.n, len(content) // 2) + content
@@ -266,14 +297,18 @@ class ShapeReader(DataSourceReader):
         values: dict[str, list] = {n: [] for n in self.names}
         parts = []
         for k, (at, n) in enumerate(index.tolist()):
-            found = unpack_shape(shapes[at - zero + 8 : at - zero + 8 + n])
-            parts.append(None if found is None else [[{"x": x, "y": y} for x, y in ring.tolist()] for ring in found])
+            parts.append(unpack_raw(shapes[at - zero + 8 : at - zero + 8 + n]))
             for x, a in zip(fields, places.tolist(), strict=False):
                 if x.name in values:
                     values[x.name].append(x.unpack(rows[k * width + a : k * width + a + x.width]))
-        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        rings = [r for found in parts for r in found or ()]
+        points = np.frombuffer(b"".join(rings), dtype="<f8")
+        point = pa.StructArray.from_arrays([pa.array(points[::2]), pa.array(points[1::2])], names=["x", "y"])
+        upto = lambda sizes: pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        ring = pa.ListArray.from_arrays(upto(len(r) // 16 for r in rings), point)
+        shaped = pa.ListArray.from_arrays(upto(len(found or ()) for found in parts), ring, mask=pa.array([found is None for found in parts], type=pa.bool_()))
         kinds = {x.name: {"C": pa.string(), "D": pa.string(), "L": pa.bool_()}.get(x.kind, pa.float64() if x.decimals else pa.int64()) for x in fields}
-        columns = [pa.array([p.path.rpartition("/")[2]] * len(parts)), pa.array(range(p.first, p.past), type=pa.int64()), pa.array(parts, type=pa.list_(pa.list_(point)))]
+        columns = [pa.array([p.path.rpartition("/")[2]] * len(parts)), pa.array(range(p.first, p.past), type=pa.int64()), shaped]
         columns += [pa.array(v, type=kinds[n]) if v else pa.nulls(len(parts)) for n, v in values.items()]
         yield pa.RecordBatch.from_arrays(columns, names=["file", "record", "parts", *values])
 
@@ -301,7 +336,7 @@ class ShapeWriter(DataSourceArrowWriter):
             fields = fields_of(pa.schema([batch.schema.field(n) for n in names]))
             for parts, *values in zip(*(batch.column(n).to_pylist() for n in ("gl_parts", *names)), strict=True):
                 layer = layer or Layer(self.kind, fields)
-                layer.add(None if parts is None else [np.array(p, dtype=np.float64).reshape(-1, 2) for p in parts], values)
+                layer.add(parts, values)
                 if len(layer.shapes) + len(layer.rows) > self.file_bytes:
                     close()
                     layer = None

@@ -76,3 +76,15 @@ def test_what_is_refused(spark, tmp_path):
     shapes.write(d.filter("false"), f"file://{tmp_path}/e", "x")
     with pytest.raises(Exception, match="no shapefile"):
         shapes.read(spark, f"file://{tmp_path}/e").count()
+
+
+def test_small_shapes_are_packed_without_arrays(monkeypatch):
+    """The bytes are those of arrays, and the writer makes no arrays of small shapes."""
+    for kind in (shapes.POLYGON, shapes.LINE):
+        for parts in ([[0.0, 0.0, 4.0, 0.0, 4.0, 3.0]], [[0.0, 0.0, 4.0, 3.0, 4.0, 0.0]], [[0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0, 0.0, 0.0], [2.0, 2.0, 2.0, 3.0, 3.0, 3.0]], [[1.0, 1.0, 2.0, 2.0, 3.0, 3.0]], [[5.0, 5.0]], [[], []], []):
+            want = shapes.pack_shape(kind, [np.array(p, dtype=np.float64).reshape(-1, 2) for p in parts])
+            assert shapes.pack_small(kind, parts) == want
+    layer = shapes.Layer(shapes.POLYGON, [])
+    monkeypatch.setattr(shapes, "pack_shape", lambda *a: pytest.fail("made arrays"))
+    layer.add([[0.0, 0.0, 4.0, 0.0, 4.0, 3.0]], [])
+    assert layer.box == [0.0, 0.0, 4.0, 3.0]
