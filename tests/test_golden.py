@@ -437,12 +437,12 @@ def test_rings_clipped_together_are_those_clipped_one_by_one():
     assert [x.tolist() for x in vector.clip_many(np.zeros((0, 2)), np.array([0]), np.zeros((0, 4)))] == [[], [0], []]
 
 
-def test_overlay_clips_no_ring_by_itself(spark, monkeypatch):
+def test_overlay_clips_no_ring_by_itself(monkeypatch):
     """Concave rings over a tile's border are clipped a batch at a time."""
     def stop(*a):
         raise AssertionError("one by one")
 
     monkeypatch.setattr(vector, "clip", stop)
     rings = [np.array([(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)], dtype=float) + i for i in range(5)]
-    _, at, of = vector.clip_many(np.concatenate(rings), np.arange(0, 26, 5), np.tile([0.0, 6.0, 20.0, 20.0], (5, 1)))
+    _, at, of = vector.clip_many(np.concatenate(rings), np.arange(0, 26, 5), np.tile([0.0, 6.5, 20.0, 20.0], (5, 1)))
     assert np.bincount(of).tolist() == [2, 2, 2, 2, 2]
