@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.window import Window
 
 from gridloom.functions.shared import settle
 from gridloom.operators import detect, rings, runs
@@ -27,9 +28,13 @@ FIELDS = "instance int, xmin double, ymin double, xmax double, ymax double, scor
 
 def mask_counts(mask: np.ndarray) -> list[int]:
     """Run lengths of a mask column by column, beginning with the unset ones."""
-    flat = np.concatenate(([False], np.asarray(mask, dtype=bool).ravel(order="F")))
-    ends = np.flatnonzero(np.diff(flat)).tolist()
-    return np.diff([0, *ends, flat.size - 1]).tolist()
+    mask = np.asarray(mask, dtype=bool)
+    cols, height = np.flatnonzero(mask.any(axis=0)), mask.shape[0]
+    first, past = (cols[0], cols[-1] + 1) if len(cols) else (0, 0)  # the others are unset
+    flat = np.concatenate(([False], mask[:, first:past].ravel(order="F"), [False]))
+    ends = np.flatnonzero(flat[1:] != flat[:-1]) + first * height
+    marks = ends[:-1] if len(ends) and ends[-1] == mask.size else ends
+    return np.diff(np.concatenate(([0], marks, [mask.size]))).tolist()
 
 
 def segment(images: DataFrame, model: Callable[[], Model], cut: float = CUT) -> DataFrame:
@@ -37,10 +42,12 @@ def segment(images: DataFrame, model: Callable[[], Model], cut: float = CUT) ->
 
     model() is called once for each partition's worker. Instances are numbered from 0 in the order the
     model gives them; a mask's pixels above cut are set. An image without instances has no row, a null
-    image_id stays null.
+    image_id stays null. An image too large for one row comes as several with a whole number part, and its
+    instances are numbered on from part to part; part is none of the columns returned.
     """
 
     fields = StructType.fromDDL(FIELDS).fields  # parsed here: workers have no session
+    keys = [c for c in ("image_id", "part") if c in images.columns]
 
     class Instances:
         def __init__(self) -> None:
@@ -51,16 +58,24 @@ def segment(images: DataFrame, model: Callable[[], Model], cut: float = CUT) ->
             kinds = {f.name: f.dataType for f in table.dataType.fields}
             if "image_id" not in kinds:
                 raise ValueError("images need an image_id")
-            return AnalyzeResult(StructType([StructField("image_id", kinds["image_id"]), *fields]))
+            own = [StructField(c, kinds[c]) for c in ("image_id", "part") if c in kinds]
+            return AnalyzeResult(StructType([*own, *fields]))
 
         def eval(self, row: Row):
             if self.find is None:
                 self.find = model()
             for k, (box, score, mask) in enumerate(self.find(row)):
                 h, w = mask.shape
-                yield (row["image_id"], k, *map(float, box), float(score), h, w, mask_counts(mask > cut))
-
-    return F.udtf(Instances)(images.asTable())
+                yield (*[row[c] for c in keys], k, *map(float, box), float(score), h, w, mask_counts(mask > cut))
+
+    found = F.udtf(Instances, useArrow=True)(images.asTable())
+    if "part" not in keys:
+        return found
+    found = settle(found, "instance-parts")
+    before = Window.partitionBy("image_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("image_id", "part").agg(F.count("*").alias("n")).select(F.col("image_id").alias("gl_image"), F.col("part").alias("gl_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("gl_before"))
+    j = found.join(sizes, F.col("image_id").eqNullSafe(F.col("gl_image")) & F.col("part").eqNullSafe(F.col("gl_part")))
+    return j.withColumn("instance", (F.col("instance") + F.col("gl_before")).cast("int")).drop("part", "gl_image", "gl_part", "gl_before")
 
 
 def polygons(instances: DataFrame, meta: DataFrame, overlap: float = detect.OVERLAP, side: int = rings.polygons.SIDE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo, text
-from gridloom.functions.shared import dense_ids, settle, shared_dir
+from gridloom.functions.shared import dense_ids, settle, shared_dir, spread
 from gridloom.functions.tables import boxes, damaged_rings, load, mosaic, notched_rings, pixels, placed, plots, points, slanted_rings
 from gridloom.operators import coco, detect, instances, metrics, overlay, polygons, raster, rings, runs, tiling, vector
 from gridloom.plans import flows
@@ -20,6 +20,8 @@ from gridloom.sources import files, geotiff, shapes
 SIDE, DIVISIONS, EXPORT = 16, 4, 256
 #: Share of a raster's maximum that the object queries cut at.
 PERCENT = 15.0
+#: Boxes of an image that the stand-ins for models are given at a time.
+PART = 256
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -632,8 +634,10 @@ def _segmenter():
 
 
 def _image_rows(spark, sf):
+    """The boxes of an image in rows of PART at most, by box_id: image_id, part, boxes."""
     listed = F.array_sort(F.collect_list(F.struct("box_id", "xmin", "ymin", "xmax", "ymax", "score")))
-    return boxes(spark, sf).groupBy("image_id").agg(listed.alias("boxes"))
+    part = F.floor(F.col("box_id") / (20 * PART)).alias("part")  # every twentieth number is of an image
+    return spread(boxes(spark, sf).groupBy("image_id", part).agg(listed.alias("boxes")))
 
 
 def _image_meta(spark, sf):

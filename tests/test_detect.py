@@ -53,3 +53,31 @@ def test_one_image_is_no_group(spark):
     assert 0 < kept.count() < n
     again = detect.suppress(kept, 0.4)
     assert again.count() == kept.count()  # no two kept ones overlap too much
+
+
+@pytest.mark.parametrize("first", [7, 100])
+def test_taken_in_portions_same_as_greedy(spark, monkeypatch, first):
+    monkeypatch.setattr(detect, "FIRST", first, raising=False)
+    r = random.Random(3)
+    rows = []
+    for k in range(400):
+        x, y, s = r.uniform(-60, 60), r.uniform(-60, 60), r.choice([1, 2, 5, 17, 40])
+        rows.append((r.choice([1, 2, None]), k, x, y, x + s * r.uniform(0.5, 1), y + s * r.uniform(0.5, 1), r.choice([0.5, None, round(r.random(), 1)])))
+    rows += [(1, 1000 + k, 0.0, 0.0, 8.0, 8.0, 0.95) for k in range(30)] + [(2, 2000, 3.0, 3.0, 3.0, 9.0, 1.0), (2, 2001, None, 3.0, 9.0, 9.0, 1.0)]
+    assert sorted(map(tuple, detect.suppress(spark.createDataFrame(rows, SCHEMA), 0.2).collect()), key=repr) == greedy(rows, 0.2)
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    r, written, settle = random.Random(4), [], detect.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name == "overlaps":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(detect, "settle", counted)
+    monkeypatch.setattr(detect, "FIRST", 64, raising=False)
+    rows = [(1, k, r.random(), r.random(), 20 + r.random(), 20 + r.random(), r.random()) for k in range(1500)]
+    assert len(detect.suppress(spark.createDataFrame(rows, SCHEMA), 0.4).collect()) == 1
+    assert sum(written) < 10_000  # there are over a million pairs that overlap
