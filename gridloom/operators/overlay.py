@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +32,8 @@ from gridloom.operators import rings, vector
 QUANTUM = 1e-6
 #: Segments of a cell that are compared in pairs, and the smallest cell (in steps).
 CROWD, LEAST_CELL = 1500, 64
+#: Rings of a place that others are looked for in before anything is cut.
+HOLDERS = 64
 #: Comparisons made at a time.
 BLOCK = 1 << 21
 #: Coordinates inside a cell are below this bound, so that products of differences fit 64 bits.
@@ -279,6 +282,83 @@ def single_parts(parts: Column) -> Column:
 SEGMENTS = "raster_id long, r long, c long, ax long, ay long, bx long, by long"
 
 
+def _holder(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None] | None:
+    """Lower and upper corner of a convex ring (n x 2 even numbers) and the ring from the lower one on, None where it is its box; None for other rings."""
+    lo, hi = p.min(axis=0), p.max(axis=0)
+    p = p[(p != np.roll(p, 1, axis=0)).any(axis=1)] - lo
+    if len(p) < 3 or (hi - lo).max() >= REACH:
+        return None
+    if vector.signed_area(p.astype(np.float64)) < 0:
+        p = p[::-1]
+    d = np.roll(p, -1, axis=0) - p
+    e = np.roll(d, -1, axis=0)
+    turn, along = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(axis=1)
+    once = np.arctan2(turn, along).sum() < 3 * math.pi  # a star goes around twice
+    if not once or not ((turn > 0) | (turn == 0) & (along > 0)).all():
+        return None
+    return lo, hi, None if len(p) == 4 and (d == 0).any(axis=1).all() else p
+
+
+def _covered(holder: tuple[np.ndarray, np.ndarray, np.ndarray | None], some: np.ndarray, points: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of some rings (numbers; the points of k are those from start[k] to start[k + 1]) lie in a holder."""
+    lo, hi, p = holder
+    out = (low[some] >= lo).all(axis=1) & (high[some] <= hi).all(axis=1)
+    if p is None or not out.any():
+        return out
+    at = some[out]
+    size = start[at + 1] - start[at]
+    first = np.cumsum(size) - size
+    v = (points[np.repeat(start[at] - first, size) + np.arange(size.sum())] - lo).T
+    inside = np.ones(v.shape[1], dtype=bool)
+    for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
+        inside &= _turn(*a, *b, *v) >= 0
+    out[out] = np.logical_and.reduceat(inside, first)
+    return out
+
+
+def _outermost(features: DataFrame, side: float, quantum: float) -> DataFrame:
+    """features (raster_id, xs, ys) without rings that lie in a convex one: their union is the same, and where rings lie dense few are left.
+
+    Rings are sorted by the cell (of this side) of their box's lower corner and by size, and go by in this
+    order; each is looked for in up to HOLDERS of those that went by in its cell. So a task holds no more
+    than these, however many rings there are, and rings in none of them stay, whatever else they lie in.
+    """
+    lo = [F.array_min(c) for c in ("xs", "ys")]
+    size = (F.array_max("xs") - lo[0]) * (F.array_max("ys") - lo[1])
+    order = ["raster_id", "gl_r", "gl_c", F.desc("gl_size")]
+    placed = features.withColumns({"gl_r": F.floor(lo[1] / side), "gl_c": F.floor(lo[0] / side), "gl_size": size})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, holders = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raster, xs, ys, *place = batch.columns
+            points = snapped(np.column_stack([v.flatten().to_numpy(zero_copy_only=False) for v in (xs, ys)]), quantum)
+            start = np.concatenate(([0], np.cumsum(pc.list_value_length(xs).to_numpy())))
+            low, high = np.minimum.reduceat(points, start[:-1]), np.maximum.reduceat(points, start[:-1])
+            key = np.column_stack([v.to_numpy() for v in (raster, *place)])
+            begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+            keep = np.ones(len(key), dtype=bool)
+            for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+                if cell != (cell := tuple(key[a].tolist())):
+                    holders = []
+                some, k = np.arange(a, z), 0
+                while len(some) and (k < len(holders) or k < HOLDERS and len(some) > 1):
+                    if k == len(holders):
+                        own, some = some[0], some[1:]
+                        if (holder := _holder(points[start[own] : start[own + 1]])) is None:
+                            continue
+                        holders.append(holder)
+                    gone = _covered(holders[k], some, points, start, low, high)
+                    keep[some[gone]] = False
+                    some, k = some[~gone], k + 1
+            yield pa.RecordBatch.from_arrays([raster, xs, ys], names=["raster_id", "xs", "ys"]).filter(pa.array(keep))
+
+    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.select("raster_id", "xs", "ys", "gl_r", "gl_c").mapInArrow(run, features.select("raster_id", "xs", "ys").schema)
+
+
 def _cut(p: np.ndarray, q: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A segment's pieces in the cells it passes: row and column of the cell, start, end; the same both ways."""
     if (p[1], p[0]) > (q[1], q[0]):
@@ -380,7 +460,7 @@ def dissolve(features: DataFrame, quantum: float = QUANTUM, cell: float | None =
 
     cell is the side of a grid cell in map units; by default it starts at the mean side of the rings' boxes
     and is halved until no cell has over crowd segments, all in one cell's size: rings much longer than
-    that are cut into as many pieces as they cross cells.
+    that are cut into as many pieces as they cross cells. Rings inside of another are left out before that.
     """
     spark = features.sparkSession
     xs, ys = F.transform("ring", lambda p: p["x"].cast("double")), F.transform("ring", lambda p: p["y"].cast("double"))
@@ -390,14 +470,17 @@ def dissolve(features: DataFrame, quantum: float = QUANTUM, cell: float | None =
     f = settle(f.distinct(), "dissolve")
     side = F.greatest(F.array_max("xs") - F.array_min("xs"), F.array_max("ys") - F.array_min("ys"))
     step = quantum / 2
-    size = 2 * int(max(LEAST_CELL, min(REACH, (cell if cell is not None else f.agg(F.avg(side)).first()[0] or 1.0) / step)) / 2)
+    mean = f.agg(F.avg(side)).first()[0] or 1.0
+    f = settle(_outermost(f, mean, quantum), "dissolve-outermost")
+    size = 2 * int(max(LEAST_CELL, min(REACH, (cell if cell is not None else mean) / step)) / 2)
     while True:
         segments = settle(_segments(f, size, quantum), "dissolve-segments")
         most = segments.groupBy("raster_id", "r", "c").count().agg(F.max("count")).first()[0] or 0
         if most <= crowd or size // 2 < LEAST_CELL:
             break
         size = 2 * (size // 4)
-    rows = segments.join(_corners(segments, size), ["raster_id", "r", "c"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.join(_corners(segments, size), ["raster_id", "r", "c"]).repartition(tasks, "raster_id", "r", "c")  # few bytes, much work
     paths = settle(rows.groupBy("raster_id", "r", "c").applyInArrow(_cell_paths(size), rings.PATHS), "dissolve-paths")
     found = rings.join_all(paths)
     p = F.zip_with("xs", "ys", lambda x, y: F.struct((x * step).alias("x"), (y * step).alias("y")))

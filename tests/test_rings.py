@@ -184,6 +184,40 @@ def test_dissolve_odd_rows(spark):
     assert overlay.dissolve(d.filter("false")).collect() == []
 
 
+def test_dissolve_leaves_out_rings_inside_of_others(spark, monkeypatch):
+    r, written, settle = np.random.default_rng(6), {}, overlay.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(overlay, "settle", counted)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rings_ = [(1, box(0, 0, w, h)) for w in range(1, 31) for h in range(1, 21)] + [(2, box(*r.integers(1, 12, 2), *r.integers(1, 9, 2))) for _ in range(400)] + [(2, box(0, 0, 20, 20))]
+    rings_ += [(3, [(0, 0), (40, 0), (40, 9), (0, 30)]), (3, box(30, 10, 9, 9)), (3, box(1, 1, 9, 9)), (3, box(38, 6, 2, 8)[::-1])]  # two reach over the slanted side
+    got = overlay.dissolve(table(spark, rings_)).collect()
+    assert {x.raster_id: round(x.area, 3) for x in got if x.raster_id < 3} == {1: 600.0, 2: 400.0}
+    three = [x for x in got if x.raster_id == 3]
+    q = r.random((4000, 2)) * 42 - 1
+    covered = np.max([parity(np.array(p, dtype=float), q) for k, p in rings_ if k == 3], axis=0)
+    assert (sum(parity(np.array([(p.x, p.y) for p in x.ring]), q) - sum((parity(np.array([(p.x, p.y) for p in h]), q) for h in x.holes), np.zeros(len(q), dtype=int)) for x in three) == covered).all()
+    assert written["dissolve"] > 800 and written["dissolve-segments"] < 300
+
+
+def test_which_rings_hold_others():
+    ring = lambda *p: 2 * np.array(p)
+    five = [(round(1000 * np.cos(k * np.pi * 0.4)), round(1000 * np.sin(k * np.pi * 0.4))) for k in range(5)]
+    assert overlay._holder(ring((0, 0), (4, 0), (4, 3), (0, 3)))[2] is None  # its box
+    assert overlay._holder(ring(*five)) is not None and overlay._holder(ring(*five[::-1])) is not None
+    assert overlay._holder(ring(*(five[2 * k % 5] for k in range(5)))) is None  # a star turns left only, but twice around
+    assert overlay._holder(ring((0, 0), (4, 0), (1, 1), (0, 4))) is None and overlay._holder(ring((0, 0), (1 << 29, 0), (0, 4))) is None
+    points = np.concatenate((ring(*five), ring((0, 0), (9, 0), (0, 9)), ring((700, 700), (800, 700), (700, 800)), ring((1000, 0), (0, 5), (0, 0))))
+    start = np.array([0, 5, 8, 11, 14])
+    low, high = np.minimum.reduceat(points, start[:-1]), np.maximum.reduceat(points, start[:-1])
+    assert overlay._covered(overlay._holder(points[:5]), np.array([1, 2, 3]), points, start, low, high).tolist() == [True, False, True]
+
+
 def test_dissolve_chain_over_many_cells(spark):
     chain = [(1, [(3 * i, 0), (3 * i + 4, 0.5), (3 * i + 4, 1.5), (3 * i, 1)]) for i in range(300)]
     got = overlay.dissolve(table(spark, chain), cell=2.5).collect()
